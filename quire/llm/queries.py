@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import langid, mixing, packing, quality, secrets, simhash, substring, urls, warc
+from quire.llm import langid, media, mixing, packing, quality, secret_scan, simhash, substring, urls, warc
 
 #: Verdict, and host with path prefix.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -44,13 +44,18 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = secrets.scan(docs, secrets.fit(docs), ["doc_id"])
+    found = secret_scan.scan(docs, secret_scan.fit(docs), ["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"] != "model")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op7_image_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media table is derived from ``embeddings``: a picture for each vector, and a cropped and dimmed copy of it."""
+    return media.copies(media.rendered(_table(spark, sf_dir, "embeddings")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -64,7 +69,7 @@ def op10_window_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(_table(spark, sf_dir, "documents"), length=35, digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_chunks, op2_language_backoff, op3_simhash_vantage, op4_url_markov, op5_pareto_mix, op6_secret_network, op8_quality_rules, op9_differencing_packs, op10_window_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_chunks, op2_language_backoff, op3_simhash_vantage, op4_url_markov, op5_pareto_mix, op6_secret_network, op7_image_corners, op8_quality_rules, op9_differencing_packs, op10_window_repeats)}
 
 #: op5 in SQL: the same targets in closed form, the same order of documents and the same cut, from one running sum a source.
 ORACLE: dict[str, str] = {
