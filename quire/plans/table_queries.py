@@ -201,9 +201,9 @@ def log_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lru_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page cache of 60000 characters for each source and language."""
+    """A page cache of 10000 characters for each source and language."""
     files = documents(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("cache"), F.col("doc_id").alias("id"), recorded("at", F.col("doc_id").cast("string")).alias("at"), F.length("text").cast("long").alias("bytes"))
-    return runlog.overflow(files, 60000)
+    return runlog.overflow(files, 10000)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +313,7 @@ f AS (SELECT vec_id, min(rank) FILTER (ok) AS rank FROM n GROUP BY vec_id), k AS
     "log_tree": f"WITH {_LOG} SELECT a.run, a.idx, a.depth, (SELECT max(b.idx) FROM lg b WHERE b.run = a.run AND b.idx < a.idx AND b.depth < a.depth) AS parent FROM lg a",
     "spend_rollup": f"WITH {_LOG}, n AS (SELECT a.run, a.idx, (SELECT min(b.idx) FROM lg b WHERE b.run = a.run AND b.idx > a.idx AND b.depth <= a.depth) AS nx FROM lg a) SELECT a.run, a.idx, a.depth, a.cost, (SELECT CAST(sum(c.cost) AS BIGINT) FROM lg c WHERE c.run = a.run AND c.idx >= a.idx AND (nx IS NULL OR c.idx < nx)) AS total FROM lg a JOIN n ON n.run = a.run AND n.idx = a.idx",
     "log_facts": f"WITH {_LOG}, w AS (SELECT *, regexp_extract(lower(text), '^([a-z]+)', 1) AS word FROM lg) SELECT run, arg_min(word, idx) AS first, arg_max(word, idx) AS last, max(cost) AS largest, count(*) FILTER (word <> '') AS worded FROM w GROUP BY run",
-    "lru_overflow": f"""WITH f AS (SELECT source || '/' || lang AS cache, doc_id AS id, {rec("'at'", 'CAST(doc_id AS VARCHAR)')} AS "at", CAST(length(text) AS BIGINT) AS bytes FROM documents), h AS (SELECT *, sum(bytes) OVER w AS held, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY cache ORDER BY "at" DESC, id DESC)) SELECT cache, id, "at", bytes FROM h WHERE held > 60000 AND k > 1""",
+    "lru_overflow": f"""WITH f AS (SELECT source || '/' || lang AS cache, doc_id AS id, {rec("'at'", 'CAST(doc_id AS VARCHAR)')} AS "at", CAST(length(text) AS BIGINT) AS bytes FROM documents), h AS (SELECT *, sum(bytes) OVER w AS held, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY cache ORDER BY "at" DESC, id DESC)) SELECT cache, id, "at", bytes FROM h WHERE held > 10000 AND k > 1""",
     "history_recent": "WITH q AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS q, conv_id AS \"at\", turn AS id FROM conversations WHERE role = 'user'), k AS (SELECT *, row_number() OVER (PARTITION BY lower(q) ORDER BY \"at\" DESC, id DESC, q DESC) AS k FROM q WHERE contains(lower(q), 'la')) SELECT q, \"at\", id FROM k WHERE k = 1 ORDER BY \"at\" DESC, id DESC LIMIT 5",
     "history_filter": "SELECT conv_id, turn, role FROM conversations WHERE contains(lower(text), 'la') AND contains(lower(text), 'de') AND contains(lower(text), 'que')",
     "palette_match": "WITH r AS (SELECT p_partkey AS ord, p_name AS label, CASE WHEN starts_with(lower(p_name), 'small') THEN 0 WHEN contains(lower(p_name), 'small') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name || ' ' || p_type), 'small')) SELECT ord, label, rank FROM r ORDER BY rank, ord LIMIT 40",
