@@ -83,14 +83,16 @@ def scores(strings: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float | None:
-    """The score that parts held-out allowed from blocked urls with the least sum of error rates (None without both)."""
+    """The score that parts held-out allowed from blocked urls with the least sum of error rates, half way to the
+    next score there (None without both)."""
     step, end = 0.01, 2000
     bins = scored.where("held and verdict is not null").groupBy(F.least(F.greatest(F.floor(F.col("score") / step), F.lit(-end)), F.lit(end)).alias("bin"))
     bins = bins.agg(F.count(F.when(F.col("verdict") == "allow", 1)).alias("allow"), F.count(F.when(F.col("verdict") == "block", 1)).alias("block"))
     every, upto = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("bin")  # at most 4001 rows
     miss = F.try_divide(F.sum("allow").over(upto), F.sum("allow").over(every)) + 1 - F.try_divide(F.sum("block").over(upto), F.sum("block").over(every))
-    best = bins.withColumn("miss", miss).where("miss is not null").orderBy("miss", "bin").head()
-    return None if best is None else (best["bin"] + 1) * step
+    bins = bins.withColumns({"miss": miss, "next": F.coalesce(F.lead("bin").over(upto), F.col("bin") + 1)})
+    best = bins.where("miss is not null").orderBy("miss", "bin").head()
+    return None if best is None else (best["bin"] + 1 + best["next"]) / 2 * step
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
