@@ -85,3 +85,17 @@ def score(answers: DataFrame) -> DataFrame:
 def batch_ids(asks: DataFrame, by: str, order: str, most: int = RANKED_A_CALL) -> DataFrame:
     """Calls of at most ``most`` asks within ``by``, in order."""
     return asks.withColumn("call", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / most))
+
+
+def tournament(answers: DataFrame, heat: int = 15) -> DataFrame:
+    """The choice among many options by heats of ``heat`` in place order, then a final of their winners; ties go to the first."""
+    first = answers.groupBy("ask_id", F.floor(F.col("pos") / heat).alias("heat")).agg(F.max(F.struct("p", (-F.col("pos")).alias("back"), "option")).alias("b"))
+    return first.groupBy("ask_id").agg(F.max("b").alias("b"), F.count("*").alias("heats")).select("ask_id", F.col("b.option").alias("option"), F.col("b.p").alias("p"), "heats")
+
+
+def asked_again(answers: DataFrame, bar: float, reach: float, again: DataFrame) -> DataFrame:
+    """Answers within ``reach`` of the ``bar`` averaged with those of asking ``again``."""
+    more = again.groupBy("ask_id", "option").agg(F.sum("p").alias("more"), F.count("*").alias("n"))
+    near = F.abs(F.col("p") - bar) <= reach
+    met = answers.join(more, ["ask_id", "option"], "left")
+    return met.select("ask_id", "option", "pos", F.when(near & F.col("n").isNotNull(), (F.col("p") + F.col("more")) / (1 + F.col("n"))).otherwise(F.col("p")).alias("p"))

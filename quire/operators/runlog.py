@@ -78,3 +78,38 @@ def palette(rows: DataFrame, label: str, more: str, words: list[str], most: int
     rank = F.when(F.startswith(F.lower(label), F.lit(typed)), 0).when(F.contains(F.lower(label), F.lit(typed)), 1).otherwise(2)
     both = rows.withColumn("__t", F.concat_ws(" ", label, more))
     return holding_all(both, "__t", words).withColumn("rank", rank).orderBy("rank", "ord").limit(most).drop("__t")
+
+
+def remembered(runs: DataFrame, cap: int) -> DataFrame:
+    """History by ``user``: the newest of each id; pinned ones stay, of the others the newest ``cap``. ``place``: pinned first, then newest."""
+    newest = runs.groupBy("user", "id").agg(F.max(F.struct("at", "seq", "pinned")).alias("b")).select("user", "id", "b.at", "b.seq", "b.pinned")
+    by_time = Window.partitionBy("user").orderBy(F.desc("at"), F.desc("seq"))
+    kept = newest.withColumn("n", F.sum(F.when(F.col("pinned"), 0).otherwise(1)).over(by_time)).where(F.col("pinned") | (F.col("n") <= cap))
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("pinned"), F.desc("at"), F.desc("seq")))).drop("n", "seq")
+
+
+def within_cases(trace: DataFrame, cases: DataFrame) -> DataFrame:
+    """Each trace row's case: the last that began at or before it (``user``, ``ts``), from one ordered pass over both."""
+    both = cases.select("user", "ts", F.lit(0).alias("kind"), F.col("id").alias("case"), F.lit(None).cast("long").alias("id")).unionAll(trace.select("user", "ts", F.lit(1), F.lit(None).cast("long"), "id"))
+    w = Window.partitionBy("user").orderBy("ts", "kind", "case", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("case", F.last("case", ignorenulls=True).over(w)).where("kind = 1").select("user", "id", "case")
+
+
+def split_spend(rows: DataFrame) -> DataFrame:
+    """Millionths of a dollar of the tokens, and the wall time that no kind accounts for (never below 0)."""
+    return rows.withColumns({"micros": F.floor(F.col("tokens") * 42 / 1000).cast("long"), "other": F.greatest(F.lit(0), F.col("wall") - F.col("api") - F.col("extract"))})
+
+
+def placed(pages: DataFrame, gap: int) -> DataFrame:
+    """Top of each page in a viewer: heights and gaps before it."""
+    w = Window.partitionBy("book").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return pages.withColumn("top", F.coalesce(F.sum(F.col("height") + gap).over(w), F.lit(0)))
+
+
+LINE = r"^(\s*)(.*?)(?:\s+\[(\d+) in, (\d+) out\])?$"
+
+
+def parsed(line: Column) -> Column:
+    """``depth`` (two spaces each), ``text``, ``in`` and ``out`` tokens (0 without a cost) and ``header`` (ends in "…") of a log line."""
+    part = lambda k: F.regexp_extract(line, LINE, k)
+    return F.struct(F.floor(F.length(part(1)) / 2).cast("int").alias("depth"), part(2).alias("text"), F.coalesce(F.nullif(part(3), F.lit("")).cast("long"), F.lit(0)).alias("tokens_in"), F.coalesce(F.nullif(part(4), F.lit("")).cast("long"), F.lit(0)).alias("tokens_out"), F.endswith(part(2), F.lit("…")).alias("header"))

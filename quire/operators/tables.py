@@ -99,3 +99,43 @@ def across(cells: DataFrame, columns: list[str]) -> DataFrame:
     """The grid of a cross-document table: a row a document, a column a question, an unanswered cell its reason."""
     shown = F.when(F.col("kind") == "N/A", F.concat(F.lit("N/A: "), F.col("why"))).otherwise(F.col("text"))
     return cells.withColumn("shown", shown).groupBy("row").pivot("col", columns).agg(F.first("shown"))
+
+
+def match_rows(ours: DataFrame, theirs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Names by their normal form first; what is left on both sides by the likeliest answer from one half on (``i``, ``j``, ``p``)."""
+    sure = same_names(ours, theirs)
+    taken = sure.where("j is not null").select("j").distinct()
+    open_rows = sure.where("j is null").select("i", "name")
+    left = answers.join(taken, "j", "left_anti").where("p >= 50")
+    best = left.groupBy("i").agg(F.max(F.struct("p", (-F.col("j")).alias("back"))).alias("b"))
+    return sure.where("j is not null").select("i", "j", F.lit(100).alias("p")).unionAll(open_rows.join(best, "i").select("i", (-F.col("b.back")).alias("j"), "b.p"))
+
+
+def entry_pieces(line: Column) -> Column:
+    """``label`` (at most 40 characters) and ``value`` of a "Label: value" line, else null."""
+    label, value = F.regexp_extract(line, r"^([^:]{1,40}):\s+(\S.*)$", 1), F.regexp_extract(line, r"^([^:]{1,40}):\s+(\S.*)$", 2)
+    return F.when(label != "", F.struct(F.trim(label).alias("label"), F.trim(value).alias("value")))
+
+
+def with_values(items: Column, values: Column) -> Column:
+    """A list cell with each item's value behind it, "(N/A)" without one; placeholders stay as they are."""
+    shown = F.transform(F.transform(F.split(items, ","), lambda x: F.trim(x)), lambda x: F.when(placeholder(x), x).otherwise(F.concat(x, F.lit(" ("), F.coalesce(F.try_element_at(values, F.lower(x)), F.lit("N/A")), F.lit(")"))))
+    return F.array_join(shown, ", ")
+
+
+def notes_with_rows(units: DataFrame, by: str) -> DataFrame:
+    """A lone note row under a data row with the same heads is as likely as that row, if that is more."""
+    w = Window.partitionBy(by).orderBy("pos")
+    under = F.col("lone") & ~F.lag("lone").over(w) & (F.lag("heads").over(w) == F.col("heads"))
+    return units.withColumn("p", F.when(under, F.greatest("p", F.lag("p").over(w))).otherwise(F.col("p")))
+
+
+def regrouped(units: DataFrame, by: str) -> DataFrame:
+    """Chosen units of one paragraph that follow each other as one text; ``gap`` where something was left out before it."""
+    w = Window.partitionBy(by).orderBy("pos")
+    apart = F.lag("pos").over(w).isNull() | (F.lag("pos").over(w) != F.col("pos") - 1)
+    begins = apart | (F.lag("para").over(w) != F.col("para"))
+    marked = units.where("chosen").withColumns({"apart": apart, "begins": begins})
+    marked = marked.withColumn("run", F.sum(F.col("begins").cast("int")).over(w))
+    parts = marked.groupBy(by, "run").agg(F.min("para").alias("para"), F.min_by("apart", "pos").alias("apart"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return parts.select(by, "run", "para", (F.col("apart") & (F.col("run") > 1)).alias("gap"), "text")
