@@ -1,15 +1,15 @@
-"""What the training-data operators share: shared-folder tables, word splitting and vectorised hashing."""
+"""What the training-data operators share: tables in the shared folder, word splitting and vectorised hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import shared_folder
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR; ``bytes.split()`` splits UTF-8 at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,16 +19,6 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; where none is set (tests), one of our own is set first."""
-    context = spark.sparkContext
-    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-        base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, readable after an executor is lost."""
     path = shared_folder(df.sparkSession)
