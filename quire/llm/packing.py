@@ -8,7 +8,7 @@ is packed again with one window more. No group is larger than ``group``, so memo
 nothing is shuffled.
 
 A word is tokenised once a worker: text is cut at ASCII white space (which this tokenizer drops, and which no token spans),
-and ids are kept by word, up to ``REMEMBERED`` words.
+and ids are kept by word, up to twice ``REMEMBERED`` words.
 
 Defined cases: null and empty texts have the end id alone; repeated rows are packed each; null ids are kept; an empty table
 gives no pieces.
@@ -33,7 +33,8 @@ from quire.llm.common import as_bytes
 
 CAPACITY = 2048
 END_ID = 1
-REMEMBERED = 1_000_000
+#: Words of each of two generations: the older one is dropped when the newer is full, but for words met again since.
+REMEMBERED = 100_000
 
 
 #: Latin letters, which this tokenizer lower-cases and takes as one piece, and ASCII punctuation after them, another piece.
@@ -44,13 +45,14 @@ _STAND_INS = {**{b: chr(b) for b in _PLAIN}, **{b: chr(256 + i) for i, b in enum
 
 
 class WordIds(dict):
-    """Little-endian 32-bit token ids by word (UTF-8), filled on demand.
+    """Little-endian 32-bit token ids by word (UTF-8), filled on demand; at most twice ``REMEMBERED`` words are held.
 
     A plain word goes to the tokenizer's merge model alone, without the passes over the text before it; the result is the same.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         probe = "Éducation thing's, unlike. Stra\u00dfe"
@@ -65,14 +67,14 @@ class WordIds(dict):
         return b"".join([t.id.to_bytes(4, "little") for t in self.merge(pieces)])
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            text = word.decode()
+            simple = _SIMPLE.fullmatch(text) if self.plain else None
+            ids = self.merged(simple[1]) + (self[simple[2].encode()] if simple[2] else b"") if simple else self.encoded(text)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        text = word.decode()
-        simple = _SIMPLE.fullmatch(text) if self.plain else None
-        if simple:
-            ids = self.merged(simple[1]) + (self[simple[2].encode()] if simple[2] else b"")
-        else:
-            ids = self.encoded(text)
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -156,7 +158,7 @@ def _run(path: str, capacity: int, piece: int, group: int):
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            for key, text in zip(batch["id"].to_pylist(), as_bytes(batch["text"]), strict=True):
+            for key, text in ((k, t) for a in range(0, batch.num_rows, 256) for k, t in zip(batch["id"].slice(a, 256).to_pylist(), as_bytes(batch["text"].slice(a, 256)), strict=True)):
                 ids = ids_of.of(text) + END_ID.to_bytes(4, "little")
                 n = len(ids) // 4
                 for start, length in _cuts(n, capacity, piece):
