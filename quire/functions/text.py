@@ -97,3 +97,9 @@ def excerpt(line: Column, word: Column, most: int = 200, before: int = 60) -> Co
     at = F.regexp_instr(F.lower(flat), F.concat(F.lit("(?:^|[^a-z0-9_])"), word))
     start = F.greatest(F.lit(0), F.least(F.when(at > 0, at - 1 - before).otherwise(F.lit(0)), F.length(flat) - most))
     return F.trim(F.substring(flat, start + 1, F.lit(most)))
+
+
+def sentences(text: Column) -> Column:
+    """Units of a paragraph: cut after a full stop, question or exclamation mark and white space, but not after "2."."""
+    marked = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"([^0-9][.!?]) ", "$1\u0001")
+    return F.filter(F.split(marked, "\u0001"), lambda s: s != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +68,40 @@ def best_run(units: DataFrame, by: str, order: str, share: str, bar: int = 65) -
 def islands(rows: DataFrame, by: str, order: str, breaks: Column) -> DataFrame:
     """``island``: how many rows of the group so far begin one."""
     return rows.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order)))
+
+
+def two_bar_runs(words: DataFrame, by: str, start: int, go_on: int) -> DataFrame:
+    """Runs that begin with a word from ``start`` on and go on over words from ``go_on`` on; a word that ``ends`` closes one.
+    Stretches of words from ``go_on`` on, each cut to begin at its first word from ``start`` on."""
+    w = Window.partitionBy(by).orderBy("pos")
+    new = (F.col("p") < go_on) | F.coalesce(F.lag("ends").over(w), F.lit(True)) | (F.coalesce(F.lag("p").over(w), F.lit(-1)) < go_on)
+    rows = words.withColumn("stretch", F.sum(F.when(new, 1).otherwise(0)).over(w)).where(F.col("p") >= go_on)
+    inside = Window.partitionBy(by, "stretch").orderBy("pos")
+    rows = rows.withColumn("begun", F.max(F.when(F.col("p") >= start, 1).otherwise(0)).over(inside)).where("begun = 1")
+    return rows.groupBy(by, "stretch").agg(F.min("pos").alias("pos"), F.count("*").alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("name")).drop("stretch")
+
+
+def best_runs(units: DataFrame, by: str, bar: int = 65, least: int = 25) -> DataFrame:
+    """All runs worth showing of each group: the best one, then the best of what is left, as long as it gains ``least``.
+
+    ``units``: the group, ``pos``, ``share`` (whole hundredths). A group is a document's units; it is worked on in one task."""
+    kind = units.schema[by].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pos")
+        value, out = (frame["share"] - bar).tolist(), []
+        while True:
+            best, start, total = (0, -1, -1), 0, 0
+            for i, x in enumerate(value):
+                if total <= 0:
+                    start, total = i, 0
+                total += x
+                if total > best[0]:
+                    best = (total, start, i + 1)
+            if best[0] <= 0 or (out and best[0] < least):
+                break
+            out.append(best)
+            value[best[1] : best[2]] = [-100] * (best[2] - best[1])
+        return pd.DataFrame([(frame[by].iloc[0], a, b, g) for g, a, b in sorted(out, key=lambda x: x[1])], columns=[by, "start", "end", "gain"])
+
+    return units.select(by, "pos", "share").groupBy(by).applyInPandas(run, f"`{by}` {kind}, start int, end int, gain long")

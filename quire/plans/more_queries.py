@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import numbers
-from quire.functions.text import quantised
-from quire.operators import decide, evaluate, export, outline, runlog, tables
+from quire.functions.text import quantised, sentences
+from quire.operators import decide, evaluate, export, outline, runlog, tables, windows
 from quire.plans._q import PAGES, documents, norm, paged, q6
 from quire.plans.answer_queries import _CLAIMS, _claims, rec, recorded
 from quire.plans.outline_queries import _RANGES, _ranges
+from quire.plans.search_queries import question_words
 from quire.plans.table_queries import _EV, _events
 from quire.sources import shelf
 
@@ -258,7 +259,25 @@ def bar_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return up.select((101 - F.col("value")).cast("int").alias("bar"), F.col("taken").alias("dropped"), F.col("tp").alias("lost"))
 
 
-_ALL = (number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
+def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "unit"))
+    return rows.select("doc_id", "pos", F.length("unit").alias("chars"), F.md5("unit").alias("digest"))
+
+
+def two_bar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of benchmark words from a start bar of 50 on, over words from 30 on."""
+    words = question_words(spark, sf_dir).withColumn("p", recorded("bar", _s("item_id"), _s("pos")))
+    return windows.two_bar_runs(words, "item_id", 50, 30)
+
+
+def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs worth showing of each document's lines, by the letters' share of each line."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    share = F.when(F.length("line") > 0, F.floor(F.length(F.regexp_replace("line", "[^a-z]", "")) * 100 / F.length("line"))).otherwise(0).cast("long")
+    return windows.best_runs(lines.withColumn("share", share), "doc_id", 80)
+
+
+_ALL = (sentence_units, two_bar_names, best_runs, number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -267,6 +286,13 @@ def _r(salt: str, *cols: str) -> str:
 
 
 ORACLE = {
+    "sentence_units": "WITH m AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([^0-9][.!?]) ', '\\1' || chr(1), 'g') AS m FROM documents), l AS (SELECT doc_id, list_filter(string_split(m, chr(1)), lambda x: x <> '') AS l FROM m), e AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS u FROM l) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(u) AS INTEGER) AS chars, md5(u) AS digest FROM e",
+    "two_bar_names": f"""WITH r AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS raw FROM benchmark), w AS (SELECT item_id, list_filter(list_transform(raw, lambda x: {{'word': regexp_replace(x, '[^\\w''-]', '', 'g'), 'ends': regexp_matches(x, '[,;.]$')}}), lambda s: s.word <> '') AS ws FROM r),
+e AS (SELECT item_id, CAST(unnest(range(0, len(ws))) AS INTEGER) AS pos, unnest(ws) AS w FROM w), f AS (SELECT item_id, pos, w.word AS word, w.ends AS ends, {rec("'bar'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} AS p FROM e),
+g AS (SELECT *, p < 30 OR coalesce(lag(ends) OVER v, true) OR coalesce(lag(p) OVER v, -1) < 30 AS new FROM f WINDOW v AS (PARTITION BY item_id ORDER BY pos)),
+s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS stretch FROM g),
+b AS (SELECT *, max(CASE WHEN p >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id, stretch ORDER BY pos) AS begun FROM s WHERE p >= 30)
+SELECT item_id, min(pos) AS pos, count(*) AS words, string_agg(word, ' ' ORDER BY pos) AS name FROM b WHERE begun = 1 GROUP BY item_id, stretch""",
     "number_words": "SELECT o_orderkey AS n, o_orderkey AS read FROM orders WHERE o_orderkey < 1000000",
     "display_forms": "WITH o AS (SELECT o_orderkey, o_orderkey * 317 AS b, o_orderkey * 7 AS t FROM orders) SELECT o_orderkey, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN CAST(b // 1024 AS VARCHAR) || ' KB' ELSE CAST(b // 1048576 AS VARCHAR) || ' MB' END AS bytes, CASE WHEN t < 1000 THEN CAST(t AS VARCHAR) ELSE CAST(t // 1000 AS VARCHAR) || '.' || CAST(t % 1000 // 100 AS VARCHAR) || 'k' END AS tokens FROM o",
     "marks_dedup": "SELECT DISTINCT l_orderkey, l_partkey % 5 AS page, CAST(trunc(l_quantity) AS INTEGER) % 7 AS x0, l_suppkey % 3 AS y0 FROM lineitem",
