@@ -1,4 +1,4 @@
-"""Queries of ranking, walks and answer folds. Where the reference asks a model, answers are *recorded*: whole hundredths
+"""Queries of ranking, walks and answer folds. Where a model would be asked, answers are *recorded*: whole hundredths
 that a digest of the row gives, so that both engines read the same answers."""
 
 from __future__ import annotations
