@@ -4,13 +4,14 @@
   block i whenever the sum of (r_i + 1) over the blocks exceeds R, so the radii left to each block's tree are 0 or 1.
 * Each block has a vantage-point tree that shares one vantage point a level (so no tree has to be sent around): a
   fingerprint goes near or far by its block's distance to that point against the level's median. A fingerprint is *at home*
-  in one leaf and *visits* every leaf that the triangle bound cannot rule out: at radius r both branches within r of the edge.
+  in one leaf and *visits* every leaf that the triangle bounds cannot rule out: at radius r both branches within r of the edge
+  (at radius 1 the bounds of all levels are taken together, which leaves at most a leaf for each bit of the block).
 * A leaf is one shuffle key. Its homes are held a bounded part at a time, visitors stream past them, and XOR and popcount on
   whole fingerprints decide; a leaf with more homes than ``part`` is dealt over several keys that its visitors all visit.
   Only the links that join two sets so far apart leave a task: a spanning forest, never all pairs of a group.
 * Components come from alternating large-star and small-star steps over the forest, each step written to the shared folder.
 
-Equal fingerprints are one node, whatever the number of copies. Optionally a wider ``sketch`` of 256 bits rides along and a
+Equal fingerprints are one node, whatever the number of copies. Optionally a wider ``sketch`` of 128 bits rides along and a
 link also needs it within ``sketch_bits``: then ``bits`` may be wide without linking unrelated texts.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than ``shingle`` make
@@ -57,9 +58,9 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def _sketch(hashes: np.ndarray) -> bytes:
-    """256 bits: the majority words of four remixings of the different hashes."""
+    """128 bits: the majority words of two remixings of the different hashes."""
     own = np.unique(hashes)
-    odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+    odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
     mixes = [(own ^ (own >> np.uint64(29))) * np.uint64(m) for m in odd]
     return b"".join(majority(x ^ (x >> np.uint64(32))).to_bytes(8, "little") for x in mixes)
 
@@ -109,20 +110,52 @@ class Trees:
             splits = [int(np.median(np.bitwise_count(own ^ p))) if len(own) else width // 2 for p in points]
             self.tables.append((np.uint64(mask), radius, list(zip(points, splits, strict=True))))
 
-    def leaves(self, prints: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, leaf and whether it is the row's home, for every leaf that a row is at home in or visits."""
+    def leaves(self, prints: np.ndarray, table: int, visits: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, leaf and whether it is the row's home, for every leaf that a row is at home in or (``visits``) visits."""
         mask, radius, levels = self.tables[table]
         own = prints & mask
+        if visits and radius == 1:
+            return self._within_one(own, int(mask), levels)
         row, leaf, home = np.arange(len(own)), np.zeros(len(own), dtype=np.int64), np.ones(len(own), dtype=bool)
         for point, split in levels:
             d = np.bitwise_count(own ^ point).astype(np.int64)[row]
             near = d <= split
+            if not visits:
+                leaf = 2 * leaf + near
+                continue
             other = (near & (d + radius > split)) | (~near & (d - radius <= split))
             row, home = np.concatenate([row, row[other]]), np.concatenate([home, np.zeros(int(other.sum()), dtype=bool)])
             leaf = np.concatenate([2 * leaf + near, 2 * leaf[other] + ~near[other]])
         return row, leaf, home
 
 
+    @staticmethod
+    def _within_one(own: np.ndarray, mask: int, levels: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At radius 1 the bounds of all levels together are exact: a leaf is visited if the code, or one bit away, lies in it."""
+        flips = np.array([0, *(1 << b for b in range(64) if mask >> b & 1)], dtype=np.uint64)
+        codes = own[:, None] ^ flips[None, :]
+        leaf = np.zeros(codes.shape, dtype=np.int64)
+        for point, split in levels:
+            leaf = 2 * leaf + (np.bitwise_count(codes ^ point) <= split)
+        at_home = leaf[:, :1]
+        away = np.sort(np.where(leaf == at_home, -1, leaf), axis=1)
+        new = (away >= 0) & np.concatenate([np.ones((len(own), 1), dtype=bool), away[:, 1:] != away[:, :-1]], axis=1)
+        row, column = np.nonzero(new)
+        rows = np.arange(len(own))
+        return np.concatenate([rows, row]), np.concatenate([at_home[:, 0], away[row, column]]), np.concatenate([np.ones(len(own), dtype=bool), np.zeros(len(row), dtype=bool)])
+
+
+def _homes(trees: Trees):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch["print"].to_numpy(zero_copy_only=False).view(np.uint64)
+            for t in range(len(trees.tables)):
+                leaf = trees.leaves(prints, t, visits=False)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), t, dtype=np.int32)), pa.array(leaf)], ["tree", "leaf"])
+
+    return run
+
+
 def _deal(trees: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,13 +191,14 @@ class _Forest:
 
 def _compare(bits: int, sketch_bits: int):
     def words(column) -> np.ndarray | None:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, 4) if sketch_bits else None
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, 2) if sketch_bits else None
 
     def links(forest: _Forest, at_home: list, node: np.ndarray, prints: np.ndarray, sketch: np.ndarray | None) -> list[tuple[int, int]]:
         out = []
         for home_node, home_print, home_sketch in at_home:
-            for a in range(0, len(prints), 256):
-                i, j = np.nonzero(np.bitwise_count(prints[a : a + 256, None] ^ home_print[None, :]) <= bits)
+            some = max(1, (1 << 19) // len(home_print))
+            for a in range(0, len(prints), some):
+                i, j = np.nonzero(np.bitwise_count(prints[a : a + some, None] ^ home_print[None, :]) <= bits)
                 i += a
                 if sketch_bits and len(i):
                     close = np.bitwise_count(sketch[i] ^ home_sketch[j]).sum(axis=1, dtype=np.int64) <= sketch_bits
@@ -197,7 +231,7 @@ def _compare(bits: int, sketch_bits: int):
     return run
 
 
-def close_links(nodes: DataFrame, bits: int, blocks: int, sketch_bits: int = 0, leaf: int = LEAF, part: int = 2 * LEAF, sample: int = 8192) -> DataFrame:
+def close_links(nodes: DataFrame, bits: int, blocks: int, sketch_bits: int = 0, leaf: int = LEAF, part: int = 8 * LEAF, sample: int = 8192) -> DataFrame:
     """A forest (``a``, ``b``) with the components of all links between ``nodes`` (``node``, ``print``, ``sketch``).
 
     ``sample`` fingerprints (the smallest hashes) place the splits; they decide how even the leaves are, not what is found.
@@ -205,9 +239,10 @@ def close_links(nodes: DataFrame, bits: int, blocks: int, sketch_bits: int = 0,
     spark, count = nodes.sparkSession, nodes.count()
     few = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("print").toPandas()["print"].to_numpy(dtype=np.int64).view(np.uint64)
     trees = Trees(few, count, bits, blocks, leaf)
+    large = nodes.select("print").mapInArrow(_homes(trees), "tree int, leaf long").groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > part)
+    # as a table its size is known: Spark sends it to the rows where it is small, and they are shuffled once
+    large = written(large.select("tree", "leaf", F.ceil(F.col("n") / F.lit(part)).cast("int").alias("salts")))
     dealt = nodes.mapInArrow(_deal(trees), "tree int, leaf long, home boolean, node long, print long, sketch binary")
-    large = dealt.where("home").groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > part)
-    large = large.select("tree", "leaf", F.ceil(F.col("n") / F.lit(part)).cast("int").alias("salts"))
     joined = dealt.join(large, ["tree", "leaf"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     spread = joined.withColumn("salt", F.explode(F.when(F.col("salts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
@@ -249,11 +284,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The documents, with their columns, that are the smallest id of their group of near copies (Jaccard similarity of
     five-word shingles of about 0.8 or more).
 
-    Candidates are fingerprints of different word pairs within 8 bits; a 256-bit sketch of the five-word shingles then has
-    to agree: at Jaccard 0.8 its bits differ at a rate of 0.151, 39 of 256 on average, and 44 leaves one deviation of room.
+    Candidates are fingerprints of different word pairs within 8 bits; a 128-bit sketch of the five-word shingles then has
+    to agree: at Jaccard 0.8 its bits differ at a rate of 0.151, 19 of 128 on average, and 23 leaves one deviation of room.
     Of rows with one id, the first by text stays; rows whose id is null have no identity to compare and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle=2, bits=8, blocks=5, distinct=True, sketch_shingle=5, sketch_bits=44)
+    found = near_duplicates(docs, id_col, text_col, shingle=2, bits=8, blocks=6, distinct=True, sketch_shingle=5, sketch_bits=23)
     stay = found.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
     left = docs.join(stay, id_col, "left_semi")
     order = Window.partitionBy(id_col).orderBy(text_col)
