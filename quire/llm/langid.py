@@ -7,7 +7,8 @@ beforehand).
 
 Words are counted over every training text, and n-grams over every counted word. The model keeps the ``words`` most telling
 (word, language) counts and ``grams`` counts of each order, by share of their language, so what is sent to the executors
-stays under ``words + 4 * grams`` entries. What falls outside is scored by its n-grams, as any unseen word is.
+stays under ``words + 4 * grams`` entries; the cut is by bins of the share, so that it takes a grouped count and a filter, and
+no sort. What falls outside is scored by its n-grams, as any unseen word is.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learned;
 a text of letters none of which is known gets the language with most training words, with an even score; ties go to the
@@ -88,15 +89,29 @@ def learn(texts: DataFrame, text_col: str = "text", lang_col: str = "lang", word
     if not langs:
         return {"langs": [], "known": [], "most": 0, "key": uuid.uuid4().hex}
     share = F.element_at(F.create_map(*[x for (lang, order), (n, _) in totals.items() for x in (F.lit(f"{order} {lang}"), F.lit(1.0 / n))]), F.concat_ws(" ", F.col("order").cast("string"), "lang"))
-    known = []
-    for order in (0, *ORDERS):
-        source = counted if order == 0 else spelled.where(F.col("order") == order)
-        top = source.select("lang", "gram", "n", (F.col("n") * share).alias("share")).orderBy(F.desc("share"), "gram", "lang").limit(words if order == 0 else grams)
-        rows = top.select("lang", "gram", "n").toPandas()
-        known.append(_log_frequencies(rows, langs, {lang: totals.get((lang, order), (0, 0)) for lang in langs}))
+    ranked = every.withColumn("bin", F.floor(F.log2(F.col("n") * share) * 64))
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for r in ranked.groupBy("order", "bin").agg(F.count("*").alias("n")).collect():  # at most some thousand bins an order
+        bins.setdefault(r["order"], []).append((r["bin"], r["n"]))
+    kept = F.lit(False)
+    for order, own in bins.items():
+        kept = kept | ((F.col("order") == order) & (F.col("bin") >= _least_bin(own, grams if order else words)))
+    rows = ranked.where(kept).select("lang", "order", "gram", "n").toPandas()
+    known = [_log_frequencies(rows[rows["order"] == order], langs, {lang: totals.get((lang, order), (0, 0)) for lang in langs}) for order in (0, *ORDERS)]
     return {"langs": langs, "known": known, "most": max(range(len(langs)), key=lambda i: (totals.get((langs[i], 0), (0, 0))[0], -i)), "key": uuid.uuid4().hex}
 
 
+def _least_bin(bins: list[tuple[int, int]], most: int) -> int:
+    """The lowest bin with which, from the top down, at most ``most`` entries are kept (above all bins if the top one has more)."""
+    total, least = 0, max(at for at, _ in bins) + 1
+    for at, n in sorted(bins, reverse=True):
+        total += n
+        if total > most:
+            break
+        least = at
+    return least
+
+
 def _log_frequencies(rows, langs: list[str], totals: dict[str, tuple[int, int]], smooth: float = 0.1) -> tuple[dict[str, int], np.ndarray]:
     at = {lang: i for i, lang in enumerate(langs)}
     base = np.array([totals[lang][0] + smooth * (totals[lang][1] + 1) for lang in langs], dtype=float)
