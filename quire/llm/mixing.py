@@ -78,7 +78,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     upto = F.col("start") + F.sum("words").over(Window.partitionBy("source_key").orderBy("rank", "id")) - F.col("words")
     taken = groups.withColumn("upto", upto).where(F.col("upto") + F.col("words") / 2 <= F.col("missing"))
     last = taken.groupBy("source_key").agg(F.max(F.struct("rank", "id")).alias("last"))
-    by = shares.join(cells.select("source_key", "cut_cell").join(last, "source_key", "left"), "source_key", "left")
+    # a row a source; as a table its size is known, so that Spark sends it to the documents where it is small
+    by = written(shares.join(cells.select("source_key", "cut_cell").join(last, "source_key", "left"), "source_key", "left"))
     inside = (F.col("cell") == F.col("cut_cell")) & F.col("last").isNotNull() & (F.struct("rank", "id") <= F.col("last"))
     more = F.when((F.col("chance") > 0) & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | inside), 1).otherwise(0)
     final = ranked(sized if carry else small, by).withColumn("copies", (F.col("whole") + more).cast("long"))
