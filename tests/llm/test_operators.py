@@ -240,6 +240,45 @@ def test_backoff_is_word_first():
     assert scorer.score("xabcx").tolist() == [-9.0, -1.0]
 
 
+def test_language_keeps_every_count(spark):
+    """However little is sent to the executors, texts score as by all counts (brute force)."""
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice(k) for _ in range(rng.randint(1, 6)))
+    text = lambda k: " ".join(word(k) for _ in range(rng.randint(0, 12)))
+    train = [(i, text(("abcde", "cdefg", "efgab")[i % 3]), "xyz"[i % 3]) for i in range(120)]
+    asked = [(i, text("abcdefghé")) for i in range(120)] + [(7, "abc cde 日本 abc"), (None, None), (None, "é")]
+    learned = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    counts = {0: {k: Counter(w for _, s, lang in train if lang == k for w in langid.words_of(s)) for k in "xyz"}}
+    for order in langid.ORDERS:
+        counts[order] = {k: Counter(g for w in counts[0][k].elements() for g in langid.grams_of(w, order)) for k in "xyz"}
+
+    def row(order, gram):
+        own = counts[order]
+        if any(gram in c for c in own.values()):
+            return np.array([np.log((own[k][gram] + 0.1) / (sum(own[k].values()) + 0.1 * (len(own[k]) + 1))) for k in "xyz"])
+        return None
+
+    def score(w):
+        if (own := row(0, w)) is not None:
+            return own
+        for order in langid.ORDERS:
+            if found := [x for g in langid.grams_of(w, order) if (x := row(order, g)) is not None]:
+                return np.mean(found, axis=0)
+        return np.zeros(3)
+
+    want = []
+    for i, s in asked:
+        own = langid.words_of(s or "")
+        total = sum((score(w) for w in own), np.zeros(3))
+        want.append((i, "xyz"[int(np.argmax(total))] if own else "und", float(1 / np.exp(total - total.max()).sum()) if own else 0.0))
+    for words, grams in ((200_000, 40_000), (40, 10), (0, 0)):
+        got = [tuple(r) for r in langid.predict(docs, langid.learn(learned, words=words, grams=grams), ["doc_id"]).collect()]
+        order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+        for x, y in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+            assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-9
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
 
 
