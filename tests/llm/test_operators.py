@@ -144,6 +144,51 @@ def test_keep_first(docs, none, rows):
     assert simhash.keep_first(none).count() == 0
 
 
+def test_keep_first_decides_by_jaccard(spark):
+    """Copies with words added, a block replaced or words scattered go from Jaccard 0.8 on, and below it stay."""
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, gone = [], set()
+    for _ in range(40):
+        base = prose(300)
+        block, scattered = base[:100] + prose(25) + base[125:], list(base)
+        for i in rng.sample(range(300), rng.choice((4, 5, 8, 9))):
+            scattered[i] = prose(1)[0]
+        for kind, near in enumerate((base + prose(60), base + prose(90), block, base[:100] + prose(40) + base[140:], scattered)):
+            fresh = {w: f"{w}k{kind}t{len(texts)}" for w in base}  # another pair for each kind
+            x, y = [fresh[w] for w in base], [fresh.get(w, w) for w in near]
+            texts += [x, y]
+            if len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y)):
+                gone.add(len(texts) - 1)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert 60 < len(gone) < 160
+    left = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert set(range(len(texts))) - left == gone
+
+
+def test_similar_links_in_blocks(spark):
+    """A crowded key is compared in blocks, and none of its pairs is left out."""
+    rng = random.Random(13)
+    base, own = list(range(100)), {}
+    for n in range(60):
+        own[n] = sorted({*rng.sample(base, 85), *(1000 * n + 5000 + k for k in range(rng.choice((0, 5, 40))))})
+    rows = [(n, [7], np.array(x, dtype=np.uint64).tobytes()) for n, x in own.items()]
+    sets = spark.createDataFrame(rows, "node long, keys array<long>, shingles binary")
+    up = {n: n for n in own}
+    for a in own:
+        for b in own:
+            x, y = set(own[a]), set(own[b])
+            if a < b and 5 * len(x & y) >= 4 * len(x | y):
+                up = {n: up[a] if up[n] == up[b] else up[n] for n in up}
+    want = {frozenset(n for n in own if up[n] == r) for r in up.values()}
+    for block in (256, 7):
+        groups = {}
+        for r in simhash.components(simhash.similar_links(sets, block=block)).collect():
+            groups.setdefault(r.root, set()).add(r.node)
+        assert {frozenset(x) for x in groups.values()} == {x for x in want if len(x) > 1}
+
+
 def test_packing(docs, none, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = packing.pack_documents(docs, group=16).collect()
