@@ -433,6 +433,30 @@ def test_secret_network(spark):
     assert got[0] == ["model"] and got[1] == []
 
 
+def test_secret_behind_words():
+    """A secret behind 40 characters of words is judged too, and the threshold is the recall quantile however low."""
+    net, x = secret_scan.Network(), "words/and/more/words/in/a/path/of/a/page/"
+    text = f"see {x}Q7Z9K2X8J4W6V1Y3Q7Z9K2X8J4W6V1Y3Q7Z9K2X8 there, {x[:38]}"
+    spans = secret_scan.candidates(text)
+    codes, first = secret_scan.windows(text, spans)
+    assert len(spans) == 2 and first.tolist() == [0, spans[0][1] - spans[0][0] - 39] and len(codes) == first[1] + 1
+    for k in range(first[1]):
+        at = spans[0][0] + k
+        assert codes[k, secret_scan.LEFT : secret_scan.LEFT + 40].tolist() == [secret_scan._CODES[ord(c)] for c in text[at : at + 40]]
+    logits = net.logits(codes)
+    assert np.allclose(net.worst(codes, first), [logits[: first[1]].max(), logits[first[1]]])
+    net.threshold = float(net.calibrated(logits[1 : first[1]].max()))
+    if logits[0] < logits[1 : first[1]].max():
+        assert [s[:3] for s in secret_scan.all_spans(text, [], net) if s[0] == spans[0][0]] == [(spans[0][0], 3, spans[0][1])]
+
+
+def test_secret_threshold_is_the_recall_quantile(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "platt", lambda logits, y: (0.0, -2.0))  # every probability is 0.12
+    data = [(i, f"the {'abcdefghij'[i % 10] * 18} token = {hashlib.md5(str(i).encode()).hexdigest()} of {'klmnopqrst'[i % 7] * 20} x") for i in range(60)]
+    net = secret_scan.fit(spark.createDataFrame(data, "doc_id long, text string"))
+    assert abs(net.threshold - 1 / (1 + np.exp(2))) < 1e-9
+
+
 def test_warc(spark):
     odd = "a\r\n\r\nWARC/1.1\r\n\r\n\r"
     table = [(1, "http://x", odd), (2, None, None), (3, "u", ""), (4, "é\n", "é" * 3000 + "\r\n" * 7), (5, "q", "\r\n"), (None, "z", odd), (6, "q", "é" * 3000 + "\r\n" * 7), (7, "r", odd), (7, "r", odd), (8, "s", None)]
