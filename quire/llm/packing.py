@@ -8,7 +8,7 @@ is packed again with one window more. No group is larger than ``group``, so memo
 nothing is shuffled.
 
 A word is tokenised once a worker: text is cut at ASCII white space (which this tokenizer drops, and which no token spans),
-and ids are kept by word, up to twice ``REMEMBERED`` words.
+and ids are kept by word and by its letters in lower case, up to twice ``REMEMBERED`` of each.
 
 Defined cases: null and empty texts have the end id alone; repeated rows are packed each; null ids are kept; an empty table
 gives no pieces.
@@ -19,7 +19,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -29,58 +32,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm.common import as_bytes
+from quire.llm.common import as_bytes, slices
 
 CAPACITY = 2048
+_SUM = itemgetter(0)
 END_ID = 1
-#: Words of each of two generations: the older one is dropped when the newer is full, but for words met again since.
-REMEMBERED = 100_000
+#: Words, and word stems, of each of two generations: the older one is dropped when the newer is full, but for words met again since.
+REMEMBERED = 300_000
 
 
 #: Latin letters, which this tokenizer lower-cases and takes as one piece, and ASCII punctuation after them, another piece.
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+_PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 #: Printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 characters for themselves, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _STAND_INS = {**{b: chr(b) for b in _PLAIN}, **{b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}}
 
 
-class WordIds(dict):
-    """Little-endian 32-bit token ids by word (UTF-8), filled on demand; at most twice ``REMEMBERED`` words are held.
+class WordIds:
+    """Little-endian 32-bit token ids of texts (UTF-8), word by word.
 
-    A plain word goes to the tokenizer's merge model alone, without the passes over the text before it; the result is the same.
+    A plain word goes to the tokenizer's merge model alone, in lower case and once for all endings, without the passes over the
+    text before it; the result is the same.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.older: dict[bytes, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, most: int = REMEMBERED):
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.merge = self.tokenizer.model.tokenize
+        self.words, self.older_words, self.stems, self.older_stems = {}, {}, {}, {}
         probe = "Éducation thing's, unlike. Stra\u00dfe"
-        self.plain = all(self.merged(w) == self.encoded(w) for w in re.findall(_SIMPLE.pattern.partition(")")[0][1:], probe))
+        self.plain = all(self.merged(w.lower()) == self.encoded(w) for w in re.findall(_SIMPLE.pattern.partition(")")[0][1:], probe))
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def merged(self, letters: str) -> bytes:
-        low = letters.lower()
+    def merged(self, low: str) -> bytes:
         pieces = low if low.isascii() else low.encode().decode("latin-1").translate(_STAND_INS)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(pieces)])
+        return array("I", [t.id for t in self.merge(pieces)]).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
+    def stem(self, letters: bytes) -> bytes:
+        ids = self.stems.get(letters)
         if ids is None:
-            text = word.decode()
-            simple = _SIMPLE.fullmatch(text) if self.plain else None
-            ids = self.merged(simple[1]) + (self[simple[2].encode()] if simple[2] else b"") if simple else self.encoded(text)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
+            ids = self.older_stems.get(letters)
+            if ids is None:
+                ids = self.merged(letters.decode())
+            self.stems[letters] = ids
         return ids
 
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def made(self, word: bytes) -> bytes:
+        if not self.plain:
+            return self.encoded(word.decode())
+        letters = word.rstrip(_PUNCTUATION)
+        if letters.isalpha():  # of ASCII
+            stem = letters.lower()
+        elif simple := _SIMPLE.fullmatch(text := word.decode()):
+            letters = simple[1].encode()
+            stem = simple[1].lower().encode()
+        else:
+            return self.encoded(text)
+        ids = self.stem(stem)
+        if len(letters) < len(word):
+            ending = word[len(letters) :]
+            if ending not in self.words:
+                self.words[ending] = self.encoded(ending.decode())
+            ids += self.words[ending]
+        return ids
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Words are looked up here and made once; long ones are forgotten with the call."""
+        if len(self.words) > self.most:
+            self.older_words, self.words = self.words, {}
+        if len(self.stems) > self.most:
+            self.older_stems, self.stems = self.stems, {}
+        split = [t.split() for t in texts]
+        words, older, made = self.words, self.older_words, self.made
+        long = []
+        for word in set(chain.from_iterable(split)).difference(words):
+            ids = older.get(word)
+            words[word] = made(word) if ids is None else ids
+            if len(word) > 64:
+                long.append(word)
+        out = [b"".join(map(words.__getitem__, s)) for s in split]
+        for word in long:
+            del words[word]
+        return out
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -93,27 +128,28 @@ def word_ids(path: str) -> WordIds:
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
-    """Multiway Karmarkar-Karp: the numbers 0.. of ``sizes`` dealt over ``windows`` nearly equal sums."""
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(windows, dtype=np.int64)
-        sums[0] = size  # descending; the rest is empty
-        heap.append((-size, i, sums, {0: [i]}))
+    """Multiway Karmarkar-Karp: the numbers 0.. of ``sizes`` dealt over ``windows`` nearly equal sums.
+
+    A partial partition is its windows in use, heaviest first, each its sum over the lightest window and its numbers.
+    """
+    heap = [(-size, i, [(size, [i])]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, i, a, a_items = heapq.heappop(heap)
-        _, _, b, b_items = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(-sums, kind="stable")
-        place = np.empty(windows, dtype=np.int64)
-        place[order] = np.arange(windows)
-        items = {int(place[w]): x for w, x in a_items.items()}
-        for w, x in b_items.items():
-            at = int(place[windows - 1 - w])
-            items[at] = items[at] + x if at in items else x
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), i, sums - sums[-1], items))
-    return [heap[0][3].get(w, []) for w in range(windows)]
+        _, i, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        free_a, free_b = windows - len(a), windows - len(b)
+        if len(a) > free_b:  # the heaviest of one fall on the lightest of the other
+            both = [(x + y, own + more) for (x, own), (y, more) in zip(a[free_b:], b[: free_a - 1 if free_a else None : -1], strict=True)]
+            after = a[:free_b] + both + b[:free_a]
+            after.sort(key=_SUM, reverse=True)
+            if lightest := after[-1][0]:
+                after = [(x - lightest, own) for x, own in after]
+            spread = after[0][0]
+        else:
+            after = sorted(a + b, key=_SUM, reverse=True)
+            spread = after[0][0] - (after[-1][0] if len(after) == windows else 0)
+        heapq.heappush(heap, (-spread, i, after))
+    return [own for _, own in heap[0][2]]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -134,6 +170,15 @@ def _cuts(n: int, capacity: int, piece: int) -> Iterator[tuple[int, int]]:
     yield from ((a, min(piece, n - a)) for a in range(full, n, piece))
 
 
+def _tokenised(batch: pa.RecordBatch, ids_of: WordIds) -> Iterator[tuple[object, bytes]]:
+    """Id and token ids, with the end id, of each row, of some texts at a time."""
+    for a in range(0, batch.num_rows, 256):
+        keys, texts = batch["id"].slice(a, 256).to_pylist(), as_bytes(batch["text"].slice(a, 256))
+        for low, high in slices(texts):
+            for key, ids in zip(keys[low:high], ids_of.of(texts[low:high]), strict=True):
+                yield key, ids + END_ID.to_bytes(4, "little")
+
+
 def _run(path: str, capacity: int, piece: int, group: int):
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -158,8 +203,7 @@ def _run(path: str, capacity: int, piece: int, group: int):
 
         for batch in batches:
             kind = batch.schema.field("id").type
-            for key, text in ((k, t) for a in range(0, batch.num_rows, 256) for k, t in zip(batch["id"].slice(a, 256).to_pylist(), as_bytes(batch["text"].slice(a, 256)), strict=True)):
-                ids = ids_of.of(text) + END_ID.to_bytes(4, "little")
+            for key, ids in _tokenised(batch, ids_of):
                 n = len(ids) // 4
                 for start, length in _cuts(n, capacity, piece):
                     row = (key, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)

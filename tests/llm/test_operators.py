@@ -226,7 +226,7 @@ def test_word_ids_equal_the_tokenizer():
     rng, own = random.Random(1), packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
     letters = "abcXYZéÉßñÑ'.,!?-_<|>endoftext 019½ªºµÿŸİſΣςκ日 ́ \t\n\x0b\x85\xa0\u2003"
     for text in ["<|endoftext|>", "a<|endoftext|>b", "<|ENDOFTEXT|>", "don't I'LL he'd", *("".join(rng.choice(letters) for _ in range(14)) for _ in range(3000))]:
-        assert own.of(text.encode()) == own.encoded(text)
+        assert own.of([text.encode()]) == [own.encoded(text)]
 
 
 def test_quality(spark, docs, none, rows):
