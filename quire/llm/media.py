@@ -1,51 +1,49 @@
-"""Local image descriptors: cropped and edited copies by corners, rotated binary tests, Hamming-table joins and geometric consensus.
-
-1. Equal image bytes are one *picture* from here on, whatever the number of copies.
-2. On two scales, the strongest local maxima of the Harris response are corners; the intensity centroid of the patch around a
-   corner gives its orientation (in 30 degree steps), by which 256 fixed pixel-pair tests are rotated: one descriptor.
-3. The descriptor is cut into four words of 64 bits; descriptors that share a word at its place are candidates (an equi-join
-   for each place), and match if all 256 bits differ in at most ``bits`` places. A bucket with over ``crowd`` pictures links
-   each of them to its smallest and its largest picture only, which joins the copies among them through those two; the other
-   words and corners of a picture meet elsewhere.
-4. Each match votes for a rotation, scale and shift; pictures with ``votes`` or more in one cell of these (cells overlap by
-   half, so a cluster at an edge is whole in a neighbour) are linked. Voting is a grouped count.
+"""Local image descriptors: cropped and edited copies by multiscale corners, rotated binary tests, Hamming-table joins and geometric consensus.
+
+1. Images of equal bytes (SHA-256) are one *picture* from here on, whatever the number of copies.
+2. On a pyramid of factor 1.15, local maxima of the Harris response are corners, as many as the level's area has room for; the
+   intensity centroid of the patch around a corner gives its orientation, by which 256 fixed pixel-pair tests are rotated: one descriptor.
+3. In each of eight Hamming tables a descriptor has a key of 56 of its bits. Rows of (key, picture and corner) are sorted by key once;
+   pictures that meet in ``meet`` corners or more are candidates. Of n differing bits of 256 a table meets with a chance of about
+   (1 - n/256)**56: one of the eight with 0.6 at 10 bits, 0.1 at 20 bits; a copy needs two corners of its 30 and more.
+4. A candidate pair is decided on all its corners: each corner's nearest descriptor in the other picture, within ``bits``, is a match,
+   any two matches give a rotation, scale and shift, and pictures are linked if ``votes`` matches at different places agree on one.
 5. Linked pictures form classes; an image's class is the smallest image id in it.
 
+A bucket (one key) of over ``crowd`` rows, as a large group of copies makes, gives neighbours in picture order only at first. Where its
+pictures are one class after that, nothing can be missing. Where not, its rows meet in blocks, every two of them in one task, so
+that all its pairs are candidates after all: whole, with work that grows with the square of such a bucket.
+
 Images are binary PGM (``P5``, 8 bits). Defined cases: a null or undecodable image, or one too small for corners, has no
-descriptor and is in a class with its equals (nulls each alone); repeated rows share a class; an empty table gives no rows.
+descriptor and is in a class with its equals (nulls each alone); repeated rows share a class; ties of corners' strength go by place;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import mixed, written
 from quire.llm.simhash import components
 
 RADIUS = 7
-STEPS = 12
-_rng = np.random.default_rng(5)
-_PAIRS = np.clip(_rng.normal(0, RADIUS / 2.2, (256, 4)), -RADIUS + 2, RADIUS - 2)
-
-
-def _rotated() -> np.ndarray:
-    """For each orientation, the places in a patch of the 256 pairs."""
-    side, out = 2 * RADIUS + 1, []
-    for step in range(STEPS):
-        c, s = np.cos(2 * np.pi * step / STEPS), np.sin(2 * np.pi * step / STEPS)
-        x, y = _PAIRS[:, [0, 2]], _PAIRS[:, [1, 3]]
-        u, v = np.clip(np.rint(c * x - s * y), -RADIUS, RADIUS).astype(int), np.clip(np.rint(s * x + c * y), -RADIUS, RADIUS).astype(int)
-        out.append((v + RADIUS) * side + u + RADIUS)
-    return np.stack(out)
-
-
-_PLACES = _rotated()
+STEPS = 24
+FACTOR = 1.15
+TABLES, WIDTH = 8, 56
+#: The bits of a descriptor that are a table's key.
+_TABLE_BITS = np.stack([np.random.default_rng(k).permutation(256)[:WIDTH] for k in range(TABLES)])
+#: Pixels of a level for each corner of it.
+ROOM = 400
+#: A corner as the picture's table keeps it: its place in the picture, and its descriptor.
+CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("bits", "<u8", (4,))])
 _DISC = np.hypot(*np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS, RADIUS + 1))) <= RADIUS
 
 
@@ -65,14 +63,31 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (x[:, :, :-2] + 2 * x[:, :, 1:-1] + x[:, :, 2:]) / 16
 
 
-def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Image number, row and column of the ``most`` strongest corners of each of equally large images."""
-    x = images.astype(np.float32)
+def _padded(x: np.ndarray, by: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (by, by), (by, by)), mode="edge")
+
+
+def resized(images: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Equally large images at another size, by linear interpolation."""
+    out = images
+    for axis, size in ((1, height), (2, width)):
+        n = out.shape[axis]
+        at = np.clip((np.arange(size) + 0.5) * (n / size) - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(int), max(0, n - 2))
+        part = (at - low).astype(np.float32).reshape((-1, 1) if axis == 1 else (-1,))
+        out = np.take(out, low, axis=axis) * (1 - part) + np.take(out, np.minimum(low + 1, n - 1), axis=axis) * part
+    return out
+
+
+def corners(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Image number, row and column of the strongest corners of each of equally large (smoothed) images."""
+    x = images
     dx, dy = (x[:, 1:-1, 2:] - x[:, 1:-1, :-2]) / 2, (x[:, 2:, 1:-1] - x[:, :-2, 1:-1]) / 2
-    a, b, c = _smooth(dx * dx), _smooth(dy * dy), _smooth(dx * dy)
-    r = a * b - c * c - 0.05 * (a + b) ** 2
-    edge = RADIUS + 2 - 2  # the response is two pixels smaller on each side; patches of the smoothed image need RADIUS + 1
-    if min(r.shape[1:]) <= 2 * edge + 2:
+    a, b, c = (_smooth(_smooth(_padded(v, 2))) for v in (dx * dx, dy * dy, dx * dy))
+    r = _padded(a * b - c * c - 0.05 * (a + b) ** 2, 1)
+    edge = RADIUS + 1
+    height, width = r.shape[1] - 2 * edge, r.shape[2] - 2 * edge
+    if min(height, width) < 3:
         return (np.zeros(0, int),) * 3
     inner = r[:, edge:-edge, edge:-edge]
     top = np.ones(inner.shape, dtype=bool)
@@ -81,117 +96,290 @@ def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.n
             if u or v:
                 top &= inner >= r[:, edge + v : r.shape[1] - edge + v, edge + u : r.shape[2] - edge + u]
     value = np.where(top & (inner > 1), inner, 0).reshape(len(x), -1)
-    k = min(most, value.shape[1])
-    at = np.argpartition(-value, k - 1, axis=1)[:, :k]
+    k = min(max(4, images.shape[1] * images.shape[2] // ROOM), value.shape[1])
+    at = np.argsort(-value, axis=1, kind="stable")[:, :k]
     image, rank = np.nonzero(np.take_along_axis(value, at, axis=1) > 0)
     flat = at[image, rank]
-    return image, flat // inner.shape[2] + edge + 2, flat % inner.shape[2] + edge + 2
-
-
-def describe(images: np.ndarray, image: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Orientation step and 256-bit descriptor (four words) of each corner."""
-    flat, offset = _smooth(images.astype(np.float32)), np.arange(-RADIUS, RADIUS + 1)
-    patch = flat[image[:, None, None], row[:, None, None] - 1 + offset[None, :, None], col[:, None, None] - 1 + offset[None, None, :]]
+    return image, flat // width + edge, flat % width + edge
+
+
+def rotated(pairs: np.ndarray) -> np.ndarray:
+    """For each orientation, the places in a patch of the pairs (x, y of either pixel), turned by it."""
+    angle = 2 * np.pi * np.arange(STEPS)[:, None, None] / STEPS
+    x, y = pairs[None, :, 0::2], pairs[None, :, 1::2]
+    u, v = (np.clip(np.rint(z), -RADIUS, RADIUS).astype(int) + RADIUS for z in (np.cos(angle) * x - np.sin(angle) * y, np.sin(angle) * x + np.cos(angle) * y))
+    return v * (2 * RADIUS + 1) + u
+
+
+@cache
+def tests(count: int = 256, offered: int = 3000) -> np.ndarray:
+    """``rotated`` places of the pixel pairs that are compared: of random ones those that tell most on pictures of smoothed noise,
+    each near half and half, and little correlated with those before it. Chosen on the driver, so that all tasks use the same."""
+    rng = np.random.default_rng(5)
+    pairs = np.clip(rng.normal(0, RADIUS / 2, (offered, 4)), -RADIUS + 0.5, RADIUS - 0.5)
+    noise = [rng.random((12, 96 // k + 1, 96 // k + 1)).repeat(k, axis=1).repeat(k, axis=2)[:, :96, :96] for k in (2, 4, 8)]
+    images = _smooth(_smooth(_padded(255 * np.concatenate(noise), 2)))
+    told = compared(images, *corners(images), rotated(pairs)).astype(np.float32)
+    bias = np.abs(told.mean(axis=0) - 0.5)
+    told = (told - told.mean(axis=0)) / np.maximum(told.std(axis=0), 1e-3) / np.sqrt(len(told))
+    chosen, tied = [], bias.copy()  # at each step the pair that is least biased and least like any chosen one
+    for _ in range(count):
+        best = int(tied.argmin())
+        chosen.append(best)
+        tied = np.maximum(tied, np.abs(told.T @ told[:, best]))
+        tied[best] = np.inf
+    order = np.arange(count).reshape(-1, TABLES).T.reshape(-1)  # every table gets early and late ones
+    return rotated(pairs[np.array(chosen)[order]])
+
+
+def compared(images: np.ndarray, image: np.ndarray, row: np.ndarray, col: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Outcome of each test of each corner, turned by the corner's orientation."""
+    offset = np.arange(-RADIUS, RADIUS + 1)
+    patch = images[image[:, None, None], row[:, None, None] + offset[None, :, None], col[:, None, None] + offset[None, None, :]]
     disc = patch * _DISC
     step = np.rint(np.arctan2((disc * offset[None, :, None]).sum(axis=(1, 2)), (disc * offset[None, None, :]).sum(axis=(1, 2))) * STEPS / (2 * np.pi)).astype(int) % STEPS
-    values = np.take_along_axis(patch.reshape(len(patch), -1)[:, None, :].repeat(1, axis=1)[:, 0], _PLACES[step].reshape(len(patch), -1), axis=1).reshape(-1, 256, 2)
-    return step, np.packbits(values[:, :, 0] < values[:, :, 1], axis=1).view(np.uint64)
-
-
-_POINTS = "picture long, x double, y double, scale int, turn int, w0 long, w1 long, w2 long, w3 long"
-
+    values = np.take_along_axis(patch.reshape(len(patch), -1), places[step].reshape(len(patch), -1), axis=1).reshape(len(patch), -1, 2)
+    return values[:, :, 0] < values[:, :, 1]
+
+
+def features(images: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """The corners (``CORNER``) of each of equally large images, over all levels of the pyramid."""
+    found = [[np.zeros(0, CORNER)] for _ in images]
+    base, level = images.astype(np.float32), 0
+    while True:
+        grow = FACTOR**level
+        height, width = int(round(images.shape[1] / grow)), int(round(images.shape[2] / grow))
+        if min(height, width) < 4 * RADIUS or level > 24:
+            return [np.concatenate(x) for x in found]
+        own = _smooth(_smooth(_padded(resized(base, height, width) if level else base, 2)))
+        image, row, col = corners(own)
+        if len(image):
+            rows = np.zeros(len(image), CORNER)
+            rows["x"], rows["y"], rows["bits"] = (col + 0.5) * images.shape[2] / width, (row + 0.5) * images.shape[1] / height, np.packbits(compared(own, image, row, col, places), axis=1).view(np.uint64)
+            cuts = np.searchsorted(image, np.arange(len(images) + 1))
+            for i, x in enumerate(found):
+                x.append(rows[cuts[i] : cuts[i + 1]])
+        level += 1
+        if level % 4 == 0:  # from a smaller copy, so that far levels are not sampled from single pixels
+            base = resized(_smooth(_padded(base, 1)), max(4, base.shape[1] // 2), max(4, base.shape[2] // 2)) if min(base.shape[1:]) > 8 * RADIUS else base
+
+
+def _describe(places: np.ndarray):
+    """Digest and corners of each image; a task describes a picture once and leaves the corners of its later copies null."""
 
-def _features(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # a task describes a picture once, so that copies of one picture are few rows from here on
+        seen: set[bytes] = set()
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                names, shapes = part["picture"].to_pylist(), {}
-                for i, image in enumerate(part["image"].to_pylist()):
-                    pixels = None if names[i] in seen else decode(image)
-                    seen.add(names[i])
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                images, digests, blobs, shapes = part["image"].to_pylist(), [], [None] * part.num_rows, {}
+                for i, image in enumerate(images):
+                    digests.append(None if image is None else hashlib.sha256(image).digest())
+                    if image is None or digests[i] in seen:
+                        continue
+                    seen.add(digests[i])
+                    pixels = decode(image)
+                    blobs[i] = b""
                     if pixels is not None:
                         shapes.setdefault(pixels.shape, []).append((i, pixels))
-                columns = [[] for _ in range(9)]
                 for own in shapes.values():
-                    number, images = np.array([i for i, _ in own]), np.stack([x for _, x in own]).astype(np.float32)
-                    for scale in (1, 2):
-                        if scale == 2:
-                            h, w = images.shape[1] // 2, images.shape[2] // 2
-                            images = images[:, : 2 * h, : 2 * w].reshape(len(images), h, 2, w, 2).mean(axis=(2, 4))
-                        if min(images.shape[1:]) < 4 * RADIUS:
-                            break
-                        image, row, col = corners(images, most // scale)
-                        if len(image):
-                            turn, words = describe(images, image, row, col)
-                            for c, x in zip(columns, ([names[i] for i in number[image]], col * scale, row * scale, np.full(len(row), scale), turn, *words.view(np.int64).T), strict=True):
-                                c.extend(x if isinstance(x, list) else x.tolist())
-                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _POINTS.split(", ")])
+                    for (i, _), found in zip(own, features(np.stack([x for _, x in own]), places), strict=True):
+                        blobs[i] = found.tobytes()
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], ["id", "digest", "corners"])
+
+    return run
+
+
+def keys_of(bits: np.ndarray) -> np.ndarray:
+    """The keys of descriptors (four words each) in the tables: ``WIDTH`` bits of the 256, and the table's number."""
+    own = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 32), axis=1)
+    keys = np.zeros((len(own), TABLES, 8), dtype=np.uint8)
+    keys[:, :, : WIDTH // 8] = np.packbits(own[:, _TABLE_BITS].reshape(-1, WIDTH), axis=1).reshape(-1, TABLES, WIDTH // 8)
+    keys[:, :, -1] = np.arange(TABLES)
+    return keys.view(np.uint64)[:, :, 0]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            own = [np.frombuffer(x or b"", CORNER) for x in part["corners"].to_pylist()]
+            sizes = np.array([len(x) for x in own])
+            number = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            who = (np.repeat(part["picture"].to_numpy().astype(np.int64), sizes) << 20) | number
+            keys = mixed(keys_of(np.concatenate(own)["bits"])) if len(own) else np.zeros((0, TABLES), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(who, TABLES))], ["key", "who"])
+
+
+def _meet(crowd: int):
+    """Rows come sorted by key and ``who``. Pairs of one key, or in a crowd its neighbours; and the rows of crowds (``b`` null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_key, kept, crowded = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # the last key's rows so far; the key that is known to be crowded
+        last = None
+
+        def told(keys: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+            size = np.diff(np.append(start, len(keys)))
+            many = np.repeat(size > crowd, size)
+            if crowded is not None:
+                many |= keys == crowded
+            out = []
+            small_key, small = keys[~many], who[~many]
+            for d in range(1, crowd):
+                same = np.flatnonzero(small_key[:-d] == small_key[d:]) if len(small) > d else ()
+                if not len(same):
+                    break
+                out.append((small_key[same], small[same], small[same + d]))
+            large_key, large = keys[many], who[many]
+            if last is not None and len(large) and large_key[0] == crowded:
+                large_key, large = np.append(crowded, large_key), np.append(last, large)
+            near = np.flatnonzero(large_key[:-1] == large_key[1:]) if len(large) else np.zeros(0, int)
+            out.append((large_key[near], large[near], large[near + 1]))
+            k, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            other = a >> 20 != b >> 20
+            k, a, b = np.append(k[other], keys[many]), np.append(a[other], who[many]), pa.array(np.append(b[other] >> 20, np.full(many.sum(), -1)))
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(a >> 20), pa.array(a & 0xFFFFF), b], ["key", "a", "corner", "b"])
+
+        for batch in batches:
+            keys, who = np.append(kept_key, batch["key"].to_numpy()), np.append(kept, batch["who"].to_numpy())
+            if not len(keys):
+                continue
+            begin = int(np.searchsorted(keys == keys[-1], True)) if keys[0] != keys[-1] else 0  # where the last key's rows begin
+            if keys[-1] == crowded or len(keys) - begin > crowd:  # no need to wait for the rest of it
+                yield told(keys, who)
+                crowded, last = keys[-1], who[-1]
+                kept_key, kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            else:
+                if begin:
+                    yield told(keys[:begin], who[:begin])
+                    crowded, last = None, None
+                kept_key, kept = keys[begin:], who[begin:]
+        if len(kept):
+            yield told(kept_key, kept)
 
     return run
 
 
-def descriptors(pictures: DataFrame, most: int = 12) -> DataFrame:
-    """A row for each corner of each ``picture`` (with its ``image``): place, scale, orientation step and descriptor. Several
-    tasks may describe a picture that has copies, with the same rows."""
-    return pictures.select("picture", "image").mapInArrow(_features(most), _POINTS)
-
-
-def links(points: DataFrame, bits: int = 40, votes: int = 3, crowd: int = 32, shift: float = 6.0) -> DataFrame:
-    """Pairs of pictures (``a`` < ``b``) with ``votes`` matches that agree on rotation, scale and shift."""
-    words = [F.struct(F.lit(k).alias("place"), F.col(f"w{k}").alias("word")) for k in range(4)]
-    where = F.shiftleft(F.col("x").cast("long"), 40) + F.shiftleft(F.col("y").cast("long"), 16) + F.shiftleft(F.col("scale"), 8) + F.col("turn")
-    placed = points.select("picture", where.alias("where"), "w0", "w1", "w2", "w3", F.explode(F.array(*words)).alias("at"))
-    # narrow rows, dealt out by their bucket once: counting buckets and joining within them need no more exchanges
-    placed = placed.select(F.col("at.place").alias("place"), F.col("at.word").alias("word"), "picture", "where", "w0", "w1", "w2", "w3").repartition("place", "word").dropDuplicates(["place", "word", "picture", "where"])
-    buckets = placed.groupBy("place", "word").agg(F.count("*").alias("n"), F.min("picture").alias("first"), F.max("picture").alias("last")).where("first < last")
-    several = placed.join(buckets, ["place", "word"])
-    few, many = several.where(F.col("n") <= crowd), several.where(F.col("n") > crowd)
-    side = lambda df, p: df.select("place", "word", *[F.col(c).alias(f"{p}_{c}") for c in ("picture", "where", "w0", "w1", "w2", "w3")])
-    # a match is taken at the first place where its words agree
-    first = F.lit(True)
-    for k in range(1, 4):
-        first = F.when(F.col("place") == k, ~F.coalesce(*[F.when(F.col(f"a_w{j}") == F.col(f"b_w{j}"), True) for j in range(k)], F.lit(False))).otherwise(first)
-    near = side(few, "a").join(side(few, "b"), ["place", "word"]).where(F.col("a_picture") < F.col("b_picture")).where(first)
-    # the two ends of a crowd, one corner each
-    ends = many.where("picture = first or picture = last").dropDuplicates(["place", "word", "picture"])
-    far = side(ends, "a").join(side(many, "b"), ["place", "word"]).where("a_picture <> b_picture")
-    pairs = near.drop("place", "word").unionByName(far.drop("place", "word").distinct())
-    apart = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(1, 4)), F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))))
-    pairs = pairs.where(apart <= bits)
-    fields = {"x": (40, 0xFFFFFF), "y": (16, 0xFFFFFF), "scale": (8, 0xFF), "turn": (0, 0xFF)}
-    pairs = pairs.withColumns({f"{p}_{c}": F.shiftright(f"{p}_where", at).bitwiseAND(F.lit(mask)) for p in "ab" for c, (at, mask) in fields.items()})
-    turn, scale = F.pmod(F.col("b_turn") - F.col("a_turn"), F.lit(STEPS)), F.log2(F.col("b_scale") / F.col("a_scale"))
-    angle = turn * (2 * np.pi / STEPS)
-    grow = F.col("b_scale") / F.col("a_scale")
-    dx = F.col("b_x") - grow * (F.cos(angle) * F.col("a_x") - F.sin(angle) * F.col("a_y"))
-    dy = F.col("b_y") - grow * (F.sin(angle) * F.col("a_x") + F.cos(angle) * F.col("a_y"))
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), F.floor(dx / shift + (k % 2) / 2).alias("u"), F.floor(dy / shift + (k // 2) / 2).alias("v")) for k in range(4)]))
-    voted = pairs.select(F.col("a_picture").alias("a"), F.col("b_picture").alias("b"), turn.alias("turn"), scale.alias("grow"), "a_where", cells.alias("cell"))
-    count = voted.groupBy("a", "b", "turn", "grow", "cell").agg(F.countDistinct("a_where").alias("n"))
-    return count.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("n").alias("votes")).where(F.col("votes") >= votes)
-
-
-def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", most: int = 12) -> DataFrame:
-    """``class_id`` (the smallest id among the copies), ``n_copies`` (images in the class) and ``n_links`` (pictures linked
-    to the image's picture) of every image."""
+def consensus(a: np.ndarray, b: np.ndarray, bits: int, votes: int, within: float = 1.5) -> bool:
+    """Whether ``votes`` corners at different places of ``a`` match corners of ``b`` under one rotation, scale and shift."""
+    if min(len(a), len(b)) < votes:
+        return False
+    best, apart = np.zeros(len(a), int), np.full(len(a), 257)
+    for low in range(0, len(b), 1024):
+        d = np.zeros((len(a), len(b[low : low + 1024])), dtype=np.int16)
+        for w in range(4):
+            d += np.bitwise_count(a["bits"][:, None, w] ^ b["bits"][None, low : low + 1024, w])
+        own = d.argmin(axis=1)
+        least = d[np.arange(len(a)), own]
+        best, apart = np.where(least < apart, own + low, best), np.minimum(apart, least)
+    match = np.flatnonzero(apart <= bits)
+    if len(match) < votes:
+        return False
+    p = a["x"][match] + 1j * a["y"][match]
+    q = b["x"][best[match]] + 1j * b["y"][best[match]]
+    n = len(p)
+    i, j = (np.repeat(np.arange(n), 32), np.repeat(np.arange(n), 32) + np.tile(np.arange(1, 33), n))
+    i, j = i[j < n], j[j < n]
+    far = (np.abs(p[i] - p[j]) > 2 * within) & (np.abs(q[i] - q[j]) > 2 * within)
+    i, j = i[far], j[far]
+    turn = (q[j] - q[i]) / (p[j] - p[i])
+    fits = (np.abs(turn) > 1 / 3) & (np.abs(turn) < 3)
+    i, turn = i[fits], turn[fits]
+    place = np.unique(np.stack([p.real // (2 * within), p.imag // (2 * within)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    target = np.unique(np.stack([q.real // (2 * within), q.imag // (2 * within)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    for low in range(0, len(i), 4096):
+        z, at = turn[low : low + 4096, None], i[low : low + 4096, None]
+        inside = np.abs(z * (p[None, :] - p[at]) + q[at] - q[None, :]) <= within
+        for row in np.flatnonzero(inside.sum(axis=1) >= votes):
+            if min(len(set(place[inside[row]].tolist())), len(set(target[inside[row]].tolist()))) >= votes:
+                return True
+    return False
+
+
+def _decide(bits: int, votes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [consensus(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER), bits, votes) for x, y in zip(batch["of_a"].to_pylist(), batch["of_b"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(yes, pa.bool_())), batch["b"].filter(pa.array(yes, pa.bool_()))], ["a", "b"])
+
+    return run
+
+
+def _decided(met: DataFrame, pictures: DataFrame, meet: int, bits: int, votes: int) -> DataFrame:
+    """The links among pairs (``a``, ``b``) that met in ``meet`` corners of ``a`` or more."""
+    often = met.groupBy("a", "b").agg(F.countDistinct("corner").alias("n")).where(F.col("n") >= meet).select("a", "b")
+    side = lambda c: pictures.select(F.col("picture").alias(c), F.col("corners").alias(f"of_{c}"))
+    return often.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_decide(bits, votes), "a long, b long")
+
+
+def links(pictures: DataFrame, bits: int = 40, votes: int = 5, meet: int = 2, crowd: int = 256) -> DataFrame:
+    """Pairs (``a`` < ``b``) whose classes are those of all linked pairs of ``pictures`` (``picture``, ``corners``)."""
+    keyed = pictures.mapInArrow(_keys, "key long, who long").repartition("key").sortWithinPartitions("key", "who")
+    met = written(keyed.mapInArrow(_meet(crowd), "key long, a long, corner long, b long"))
+    found = written(_decided(met.where("b >= 0").select("a", "b", "corner"), pictures, meet, bits, votes))
+    crowds = met.where("b < 0").select("key", F.col("a").alias("picture"), "corner")
+    if crowds.isEmpty():
+        return found
+    # crowds whose pictures are in several classes: all their pairs of different classes, block by block
+    roots = components(found).withColumnRenamed("node", "picture")
+    crowds = crowds.join(roots, "picture", "left").withColumn("root", F.coalesce("root", "picture"))
+    mixed_keys = crowds.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / F.lit(crowd)).cast("int").alias("blocks"))
+    rest = crowds.join(mixed_keys, "key").withColumn("own", F.pmod(F.xxhash64("picture"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "picture", "corner", "root")
+    met = rest.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "picture").mapInArrow(_meet_in_blocks, "a long, b long, corner long")
+    return found.unionAll(written(_decided(met, pictures, meet, bits, votes)))
+
+
+def _meet_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes within each two blocks (of one block, where both are one); rows come sorted by key and blocks."""
+    held, key = [], None
+    for batch in batches:
+        rows = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "low", "high", "own", "picture", "corner", "root")], axis=1)
+        out = []
+        for row in np.split(rows, np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1) if len(rows) else ():
+            if key is None or (row[0, :3] != key).any():
+                key, held = row[0, :3].copy(), []
+            before = np.concatenate([*held, row])
+            i, j = np.nonzero((before[:, None, 6] != row[None, :, 6]) & (before[:, None, 4] < row[None, :, 4]) & ((key[1] == key[2]) | (before[:, None, 3] != row[None, :, 3])))
+            k, m = np.nonzero((before[:, None, 6] != row[None, :, 6]) & (before[:, None, 4] > row[None, :, 4]) & ((key[1] == key[2]) | (before[:, None, 3] != row[None, :, 3])) & (np.arange(len(before)) < len(before) - len(row))[:, None])
+            out += [np.stack([before[i, 4], row[j, 4], before[i, 5]], axis=1), np.stack([row[m, 4], before[k, 4], row[m, 5]], axis=1)]
+            held.append(row)
+        pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c]) for c in range(3)], ["a", "b", "corner"])
+
+
+def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", crowd: int = 256) -> DataFrame:
+    """``class_id`` (the smallest id among the copies) and ``n_copies`` (images in the class) of every image."""
     given = images.select(F.col(id_col).alias("id"), F.col(image_col).alias("image"))
-    named = given.withColumn("picture", F.xxhash64(F.coalesce(F.sha2("image", 256), F.concat(F.lit("null:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))))
-    ids = written(named.select("id", "picture"))
-    points = written(descriptors(named, most))
-    found = written(links(points))
-    roots = components(found.select("a", "b"))
-    ends = found.select(F.col("a").alias("picture")).unionAll(found.select(F.col("b").alias("picture"))).groupBy("picture").agg(F.count("*").alias("n_links"))
-    firsts = ids.groupBy("picture").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(ends, "picture", "left").withColumn("node", F.col("picture"))
-    firsts = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = firsts.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_copies"))
-    known = firsts.join(classes, "root").select("picture", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return ids.join(known, "picture").select(F.col("id").alias(id_col), "class_id", "n_copies", "n_links")
+    kind = given.schema["id"].dataType.simpleString()
+    seen = written(given.mapInArrow(_describe(tests()), f"id {kind}, digest binary, corners binary"))
+    pictures = written(seen.where("corners is not null").dropDuplicates(["digest"]).select("digest", "corners").withColumn("picture", F.monotonically_increasing_id()))
+    roots = components(links(pictures.select("picture", "corners"), crowd=crowd))
+    named = pictures.select("digest", "picture").join(roots.withColumnRenamed("node", "picture"), "picture", "left").select("digest", F.coalesce("root", "picture").alias("root"))
+    own = seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(named, "digest")
+    classes = own.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_copies"))
+    known = own.join(classes, "root").select("digest", "class_id", "n_copies")
+    with_image = seen.where("digest is not null").select("id", "digest").join(known, "digest").select("id", "class_id", "n_copies")
+    alone = seen.where("digest is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    return with_image.unionAll(alone).withColumnRenamed("id", id_col)
 
 
 SIDE = 64
+EDITS = ("crop", "resize", "turn", "noise")
+
+
+def edited(whole: np.ndarray, edit: str, rng: np.random.Generator) -> np.ndarray:
+    """A copy of a picture: cropped, dimmed and brightened; resized to nine tenths; turned by a right angle; or with noise."""
+    if edit == "crop":
+        down, right = rng.integers(0, 13, size=2)
+        return 0.8 * whole[down : down + whole.shape[0] - 12, right : right + whole.shape[1] - 12] + 25
+    if edit == "resize":
+        return resized(whole[None].astype(np.float32), round(0.9 * whole.shape[0]), round(0.9 * whole.shape[1]))[0]
+    if edit == "turn":
+        return np.rot90(whole, int(rng.integers(1, 4)))
+    return whole + rng.normal(0, 4, whole.shape)
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,16 +391,15 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coarse = rng.random((SIDE // 8 + 2, SIDE // 8 + 2)).repeat(8, axis=0).repeat(8, axis=1)[: SIDE + 4, : SIDE + 4]
             fine = rng.random((SIDE // 2 + 2, SIDE // 2 + 2)).repeat(2, axis=0).repeat(2, axis=1)[: SIDE + 4, : SIDE + 4]
             whole = _smooth(_smooth((120 * coarse + 130 * fine)[None]))[0]
-            down, right = rng.integers(0, 13, size=2)
-            edited = np.clip(0.8 * whole[down : down + SIDE - 12, right : right + SIDE - 12] + 25, 0, 255)
-            for edit, pixels in ((0, whole), (1, edited)):
-                out["image_id"].append(2 * (key or 0) + edit)
+            edit = EDITS[int(rng.integers(0, len(EDITS)))]
+            for name, pixels in (("none", whole), (edit, edited(whole, edit, rng))):
+                out["image_id"].append(2 * (key or 0) + (name != "none"))
                 out["vec_id"].append(key)
-                out["edit"].append(edit)
-                out["image"].append(pgm(np.rint(pixels)))
-        yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["edit"], pa.int32()), pa.array(out["image"], pa.binary())], list(out))
+                out["edit"].append(name)
+                out["image"].append(pgm(np.rint(np.clip(pixels, 0, 255))))
+        yield pa.RecordBatch.from_arrays([pa.array(out["image_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["edit"], pa.string()), pa.array(out["image"], pa.binary())], list(out))
 
 
 def rendered(vectors: DataFrame) -> DataFrame:
-    """A media table from vectors: for each, a picture that it seeds, and the picture cropped, dimmed and brightened."""
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_render, "image_id long, vec_id long, edit int, image binary")
+    """A media table from vectors: for each, a picture that it seeds, and a copy with one of the ``EDITS``."""
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_render, "image_id long, vec_id long, edit string, image binary")
