@@ -1,11 +1,11 @@
 """Local image descriptors: cropped and edited copies by multiscale corners, rotated binary tests, Hamming-table joins and geometric consensus.
 
 1. Images of equal bytes (SHA-256) are one *picture* from here on, whatever the number of copies.
-2. On a pyramid of factor 1.15, local maxima of the Harris response are corners, as many as the level's area has room for; the
-   intensity centroid of the patch around a corner gives its orientation, by which 256 fixed pixel-pair tests are rotated: one descriptor.
-3. In each of eight Hamming tables a descriptor has a key of 56 of its bits. Rows of (key, picture and corner) are sorted by key once;
-   pictures that meet in ``meet`` corners or more are candidates. Of n differing bits of 256 a table meets with a chance of about
-   (1 - n/256)**56: one of the eight with 0.6 at 10 bits, 0.1 at 20 bits; a copy needs two corners of its 30 and more.
+2. On a pyramid of factor 1.1, local maxima of the Harris response are corners, as many as the level's area has room for; the
+   intensity centroid of the patch around a corner gives its orientation, by which 256 pixel-pair tests are rotated: one descriptor.
+3. In each of five Hamming tables a descriptor has a key of 56 of its bits. Rows of (key, picture and corner, 16 more bits) are sorted by
+   key once; rows of one key that differ in at most ``CHECK`` of the 16 bits meet, and pictures that meet in two corners are candidates.
+   Of n differing bits of 256 a table meets with a chance of about (1 - n/256)**56: one of the five with 0.9 at 4 bits, 0.4 at 10 bits.
 4. A candidate pair is decided on all its corners: each corner's nearest descriptor in the other picture, within ``bits``, is a match,
    any two matches give a rotation, scale and shift, and pictures are linked if ``votes`` matches at different places agree on one.
 5. Linked pictures form classes; an image's class is the smallest image id in it.
@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,13 @@ from quire.llm.simhash import components
 
 RADIUS = 7
 STEPS = 24
-FACTOR = 1.15
-TABLES, WIDTH = 8, 56
-#: The bits of a descriptor that are a table's key.
-_TABLE_BITS = np.stack([np.random.default_rng(k).permutation(256)[:WIDTH] for k in range(TABLES)])
+FACTOR = 1.1
+TABLES, WIDTH = 5, 56
+#: The bits of a descriptor that are a table's key, of the tests chosen first, which tell most; and the bits that go along as a check.
+_TABLE_BITS = np.stack([np.random.default_rng(k).permutation(160)[:WIDTH] for k in range(TABLES)])
+_CHECK_BITS, CHECK = np.arange(160, 256, 6), 3
 #: Pixels of a level for each corner of it.
-ROOM = 400
+ROOM = 480
 #: A corner as the picture's table keeps it: its place in the picture, and its descriptor.
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("bits", "<u8", (4,))])
 _DISC = np.hypot(*np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS, RADIUS + 1))) <= RADIUS
@@ -96,7 +98,7 @@ def corners(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if u or v:
                 top &= inner >= r[:, edge + v : r.shape[1] - edge + v, edge + u : r.shape[2] - edge + u]
     value = np.where(top & (inner > 1), inner, 0).reshape(len(x), -1)
-    k = min(max(4, images.shape[1] * images.shape[2] // ROOM), value.shape[1])
+    k = min(max(3, images.shape[1] * images.shape[2] // ROOM), value.shape[1])
     at = np.argsort(-value, axis=1, kind="stable")[:, :k]
     image, rank = np.nonzero(np.take_along_axis(value, at, axis=1) > 0)
     flat = at[image, rank]
@@ -128,8 +130,7 @@ def tests(count: int = 256, offered: int = 3000) -> np.ndarray:
         chosen.append(best)
         tied = np.maximum(tied, np.abs(told.T @ told[:, best]))
         tied[best] = np.inf
-    order = np.arange(count).reshape(-1, TABLES).T.reshape(-1)  # every table gets early and late ones
-    return rotated(pairs[np.array(chosen)[order]])
+    return rotated(pairs[chosen])
 
 
 def compared(images: np.ndarray, image: np.ndarray, row: np.ndarray, col: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -165,18 +166,20 @@ def features(images: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
 
 
 def _describe(places: np.ndarray):
-    """Digest and corners of each image; a task describes a picture once and leaves the corners of its later copies null."""
+    """Digest and corners of each image; a task describes and numbers a picture once and leaves those of its later copies null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        task = TaskContext.get().partitionId() << 23
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
-                images, digests, blobs, shapes = part["image"].to_pylist(), [], [None] * part.num_rows, {}
+                images, digests, blobs, numbers, shapes = part["image"].to_pylist(), [], [None] * part.num_rows, [None] * part.num_rows, {}
                 for i, image in enumerate(images):
                     digests.append(None if image is None else hashlib.sha256(image).digest())
                     if image is None or digests[i] in seen:
                         continue
+                    numbers[i] = task + len(seen)
                     seen.add(digests[i])
                     pixels = decode(image)
                     blobs[i] = b""
@@ -185,7 +188,7 @@ def _describe(places: np.ndarray):
                 for own in shapes.values():
                     for (i, _), found in zip(own, features(np.stack([x for _, x in own]), places), strict=True):
                         blobs[i] = found.tobytes()
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], ["id", "digest", "corners"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(digests, pa.binary()), pa.array(blobs, pa.binary()), pa.array(numbers, pa.int64())], ["id", "digest", "corners", "picture"])
 
     return run
 
@@ -204,59 +207,55 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, batch.num_rows, 1024):
             part = batch.slice(a, 1024)
             own = [np.frombuffer(x or b"", CORNER) for x in part["corners"].to_pylist()]
-            sizes = np.array([len(x) for x in own])
+            sizes = np.array([len(x) for x in own], dtype=np.int64)
             number = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             who = (np.repeat(part["picture"].to_numpy().astype(np.int64), sizes) << 20) | number
-            keys = mixed(keys_of(np.concatenate(own)["bits"])) if len(own) else np.zeros((0, TABLES), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(who, TABLES))], ["key", "who"])
+            bits = np.concatenate([np.zeros(0, CORNER), *own])["bits"]
+            keys, check = mixed(keys_of(bits)), np.unpackbits(np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 32), axis=1)[:, _CHECK_BITS] @ (1 << np.arange(len(_CHECK_BITS), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(who, TABLES)), pa.array(np.repeat(check.astype(np.int32), TABLES))], ["key", "who", "check"])
 
 
 def _meet(crowd: int):
-    """Rows come sorted by key and ``who``. Pairs of one key, or in a crowd its neighbours; and the rows of crowds (``b`` null)."""
+    """Rows come sorted by key and ``who``. Pairs of one key whose check bits are alike, or in a crowd its neighbours, as (``a``, ``b``,
+    corner of ``a``); and the rows of crowds, as (key, -1 - picture, corner)."""
+
+    def told(keys: np.ndarray, who: np.ndarray, check: np.ndarray, many: np.ndarray, last: tuple | None) -> pa.RecordBatch:
+        small_key, small, bits = keys[~many], who[~many], check[~many]
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for d in range(1, crowd):
+            same = np.flatnonzero(small_key[:-d] == small_key[d:]) if len(small) > d else ()
+            if not len(same):
+                break
+            same = same[np.bitwise_count(bits[same] ^ bits[same + d]) <= CHECK]
+            pairs.append((small[same], small[same + d]))
+        large_key, large = keys[many], who[many]
+        before_key, before = (large_key, large) if last is None else (np.append(last[0], large_key), np.append(last[1], large))
+        near = np.flatnonzero(before_key[:-1] == before_key[1:]) if len(before) else np.zeros(0, int)
+        pairs.append((before[near], before[near + 1]))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        other = a >> 20 != b >> 20
+        columns = np.append(a[other] >> 20, large_key), np.append(b[other] >> 20, -1 - (large >> 20)), np.append(a[other], large) & 0xFFFFF
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "corner"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_key, kept, crowded = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # the last key's rows so far; the key that is known to be crowded
-        last = None
-
-        def told(keys: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
-            start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-            size = np.diff(np.append(start, len(keys)))
-            many = np.repeat(size > crowd, size)
-            if crowded is not None:
-                many |= keys == crowded
-            out = []
-            small_key, small = keys[~many], who[~many]
-            for d in range(1, crowd):
-                same = np.flatnonzero(small_key[:-d] == small_key[d:]) if len(small) > d else ()
-                if not len(same):
-                    break
-                out.append((small_key[same], small[same], small[same + d]))
-            large_key, large = keys[many], who[many]
-            if last is not None and len(large) and large_key[0] == crowded:
-                large_key, large = np.append(crowded, large_key), np.append(last, large)
-            near = np.flatnonzero(large_key[:-1] == large_key[1:]) if len(large) else np.zeros(0, int)
-            out.append((large_key[near], large[near], large[near + 1]))
-            k, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            other = a >> 20 != b >> 20
-            k, a, b = np.append(k[other], keys[many]), np.append(a[other], who[many]), pa.array(np.append(b[other] >> 20, np.full(many.sum(), -1)))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(a >> 20), pa.array(a & 0xFFFFF), b], ["key", "a", "corner", "b"])
-
+        kept = [np.zeros(0, np.int64)] * 3  # the rows of the last key so far, while they are not a crowd
+        last = None  # key and row before, while a crowd goes on
         for batch in batches:
-            keys, who = np.append(kept_key, batch["key"].to_numpy()), np.append(kept, batch["who"].to_numpy())
+            keys, who, check = (np.append(k, batch[c].to_numpy().astype(np.int64)) for k, c in zip(kept, ("key", "who", "check"), strict=True))
             if not len(keys):
                 continue
-            begin = int(np.searchsorted(keys == keys[-1], True)) if keys[0] != keys[-1] else 0  # where the last key's rows begin
-            if keys[-1] == crowded or len(keys) - begin > crowd:  # no need to wait for the rest of it
-                yield told(keys, who)
-                crowded, last = keys[-1], who[-1]
-                kept_key, kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            else:
-                if begin:
-                    yield told(keys[:begin], who[:begin])
-                    crowded, last = None, None
-                kept_key, kept = keys[begin:], who[begin:]
-        if len(kept):
-            yield told(kept_key, kept)
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            size = np.diff(np.append(start, len(keys)))
+            many = np.repeat(size > crowd, size)
+            if last is not None:
+                many |= keys == last[0]
+            end = len(keys) if many[-1] else int(start[-1])  # a crowd's rows need not wait for the rest of it
+            if end:
+                yield told(keys[:end], who[:end], check[:end], many[:end], last)
+                last = (keys[-1], who[-1]) if many[-1] else None
+            kept = [keys[end:], who[end:], check[end:]]
+        if len(kept[0]):
+            yield told(*kept, np.zeros(len(kept[0]), dtype=bool), None)
 
     return run
 
@@ -306,30 +305,35 @@ def _decide(bits: int, votes: int):
     return run
 
 
-def _decided(met: DataFrame, pictures: DataFrame, meet: int, bits: int, votes: int) -> DataFrame:
-    """The links among pairs (``a``, ``b``) that met in ``meet`` corners of ``a`` or more."""
-    often = met.groupBy("a", "b").agg(F.countDistinct("corner").alias("n")).where(F.col("n") >= meet).select("a", "b")
+def _often(met: DataFrame) -> DataFrame:
+    """Pairs that met in two corners of ``a`` at least; and the rows of crowds."""
+    both = met.groupBy("a", "b").agg(F.min("corner").alias("corner"), F.max("corner").alias("other"))
+    return both.where("b < 0 or corner < other")
+
+
+def _decided(pairs: DataFrame, pictures: DataFrame, bits: int, votes: int) -> DataFrame:
+    """The links among pairs (``a``, ``b``)."""
     side = lambda c: pictures.select(F.col("picture").alias(c), F.col("corners").alias(f"of_{c}"))
-    return often.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_decide(bits, votes), "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_decide(bits, votes), "a long, b long")
 
 
-def links(pictures: DataFrame, bits: int = 40, votes: int = 5, meet: int = 2, crowd: int = 256) -> DataFrame:
+def links(pictures: DataFrame, bits: int = 32, votes: int = 4, crowd: int = 1024) -> DataFrame:
     """Pairs (``a`` < ``b``) whose classes are those of all linked pairs of ``pictures`` (``picture``, ``corners``)."""
-    keyed = pictures.mapInArrow(_keys, "key long, who long").repartition("key").sortWithinPartitions("key", "who")
-    met = written(keyed.mapInArrow(_meet(crowd), "key long, a long, corner long, b long"))
-    found = written(_decided(met.where("b >= 0").select("a", "b", "corner"), pictures, meet, bits, votes))
-    crowds = met.where("b < 0").select("key", F.col("a").alias("picture"), "corner")
+    keyed = pictures.mapInArrow(_keys, "key long, who long, check int").repartition("key").sortWithinPartitions("key", "who")
+    often = written(_often(keyed.mapInArrow(_meet(crowd), "a long, b long, corner long")))
+    found = written(_decided(often.where("b >= 0").select("a", "b"), pictures, bits, votes))
+    crowds = often.where("b < 0").select(F.col("a").alias("key"), (-1 - F.col("b")).alias("picture"), F.explode(F.array_distinct(F.array("corner", "other"))).alias("corner"))
     if crowds.isEmpty():
         return found
     # crowds whose pictures are in several classes: all their pairs of different classes, block by block
     roots = components(found).withColumnRenamed("node", "picture")
     crowds = crowds.join(roots, "picture", "left").withColumn("root", F.coalesce("root", "picture"))
-    mixed_keys = crowds.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / F.lit(crowd)).cast("int").alias("blocks"))
-    rest = crowds.join(mixed_keys, "key").withColumn("own", F.pmod(F.xxhash64("picture"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "picture", "corner", "root")
+    several = crowds.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / F.lit(crowd)).cast("int").alias("blocks"))
+    rest = crowds.join(several, "key").withColumn("own", F.pmod(F.xxhash64("picture"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "block").alias("low"), F.greatest("own", "block").alias("high"), "own", "picture", "corner", "root")
     met = rest.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "picture").mapInArrow(_meet_in_blocks, "a long, b long, corner long")
-    return found.unionAll(written(_decided(met, pictures, meet, bits, votes)))
+    return found.unionAll(written(_decided(_often(met).select("a", "b"), pictures, bits, votes)))
 
 
 def _meet_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,14 +358,17 @@ def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image"
     """``class_id`` (the smallest id among the copies) and ``n_copies`` (images in the class) of every image."""
     given = images.select(F.col(id_col).alias("id"), F.col(image_col).alias("image"))
     kind = given.schema["id"].dataType.simpleString()
-    seen = written(given.mapInArrow(_describe(tests()), f"id {kind}, digest binary, corners binary"))
-    pictures = written(seen.where("corners is not null").dropDuplicates(["digest"]).select("digest", "corners").withColumn("picture", F.monotonically_increasing_id()))
-    roots = components(links(pictures.select("picture", "corners"), crowd=crowd))
-    named = pictures.select("digest", "picture").join(roots.withColumnRenamed("node", "picture"), "picture", "left").select("digest", F.coalesce("root", "picture").alias("root"))
+    seen = written(given.mapInArrow(_describe(tests()), f"id {kind}, digest binary, corners binary, picture long"))
+    # a picture that several tasks described is known by its least number
+    known = written(seen.where("picture is not null").groupBy("digest").agg(F.min("picture").alias("picture"), F.count("*").alias("n")))
+    again = written(seen.where("picture is not null").join(known.where("n > 1").select("digest", F.col("picture").alias("least")), "digest").where("picture <> least").select("picture"))
+    pictures = seen.where("picture is not null").select("picture", "corners").join(again, "picture", "left_anti")
+    roots = components(links(pictures, crowd=crowd))
+    named = known.select("digest", "picture").join(roots.withColumnRenamed("node", "picture"), "picture", "left").select("digest", F.coalesce("root", "picture").alias("root"))
     own = seen.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(named, "digest")
     classes = own.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_copies"))
-    known = own.join(classes, "root").select("digest", "class_id", "n_copies")
-    with_image = seen.where("digest is not null").select("id", "digest").join(known, "digest").select("id", "class_id", "n_copies")
+    classed = own.join(classes, "root").select("digest", "class_id", "n_copies")
+    with_image = seen.where("digest is not null").select("id", "digest").join(classed, "digest").select("id", "class_id", "n_copies")
     alone = seen.where("digest is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
     return with_image.unionAll(alone).withColumnRenamed("id", id_col)
 

@@ -54,7 +54,7 @@ def test_tables_against_all_pairs(spark):
     whole = [0.5 * noise(rng, 34) + 0.5 * media.resized(noise(rng, 8)[None], 64, 64)[0] for _ in range(12)]
     shown = [x for w in whole for x in (w, media.resized(w[None], 58, 58)[0], w[4:60, 6:64])]
     found = [media.features(np.rint(np.clip(x, 0, 255))[None], media.tests())[0] for x in shown]
-    want = {(i, j) for j in range(len(found)) for i in range(j) if media.consensus(found[i], found[j], 40, 5)}
+    want = {(i, j) for j in range(len(found)) for i in range(j) if media.consensus(found[i], found[j], 32, 4)}
     pictures = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(found)], "picture long, corners binary")
     got = {(r.a, r.b) for r in media.links(pictures).collect()}
     assert got <= want and len(want) >= 24 and len(got) >= 0.9 * len(want)
@@ -73,17 +73,20 @@ def test_crowds(spark):
 
 
 def test_meetings_equal_brute_force(spark):
-    """The stream of sorted rows, in batches of any size, meets every pair of a small key and chains a crowd; blocks meet every pair of it."""
+    """The stream of sorted rows, in batches of any size, meets every pair of a small key that the check bits allow and chains a crowd;
+    blocks meet every pair of it."""
     rng = np.random.default_rng(6)
-    rows = sorted({(int(k), int(p) << 20 | int(c)) for k, p, c in zip(rng.choice([1, 2, 3, 9, 9, 9, 9], 120), rng.integers(0, 40, 120), rng.integers(0, 3, 120))})
-    small = {(a >> 20, a & 0xFFFFF, b >> 20) for k, a in rows for m, b in rows if k == m != 9 and a < b and a >> 20 != b >> 20}
+    rows = sorted({(int(k), int(p) << 20 | int(c)) for k, p, c in zip(rng.choice([1, 2, 3, 9, 9, 9, 9], 120), rng.integers(0, 40, 120), rng.integers(0, 3, 120), strict=True)})
+    check = {r: int(rng.integers(0, 64)) for r in rows}
+    small = {(x[1] >> 20, x[1] & 0xFFFFF, y[1] >> 20) for x in rows for y in rows if x[0] == y[0] != 9 and x < y and x[1] >> 20 != y[1] >> 20 and (check[x] ^ check[y]).bit_count() <= media.CHECK}
+    crowd = [w for k, w in rows if k == 9]
+    chain = {(x >> 20, y >> 20) for x, y in zip(crowd, crowd[1:]) if x >> 20 != y >> 20}  # noqa: B905
     for size in (1, 7, 200):
-        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]], pa.int64()), pa.array([w for _, w in rows[i : i + size]], pa.int64())], ["key", "who"]) for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]], pa.int64()), pa.array([w for _, w in rows[i : i + size]], pa.int64()), pa.array([check[r] for r in rows[i : i + size]], pa.int32())], ["key", "who", "check"]) for i in range(0, len(rows), size)]
         got = [tuple(r.values()) for x in media._meet(30)(iter(batches)) for r in x.to_pylist()]
-        assert {(a, c, b) for k, a, c, b in got if b >= 0 and k != 9} == small
-        crowd = [w for k, w in rows if k == 9]
-        assert len(crowd) > 30 and sorted((a, c) for k, a, c, b in got if b < 0) == [(w >> 20, w & 0xFFFFF) for w in crowd]
-        assert {(a, b) for k, a, c, b in got if k == 9 and b >= 0} == {(x >> 20, y >> 20) for x, y in zip(crowd, crowd[1:]) if x >> 20 != y >> 20}  # noqa: B905
+        met = {(a, c, b) for a, b, c in got if b >= 0}
+        assert small <= met and {(a, b) for a, _, b in met - small} <= chain <= {(a, b) for a, _, b in met}
+        assert len(crowd) > 30 and sorted((-1 - b, c) for a, b, c in got if b < 0) == [(w >> 20, w & 0xFFFFF) for w in crowd]
     members = [(5, own, p, 0, p % 3) for p, own in enumerate(rng.integers(0, 3, 30).tolist())]
     dealt = sorted((k, min(own, o), max(own, o), p, own, c, r) for k, own, p, c, r in members for o in range(3))
     for size in (1, 11, 500):
