@@ -71,7 +71,7 @@ def op10_window_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_chunks, op2_language_backoff, op3_simhash_vantage, op4_url_markov, op5_pareto_mix, op6_secret_network, op7_image_corners, op8_quality_rules, op9_differencing_packs, op10_window_repeats)}
 
-#: op5 in SQL: the same targets in closed form, the same order of documents and the same cut, from one running sum a source.
+#: op5 in SQL: the same targets and chances in closed form, the same order of documents and the same cut, from one running sum a source.
 ORACLE: dict[str, str] = {
     "op5_pareto_mix": r"""
 WITH sized AS (
@@ -86,15 +86,24 @@ levels AS (
             / (sum(weight) OVER (ORDER BY fills_at, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM filling),
 level AS (SELECT min_by(level, fills_at) AS level FROM levels WHERE level <= fills_at),
 shares AS (SELECT source, source_size, least(most::DOUBLE, level.level * weight) AS target FROM levels, level),
-parts AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM shares),
-chances AS (SELECT *, target - whole * source_size AS missing, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS chance FROM parts),
+classes AS (SELECT source, length(bin(size)) AS digits, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY ALL),
+scaled AS (
+  SELECT c.*, s.source_size, s.target,
+         (s.target - 3 * coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / nullif(sum(words * digits) OVER (PARTITION BY c.source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE, 0) AS scale
+  FROM classes c JOIN shares s ON c.source IS NOT DISTINCT FROM s.source),
+expected AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3::DOUBLE, coalesce(max(CASE WHEN scale * digits <= 3 THEN scale END) OVER (PARTITION BY source), 3::DOUBLE) * digits) ELSE 0 END AS copies
+  FROM scaled),
+chances AS (
+  SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS chance,
+         target - CAST(sum(CAST(floor(copies) AS BIGINT) * words) OVER (PARTITION BY source) AS BIGINT) AS missing FROM expected),
 ranked AS (
   SELECT s.*, c.source_size, c.target, c.whole, c.missing, c.chance,
          ((draw / (1 - draw)) / (chance / (1 - chance))) AS odds
-  FROM sized s JOIN chances c ON s.source IS NOT DISTINCT FROM c.source),
+  FROM sized s JOIN chances c ON s.source IS NOT DISTINCT FROM c.source AND length(bin(s.size)) = c.digits),
 run AS (
-  SELECT *, odds / (1 + odds) AS rank, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id) - size AS upto FROM ranked)
+  SELECT *, odds / (1 + odds) AS rank, sum(CASE WHEN chance > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY chance > 0 DESC, odds / (1 + odds), doc_id) - size AS upto FROM ranked)
 SELECT doc_id, size, source_size, target,
        CAST((whole + CASE WHEN chance > 0 AND upto + size / 2::DOUBLE <= missing THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM run
 """,
