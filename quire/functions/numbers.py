@@ -40,7 +40,7 @@ def words_to_number(words: Column) -> Column:
 
 
 def spelled(n: Column) -> Column:
-    """0 to 999999 in English words."""
+    """0 to 999999999 in English words."""
     ones, tens = F.array(*[F.lit(w) for w in _ONES]), F.array(*[F.lit(w) for w in _TENS])
 
     def small(x: Column) -> Column:
@@ -48,8 +48,8 @@ def spelled(n: Column) -> Column:
         two = F.when(last < 20, F.element_at(ones, (last + 1).cast("int"))).otherwise(F.concat(F.element_at(tens, (F.floor(last / 10) - 1).cast("int")), F.when(last % 10 > 0, F.concat(F.lit("-"), F.element_at(ones, (last % 10 + 1).cast("int")))).otherwise("")))
         return F.when(x < 100, two).otherwise(F.concat(F.element_at(ones, (F.floor(x / 100) + 1).cast("int")), F.lit(" hundred"), F.when(last > 0, F.concat(F.lit(" and "), two)).otherwise("")))
 
-    high, low = F.floor(n / 1000), n % 1000
-    return F.when(n < 1000, small(n)).otherwise(F.concat(small(high), F.lit(" thousand"), F.when(low > 0, F.concat(F.lit(" "), small(low))).otherwise("")))
+    parts = [(F.floor(n / 1_000_000), " million"), (F.floor(n / 1000) % 1000, " thousand"), (n % 1000, "")]
+    return F.when(n == 0, "zero").otherwise(F.array_join(F.array_compact(F.array(*[F.when(x > 0, F.concat(small(x), F.lit(name))) for x, name in parts])), " "))
 
 
 def bytes_shown(n: Column) -> Column:

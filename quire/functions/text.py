@@ -61,6 +61,17 @@ def search_terms(question: Column, subject: Column, name: Column) -> Column:
     return F.concat(phrase, single, F.transform(F.array_distinct(content), lambda w: term(w, 1, False)))
 
 
+# Options of a choice, and characters of its longest question and of all.
+FIGURE_LIMIT, LONGEST_CHARS, TOTAL_CHARS = 254, 100_000, 200_000
+
+
+def figure_limit(length: Column, asked: Column, around: Column) -> Column:
+    """How many figures, each with ``around`` characters on either side, fit beside a text when ``asked`` choices list them all."""
+    option = 2 * around + 40
+    fits = F.least(F.lit(FIGURE_LIMIT), F.floor((LONGEST_CHARS - length) / option), F.floor((TOTAL_CHARS - length) / (asked * option)))
+    return F.greatest(F.lit(1), fits).cast("long")
+
+
 FIGURE = r"(?<![\w.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
 
 
@@ -69,20 +80,26 @@ def figures(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(FIGURE), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
 
 
+# A fixed value: what ends a cell of a line.
+CELL_ENDS = r"\s{3,}|[,;:.()]|\s(?:and|or|is|are|includes?|including|such as)\s"
+
+
 def cells(line: Column) -> Column:
-    """Capitalised names of at most 60 characters and 4 words in the parts of a line (columns, punctuation, "and", "or", ...)."""
-    parts = F.split(line, r"\s{3,}|[,;:.|]|\s+(?:and|or|is|are|includes|such as)\s+")
-    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.trim(p), r"^(?:[Tt]he|[Aa]n?)\s+", "")))
+    """Capitalised names of at most 60 characters and 4 words in the parts of a text's lines (columns, punctuation, "and", "or", ...), the
+    first spelling of each."""
+    bare = F.transform(F.split(line, r"\n|" + CELL_ENDS), lambda p: F.regexp_replace(F.trim(p), r"^(?i:the|a|an)\s+", ""))
     fit = F.filter(bare, lambda p: p.rlike("^[A-Z]") & (F.length(p) <= 60) & (F.size(F.split(p, r"\s+")) <= 4))
-    return F.array_distinct(fit)
+    folded = F.transform(fit, F.lower)
+    return F.filter(fit, lambda p, i: F.array_position(folded, F.lower(p)) == i + 1)
 
 
 def chunks(text: Column, most: int) -> Column:
     """The text, white space collapsed, in the fewest parts of at most ``most`` characters, nearly equal."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    n = F.greatest(F.ceil(F.length(flat) / F.lit(most)), F.lit(1)).cast("int")
-    size = F.ceil(F.length(flat) / n).cast("int")
-    return F.when(F.length(flat) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(flat, i * size + 1, size)))
+    # each step in a lambda's variable: an expression would be computed again for every chunk
+    sized = F.transform(F.array(flat), lambda f: F.struct(f.alias("flat"), F.length(f).alias("length"), F.ceil(F.length(f) / F.lit(most)).cast("int").alias("n")))
+    sized = F.transform(F.filter(sized, lambda s: s["n"] > 0), lambda s: F.struct(s["flat"].alias("flat"), s["n"].alias("n"), F.ceil(s["length"] / s["n"]).cast("int").alias("size")))
+    return F.flatten(F.transform(sized, lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.substring(s["flat"], i * s["size"] + 1, s["size"]))))
 
 
 def quantised(value: Column, places: int = 6) -> Column:
@@ -100,6 +117,8 @@ def excerpt(line: Column, word: Column, most: int = 200, before: int = 60) -> Co
 
 
 def sentences(text: Column) -> Column:
-    """Units of a paragraph: cut after a full stop, question or exclamation mark and white space, but not after "2."."""
-    marked = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"([^0-9][.!?]) ", "$1\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
+    """Units of a paragraph of two characters or more: cut after a full stop, question or exclamation mark and white space that no
+    small letter follows; "2." alone stays with what comes after it."""
+    marked = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?]) (?=[^a-z])", "\u0001")
+    glued = F.regexp_replace(marked, "(^|\u0001)([0-9]{1,3}\\.)\u0001", "$1$2 ")
+    return F.filter(F.split(glued, "\u0001"), lambda s: F.length(s) > 1)

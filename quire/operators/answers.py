@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,15 +12,20 @@ from quire.functions.text import STOPWORDS
 YES, SURE, DOUBT = 50, 70, 30
 
 
-def name_key(name: Column) -> Column:
-    """Lower case without an article before or punctuation after."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"^(?:the|an?)\s+", ""), r"[\s.,:;]+$", "")
+def name_key(name: Column, counted: str = "") -> Column:
+    """Lower case without an article before, punctuation after, or the kind that is ``counted`` (its last word, or the singular of it)."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"^(?:the|an?)\s+", ""), r"[\s.,:;]+$", "")
+    if not counted.split():
+        return bare
+    kind = counted.split()[-1].lower()
+    one = re.sub("ies$", "y", kind) if kind.endswith("ies") else re.sub("es$", "", kind) if re.search("(ch|sh|ss|x)es$", kind) else re.sub("s$", "", kind)
+    return F.regexp_replace(bare, rf"\s+(?:{re.escape(one)}|{re.escape(kind)})$", "")
 
 
-def counts(cells: DataFrame, *by: str) -> DataFrame:
+def counts(cells: DataFrame, *by: str, counted: str = "") -> DataFrame:
     """``names`` (their number) and ``p`` of each window: different names among the yeses in the style that most yeses have
     (the first seen on ties); p is the sure answers' share of sure and doubtful ones. No names: not stated, p 1."""
-    styled = cells.where(F.col("p") >= YES).groupBy(*by, "style").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.array_sort(F.collect_set(name_key(F.col("cell")))).alias("names"))
+    styled = cells.where(F.col("p") >= YES).groupBy(*by, "style").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.array_sort(F.collect_set(name_key(F.col("cell"), counted))).alias("names"))
     listed = styled.groupBy(*by).agg(F.max(F.struct("n", (-F.col("first")).alias("back"), "names")).alias("b"))
     sure = cells.groupBy(*by).agg(F.count_if(F.col("p") >= SURE).alias("sure"), F.count_if((F.col("p") >= DOUBT) & (F.col("p") < SURE)).alias("doubt"))
     out = sure.join(listed, list(by), "left")

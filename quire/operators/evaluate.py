@@ -43,7 +43,7 @@ def rule_grid(pairs: DataFrame, bars: DataFrame) -> DataFrame:
 
     Pairs are first counted by the bars they clear, so that the grid meets counts, not pairs."""
     counts = pairs.groupBy("a", "b").agg(F.count_if("good").alias("good"), F.count("*").alias("n"))
-    met = counts.join(F.broadcast(bars.limit(10_000)))
+    met = counts.crossJoin(bars)
     either, both = (F.col("a") >= F.col("a_bar")) | (F.col("b") >= F.col("b_bar")), (F.col("a") >= F.col("a_bar")) & (F.col("b") >= F.col("b_bar"))
     total = lambda rule, of: F.coalesce(F.sum(F.when(rule, F.col(of))), F.lit(0))
     return met.groupBy("a_bar", "b_bar").agg(total(either, "good").alias("or_good"), total(either, "n").alias("or_taken"), total(both, "good").alias("and_good"), total(both, "n").alias("and_taken"))

@@ -62,8 +62,9 @@ def overflow(files: DataFrame, cap: int) -> DataFrame:
 
 
 def recent(questions: DataFrame, typed: str, n: int = 5) -> DataFrame:
-    """The newest different questions (ignoring case) that hold what was typed."""
-    newest = questions.where(F.contains(F.lower("q"), F.lit(typed.lower()))).groupBy(F.lower("q").alias("key")).agg(F.max(F.struct("at", "id", "q")).alias("b"))
+    """The newest different questions (ignoring case) that hold what was typed, but for what was typed itself."""
+    typed = typed.strip().lower()
+    newest = questions.withColumn("q", F.trim("q")).where(F.contains(F.lower("q"), F.lit(typed)) & (F.lower("q") != typed)).groupBy(F.lower("q").alias("key")).agg(F.max(F.struct("at", "id", "q")).alias("b"))
     return newest.select("b.q", "b.at", "b.id").orderBy(F.desc("at"), F.desc("id")).limit(n)
 
 
@@ -73,8 +74,11 @@ def holding_all(rows: DataFrame, text: str, words: list[str]) -> DataFrame:
 
 
 def palette(rows: DataFrame, label: str, more: str, words: list[str], most: int = 40) -> DataFrame:
-    """Matches of a command palette: prefix of the label, then inside it, then elsewhere; input order within."""
-    typed = " ".join(words).lower()
+    """Matches of a command palette: the first word begins the label, then is inside it, then elsewhere; input order within.
+    Without words, the first rows."""
+    if not words:
+        return rows.withColumn("rank", F.lit(0)).orderBy("ord").limit(most)
+    typed = words[0].lower()
     rank = F.when(F.startswith(F.lower(label), F.lit(typed)), 0).when(F.contains(F.lower(label), F.lit(typed)), 1).otherwise(2)
     both = rows.withColumn("__t", F.concat_ws(" ", label, more))
     return holding_all(both, "__t", words).withColumn("rank", rank).orderBy("rank", "ord").limit(most).drop("__t")
@@ -100,10 +104,16 @@ def split_spend(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"micros": F.floor(F.col("tokens") * 42 / 1000).cast("long"), "other": F.greatest(F.lit(0), F.col("wall") - F.col("api") - F.col("extract"))})
 
 
-def placed(pages: DataFrame, gap: int) -> DataFrame:
-    """Top of each page in a viewer: heights and gaps before it."""
-    w = Window.partitionBy("book").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("top", F.coalesce(F.sum(F.col("height") + gap).over(w), F.lit(0)))
+def placed(pages: DataFrame, gap: int, block: int = 4096) -> DataFrame:
+    """Top of each page in a viewer: heights and gaps before it. Sums of blocks of pages, then sums within a block, so that a book
+    of most pages is many tasks' work."""
+    cut = pages.withColumn("__block", F.floor((F.col("page") - 1) / F.lit(block)))
+    ahead = Window.partitionBy("book").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("book", "__block").agg(F.sum(F.col("height") + gap).alias("__sum"))
+    sums = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
+    before = Window.partitionBy("book", "__block").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("__own", F.coalesce(F.sum(F.col("height") + gap).over(before), F.lit(0)))
+    return own.join(sums, ["book", "__block"]).withColumn("top", F.col("__ahead") + F.col("__own")).drop("__block", "__own", "__ahead")
 
 
 LINE = r"^(\s*)(.*?)(?:\s+\[(\d+) in, (\d+) out\])?$"

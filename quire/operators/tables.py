@@ -14,7 +14,8 @@ def lone(cells: Column) -> Column:
 
 
 def placeholder(cell: Column) -> Column:
-    return F.trim(F.lower(cell)).rlike("^(?:none|n/?a|n a|)$")
+    """Whether a cell stands for no value."""
+    return normalize(cell).rlike("^(none|n a|na|)$")  # a fixed value
 
 
 def tables_from(rows: DataFrame, by: str, order: str) -> DataFrame:
@@ -34,17 +35,16 @@ def tables_from(rows: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def heads_named(cells: Column) -> Column:
-    """Heads of a row: empty ones by their place, repeats with their number."""
+    """Heads of a row: empty ones by their place, repeats (and what a head before begins with) with their number."""
     filled = F.transform(cells, lambda c, i: F.when(c == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(c))
-    return F.transform(filled, lambda c, i: F.when(F.size(F.filter(F.slice(filled, 1, i), lambda x: x == c)) == 0, c).otherwise(F.concat(c, F.lit(" "), (F.size(F.filter(F.slice(filled, 1, i), lambda x: x == c)) + 1).cast("string"))))
+    return F.transform(filled, lambda c, i: F.when(F.size(F.filter(F.slice(filled, 1, i), lambda x: (x == c) | F.startswith(x, F.concat(c, F.lit(" "))))) == 0, c).otherwise(F.concat(c, F.lit(" "), (F.size(F.filter(F.slice(filled, 1, i), lambda x: (x == c) | F.startswith(x, F.concat(c, F.lit(" "))))) + 1).cast("string"))))
 
 
 def row_text(heads: Column, cells: Column) -> Column:
-    """A lone cell bare; else compact JSON of the filled cells by head, in column order."""
-    quote = lambda s: F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A lone cell bare; else compact JSON of the filled cells by head, in column order; of no filled cell, nothing."""
     filled = F.filter(F.arrays_zip(heads.alias("h"), cells.alias("c")), lambda z: z["c"] != "")
-    pairs = F.transform(filled, lambda z: F.concat(quote(z["h"]), F.lit(":"), quote(z["c"])))
-    return F.when(F.size(filled) == 1, F.element_at(filled, 1)["c"]).otherwise(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+    written = F.to_json(F.map_from_arrays(F.transform(filled, lambda z: z["h"]), F.transform(filled, lambda z: z["c"])))
+    return F.when(F.size(filled) == 0, "").when(F.size(filled) == 1, F.element_at(filled, 1)["c"]).otherwise(written)
 
 
 def same_names(ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -22,8 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def page_similarity(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """The best chunk's cosine of each (``qid``, ``book``, ``page``); ``queries`` (``qid``, ``v``) are few and sent to all tasks."""
-    met = chunks.join(F.broadcast(queries.withColumnRenamed("v", "__q").limit(1000)))
+    """The best chunk's cosine of each (``qid``, ``book``, ``page``) for a stated set of ``queries`` (``qid``, ``v``):
+    Spark sends them to all tasks where their size allows, and else meets them block by block."""
+    met = chunks.crossJoin(queries.withColumnRenamed("v", "__q"))
     return met.groupBy("qid", "book", "page").agg(F.max(F.coalesce(cosine(F.col("v"), F.col("__q")), F.lit(-1.0))).alias("similarity"))
 
 

@@ -164,8 +164,8 @@ def name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexical decider's gate: pages of which a window of the question's words reaches 0.2, by the fold over yes."""
-    asks = documents(spark, sf_dir).select(F.col("doc_id").alias("ask_id"), F.lit("yes").alias("option"), F.lit(0).alias("pos"), F.lit("this work is licensed under the public license").alias("instruction"), F.substring("text", 1, 400).alias("state"))
+    """The lexical decider's gate: pages whose share of the question's words reaches 0.2, by the fold over yes."""
+    asks = documents(spark, sf_dir).select(F.col("doc_id").alias("ask_id"), F.lit("yes").alias("option"), F.lit(0).alias("pos"), F.lit("this work is licensed under the public license").alias("instruction"), F.col("text").alias("state"))
     return decide.noul(decide.Lexical().answers(asks)).where("p >= 0.2").select(F.col("ask_id").alias("doc_id"), quantised(F.col("p")).alias("p"))
 
 
@@ -209,5 +209,5 @@ b AS (SELECT *, good OR (lower(word) = 'of' AND coalesce(lag(good) OVER v, false
 c AS (SELECT *, yes AND (NOT coalesce(lag(yes) OVER v, false) OR coalesce(lag(ends) OVER v, true)) AS begins FROM b WINDOW v AS (PARTITION BY item_id ORDER BY pos)),
 n AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM c)
 SELECT item_id, min(pos) AS pos, string_agg(word, ' ' ORDER BY pos) AS name FROM n WHERE yes GROUP BY item_id, run""",
-    "gate_pages": f"""WITH q AS (SELECT list_distinct({stem_list("'this work is licensed under the public license'")}) AS q), l AS (SELECT doc_id, floor(len(list_intersect(q, {stem_list("'yes ' || substring(text, 1, 400)")})) * 100 / greatest(len(q), 1) + 0.5) / 100 AS p FROM documents, q) SELECT doc_id, {q6('p')} AS p FROM l WHERE p >= 0.2""",
+    "gate_pages": f"""WITH q AS (SELECT list_distinct({stem_list("'this work is licensed under the public license'")}) AS q), l AS (SELECT doc_id, floor(len(list_intersect(q, {stem_list("'yes ' || text")})) * 100 / greatest(len(q), 1) + 0.5) / 100 AS p FROM documents, q) SELECT doc_id, {q6('p')} AS p FROM l WHERE p >= 0.2""",
 }

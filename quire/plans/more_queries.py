@@ -26,7 +26,7 @@ def _s(c: str):
 
 def number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of parts and orders spelled and read back."""
-    keys = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")).where("n < 1000000")
+    keys = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"))
     return keys.select("n", numbers.words_to_number(numbers.spelled(F.col("n"))).alias("read"))
 
 
@@ -169,7 +169,7 @@ def history_remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def viewer_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = paged(spark, sf_dir).select("book", "page", "doc_id", (F.length("text") % 400 + 100).cast("long").alias("height"))
-    return runlog.placed(pages.withColumn("book", F.concat_ws("/", "book", F.floor((F.col("page") - 1) / 50).cast("string"))), 12).select("doc_id", "top")
+    return runlog.placed(pages, 12).select("doc_id", "top")
 
 
 def coarse_to_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,14 +286,14 @@ def _r(salt: str, *cols: str) -> str:
 
 
 ORACLE = {
-    "sentence_units": "WITH m AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([^0-9][.!?]) ', '\\1' || chr(1), 'g') AS m FROM documents), l AS (SELECT doc_id, list_filter(string_split(m, chr(1)), lambda x: x <> '') AS l FROM m), e AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS u FROM l) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(u) AS INTEGER) AS chars, md5(u) AS digest FROM e",
+    "sentence_units": "WITH m AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS m FROM documents), c AS (SELECT doc_id, regexp_replace(regexp_replace(m, '([.!?]) ([^a-z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?]) ([^a-z])', '\\1' || chr(1) || '\\2', 'g') AS c FROM m), g AS (SELECT doc_id, regexp_replace(c, '(^|' || chr(1) || ')([0-9]{1,3}\\.)' || chr(1), '\\1\\2 ', 'g') AS m FROM c), l AS (SELECT doc_id, list_filter(string_split(m, chr(1)), lambda x: length(x) > 1) AS l FROM g), e AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS u FROM l) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(u) AS INTEGER) AS chars, md5(u) AS digest FROM e",
     "two_bar_names": f"""WITH r AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS raw FROM benchmark), w AS (SELECT item_id, list_filter(list_transform(raw, lambda x: {{'word': regexp_replace(x, '[^\\w''-]', '', 'g'), 'ends': regexp_matches(x, '[,;.]$')}}), lambda s: s.word <> '') AS ws FROM r),
 e AS (SELECT item_id, CAST(unnest(range(0, len(ws))) AS INTEGER) AS pos, unnest(ws) AS w FROM w), f AS (SELECT item_id, pos, w.word AS word, w.ends AS ends, {rec("'bar'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} AS p FROM e),
 g AS (SELECT *, p < 30 OR coalesce(lag(ends) OVER v, true) OR coalesce(lag(p) OVER v, -1) < 30 AS new FROM f WINDOW v AS (PARTITION BY item_id ORDER BY pos)),
 s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS stretch FROM g),
 b AS (SELECT *, max(CASE WHEN p >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id, stretch ORDER BY pos) AS begun FROM s WHERE p >= 30)
 SELECT item_id, min(pos) AS pos, count(*) AS words, string_agg(word, ' ' ORDER BY pos) AS name FROM b WHERE begun = 1 GROUP BY item_id, stretch""",
-    "number_words": "SELECT o_orderkey AS n, o_orderkey AS read FROM orders WHERE o_orderkey < 1000000",
+    "number_words": "SELECT o_orderkey AS n, o_orderkey AS read FROM orders",
     "display_forms": "WITH o AS (SELECT o_orderkey, o_orderkey * 317 AS b, o_orderkey * 7 AS t FROM orders) SELECT o_orderkey, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN CAST(b // 1024 AS VARCHAR) || ' KB' ELSE CAST(b // 1048576 AS VARCHAR) || ' MB' END AS bytes, CASE WHEN t < 1000 THEN CAST(t AS VARCHAR) ELSE CAST(t // 1000 AS VARCHAR) || '.' || CAST(t % 1000 // 100 AS VARCHAR) || 'k' END AS tokens FROM o",
     "marks_dedup": "SELECT DISTINCT l_orderkey, l_partkey % 5 AS page, CAST(trunc(l_quantity) AS INTEGER) % 7 AS x0, l_suppkey % 3 AS y0 FROM lineitem",
     "json_reports": f"WITH {_CLAIMS}, c AS (SELECT book, count(*) FILTER (text = 'true') AS yes, count(*) FILTER (text = 'false') AS no, count(*) FILTER (text = 'not stated') AS open FROM cv GROUP BY book) SELECT book, '{{\"book\":\"' || book || '\",\"status\":\"' || CASE WHEN yes > 5 THEN 'answered' WHEN no > 0 THEN 'below' ELSE 'unanswered' END || '\",\"yes\":' || CAST(yes AS VARCHAR) || ',\"no\":' || CAST(no AS VARCHAR) || ',\"open\":' || CAST(open AS VARCHAR) || '}}' AS report FROM c",
@@ -318,7 +318,7 @@ SELECT l_orderkey, CAST(run AS BIGINT) AS run, min(para) AS para, arg_min(apart,
     "history_remembered": """WITH e AS (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS id, ts, event_id, event_type = 'purchase' AS pinned FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY "user", id ORDER BY ts DESC, event_id DESC) AS k FROM e),
 c AS (SELECT *, sum(CASE WHEN pinned THEN 0 ELSE 1 END) OVER (PARTITION BY "user" ORDER BY ts DESC, event_id DESC) AS n FROM n WHERE k = 1)
 SELECT "user", id, pinned, CAST(row_number() OVER (PARTITION BY "user" ORDER BY pinned DESC, ts DESC, event_id DESC) AS INTEGER) AS place FROM c WHERE pinned OR n <= 8""",
-    "viewer_layout": f"WITH {PAGES} SELECT doc_id, CAST(coalesce(sum(length(text) % 400 + 112) OVER (PARTITION BY book, (page - 1) // 50 ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM pg",
+    "viewer_layout": f"WITH {PAGES} SELECT doc_id, CAST(coalesce(sum(length(text) % 400 + 112) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM pg",
     "coarse_to_fine": f"""WITH {_RANGES}, s AS (SELECT *, {rec("'rank'", 'book', 'path')} AS score FROM rg), b AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, path) AS k FROM s WHERE depth = 1),
 f AS (SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM b WHERE b.k <= 2 AND b.book = s.book AND (b.path = s.path OR starts_with(s.path, b.path || ' > ')))), r AS (SELECT book, path, score, CAST(row_number() OVER (PARTITION BY book ORDER BY score DESC, path) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 12""",
     "unread_pages": f"SELECT doc_id FROM documents WHERE {_r('read', 'doc_id')} >= 60",

@@ -130,9 +130,9 @@ def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks are embeddings in tens, a page each, a label a book; the first vectors ask."""
+    """Chunks are embeddings in tens, a page each, a label a book; every vector whose id is divisible by 100 asks."""
     chunks = shelf.table(spark, sf_dir, "embeddings").select(F.col("label").alias("book"), F.floor(F.col("vec_id") / 2).cast("long").alias("page"), F.col("embedding").alias("v"))
-    queries = shelf.table(spark, sf_dir, "embeddings").where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
+    queries = shelf.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v"))
     similar = vector.page_similarity(chunks, queries).withColumn("similarity", quantised(F.col("similarity")))
     return vector.top_pages(similar, 20).select("qid", "book", "page", "similarity", "rank")
 
@@ -144,14 +144,14 @@ def shortlist_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_lookup_or_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth vector is a question asked before; every other one looks for one of its book to reuse."""
+    """Every vector is a question asked before; those whose id is divisible by 100 look for another one of their book to reuse."""
     e = shelf.table(spark, sf_dir, "embeddings").select(F.col("label").alias("book"), F.col("vec_id").alias("id"), F.col("embedding").alias("rich"), F.slice("embedding", 1, 16).alias("subj"))
-    out = vector.cache_lookup(e.where("id % 10 <> 0"), e.where("id % 10 = 0"), 0.3, 0.5)
+    out = vector.cache_lookup(e.where("id % 100 = 0"), e, 0.3, 0.5)
     return out.select("book", "id", "cached", "whole", quantised(F.col("part")).alias("part"))
 
 
 QUERIES = {f.__name__: f for f in (outline_ranges, children_by_parent, membership_claim, coarse_sections, sections_under_best, sections_holding_pages, narrowest_section, confine_sections, page_windows, page_batches, best_run, page_similarity_topk, shortlist_sections, cache_lookup_or_rule)}
-_SIM = f"""q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id IN (0, 1, 2)),
+_SIM = f"""q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
 sim AS (SELECT qid, label AS book, vec_id // 2 AS page, {q6('max(list_cosine_similarity(embedding::DOUBLE[], qv))')} AS similarity FROM embeddings, q GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid, book ORDER BY similarity DESC, page) AS rank FROM sim)"""
 _FOLD = f"""WITH RECURSIVE {_SECTIONS},
@@ -188,6 +188,6 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, fin,
     "page_similarity_topk": f"WITH {_SIM} SELECT qid, book, page, similarity, rank FROM rk WHERE rank <= 20",
     "shortlist_sections": f"WITH {_SIM} SELECT DISTINCT qid, book, page // 16 AS section FROM rk WHERE rank <= 5",
     "cache_lookup_or_rule": f"""WITH e AS (SELECT label AS book, vec_id AS id, embedding::DOUBLE[] AS rich, (embedding::DOUBLE[])[1:16] AS subj FROM embeddings),
-n AS (SELECT a.book, a.id, b.id AS cached, list_cosine_similarity(a.rich, b.rich) AS whole, list_cosine_similarity(a.subj, b.subj) AS part FROM e a JOIN e b ON a.book = b.book AND a.id % 10 <> 0 AND b.id % 10 = 0),
+n AS (SELECT a.book, a.id, b.id AS cached, list_cosine_similarity(a.rich, b.rich) AS whole, list_cosine_similarity(a.subj, b.subj) AS part FROM e a JOIN e b ON a.book = b.book AND a.id % 100 = 0 AND a.id <> b.id),
 g AS (SELECT *, {q6('whole')} AS w, row_number() OVER (PARTITION BY book, id ORDER BY floor(whole * 1000000 + 0.5) DESC, cached) AS k FROM n WHERE whole >= 0.3 OR part >= 0.5) SELECT book, id, cached, w AS whole, {q6('part')} AS part FROM g WHERE k = 1""",
 }

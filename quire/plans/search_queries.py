@@ -76,7 +76,7 @@ def phrase_over_line_break(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalize_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = shelf.table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("s"))
-    docs = documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("s"))
+    docs = documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("s"))
     both = part.unionAll(docs)
     return both.select("kind", "id", t.normalize(F.col("s")).alias("normal"), F.array_join(t.stems(F.col("s")), " ").alias("stems"))
 
@@ -95,12 +95,14 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that mention a benchmark text's first eight words: an equi-join on eight-word windows of both."""
-    keys = shelf.table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.filter(F.split(t.normalize(F.col("text")), " "), lambda w: w != ""), 1, 8).alias("w")).where("size(w) = 8").select("item_id", F.array_join("w", " ").alias("phrase"))
-    words = documents(spark, sf_dir).select("doc_id", F.split(t.normalize(F.col("text")), " ").alias("w"))
-    starts = F.when(F.size("w") >= 8, F.sequence(F.lit(1), F.size("w") - 7)).otherwise(F.array().cast("array<int>"))
-    windows = words.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("phrase"))
-    return windows.join(keys, "phrase").select("doc_id", "item_id").distinct()
+    """Documents that mention any eight words in a row of a benchmark text: an equi-join on eight-word windows of both."""
+
+    def windows(rows: DataFrame, key: str) -> DataFrame:
+        words = rows.select(key, F.split(t.normalize(F.col("text")), " ").alias("w")).where("size(w) >= 8")
+        return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("phrase"))
+
+    keys = windows(shelf.table(spark, sf_dir, "benchmark"), "item_id")
+    return windows(documents(spark, sf_dir), "doc_id").join(keys, "phrase").select("doc_id", "item_id").distinct()
 
 
 def candidate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,14 +119,13 @@ def figures_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many options of a page fit a call: at most 254, 100000 characters a quantity, 200000 together, three quantities."""
-    rows = paged(spark, sf_dir).select("book", "page", F.greatest(F.floor(F.length("text") / 10), F.lit(1)).alias("option_chars"))
-    fits = F.least(F.lit(254), F.floor(100000 / F.col("option_chars")), F.floor(F.lit(200000 / 3.0) / F.col("option_chars")))
-    return rows.select("book", "page", "option_chars", fits.cast("long").alias("fits"))
+    """How many figures of a page fit a call for three quantities, each with 60 characters around it."""
+    rows = paged(spark, sf_dir)
+    return rows.select("book", "page", t.figure_limit(F.length("text"), F.lit(3), F.lit(60)).alias("fits"))
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(t.chunks(F.col("text"), 600)).alias("chunk", "part"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(t.chunks(F.col("text"), 6000)).alias("chunk", "part"))
     return rows.select("doc_id", "chunk", F.length("part").alias("chars"), F.md5("part").alias("digest"))
 
 
@@ -137,7 +138,7 @@ ORACLE = {
     "excerpt_two_terms_no_subject": f"{_BASE}, {_TERMS2}, {_HITS}, {_DF}, {_scores('count(*) >= 2')} {_OUT}",
     "term_document_frequency": f"{_BASE}, {_TERMS}, {_HITS}, {_DF} SELECT book, words, df, {q6('idf_weight')} AS idf_weight FROM wt",
     "phrase_over_line_break": f"WITH {LINES}, st AS (SELECT book, page, {stem_list('line')} AS own, {stem_list('next')} AS after FROM ln WHERE next <> '') SELECT book, own[-1] || ' ' || after[1] AS phrase, count(DISTINCT page) AS pages FROM st WHERE len(own) > 0 AND len(after) > 0 GROUP BY ALL HAVING count(DISTINCT page) > 1",
-    "normalize_stems": f"WITH s AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS s FROM part UNION ALL SELECT 'document', doc_id, substring(text, 1, 300) FROM documents) SELECT kind, id, {norm('s')} AS normal, array_to_string({stem_list('s')}, ' ') AS stems FROM s",
+    "normalize_stems": f"WITH s AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS s FROM part UNION ALL SELECT 'document', doc_id, text FROM documents) SELECT kind, id, {norm('s')} AS normal, array_to_string({stem_list('s')}, ' ') AS stems FROM s",
     "question_words": f"WITH r AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS raw FROM benchmark), w AS (SELECT item_id, list_filter(list_transform(raw, lambda x: {{'word': regexp_replace(x, '[^\\w''-]', '', 'g'), 'ends': regexp_matches(x, '[,;.]$')}}), lambda s: s.word <> '') AS ws FROM r), e AS (SELECT item_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM w) SELECT item_id, CAST(pos AS INTEGER) AS pos, w.word AS word, w.ends AS ends, lower(w.word) IN {_STOP} AS stopword FROM e",
     "search_terms": f"""WITH w AS (SELECT item_id, string_split({norm('text')}, ' ') AS w FROM benchmark),
 s AS (SELECT item_id, {stem_list("w[-1]")} AS named, {stem_list("array_to_string(w[1:2], ' ')")} AS own, {stem_list("array_to_string(w[1:12], ' ')")} AS other FROM w),
@@ -148,11 +149,11 @@ e AS (SELECT item_id, 0 AS grp, 0 AS i, array_to_string(lft, ' ') AS words, 3 AS
 f AS (SELECT e.item_id, grp, min(i) AS i, words, weight, subject FROM e JOIN l USING (item_id)
       WHERE grp < 2 OR (words NOT IN {_STOP} AND NOT list_contains(named, words) AND length(words) > 1 AND NOT list_contains(lft, words)) GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY grp, i) - 1 AS INTEGER) AS pos, words, CAST(weight AS INTEGER) AS weight, subject FROM f""",
-    "mentions_benchmark": f"WITH k AS (SELECT item_id, list_filter(string_split({norm('text')}, ' '), lambda w: w <> '')[1:8] AS w FROM benchmark), p AS (SELECT item_id, array_to_string(w, ' ') AS phrase FROM k WHERE len(w) = 8), d AS (SELECT doc_id, ' ' || {norm('text')} || ' ' AS n FROM documents) SELECT doc_id, item_id FROM d JOIN p ON contains(n, ' ' || phrase || ' ')",
-    "candidate_cells": f"""WITH {LINES}, p AS (SELECT book, page, unnest(regexp_split_to_array(line, '\\s{{3,}}|[,;:.|]|\\s+(?:and|or|is|are|includes|such as)\\s+')) AS part FROM ln),
-b AS (SELECT book, page, trim(regexp_replace(trim(part), '^(?:[Tt]he|[Aa]n?)\\s+', '')) AS cell FROM p)
-SELECT book, lower(cell) AS name, count(DISTINCT page) AS pages, min(cell) AS cell FROM b WHERE regexp_matches(cell, '^[A-Z]') AND length(cell) <= 60 AND len(regexp_split_to_array(cell, '\\s+')) <= 4 GROUP BY book, lower(cell) HAVING count(DISTINCT page) > 1""",
+    "mentions_benchmark": f"WITH k AS (SELECT item_id, string_split({norm('text')}, ' ') AS w FROM benchmark), p AS (SELECT item_id, array_to_string(w[i : i + 7], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM k WHERE len(w) >= 8)), d AS (SELECT doc_id, string_split({norm('text')}, ' ') AS w FROM documents), e AS (SELECT doc_id, array_to_string(w[i : i + 7], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)) SELECT DISTINCT doc_id, item_id FROM e JOIN p USING (phrase)",
+    "candidate_cells": f"""WITH {LINES}, p AS (SELECT book, page, list_filter(list_transform(regexp_split_to_array(line, '{t.CELL_ENDS}'), lambda x: regexp_replace(trim(x), '^(?i:the|a|an)\\s+', '')), lambda x: regexp_matches(x, '^[A-Z]') AND length(x) <= 60 AND len(regexp_split_to_array(x, '\\s+')) <= 4) AS fit FROM ln),
+b AS (SELECT book, page, unnest(list_filter(fit, lambda x, i: list_position(list_transform(fit, lambda y: lower(y)), lower(x)) = i)) AS cell FROM p)
+SELECT book, lower(cell) AS name, count(DISTINCT page) AS pages, min(cell) AS cell FROM b GROUP BY book, lower(cell) HAVING count(DISTINCT page) > 1""",
     "figures_in_text": f"WITH {LINES}, f AS (SELECT DISTINCT book, page, ln, replace(unnest(regexp_extract_all(line, '(?:^|[^\\w.])(\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)', 1)), ',', '') AS value FROM ln), k AS (SELECT *, row_number() OVER (PARTITION BY book, page, value ORDER BY ln) AS k FROM f) SELECT book, page, ln, value FROM k WHERE k <= 3",
-    "figure_budget": f"WITH {PAGES}, o AS (SELECT book, page, greatest(CAST(floor(length(text) / 10) AS BIGINT), 1) AS option_chars FROM pg) SELECT book, page, option_chars, least(254, CAST(floor(100000 / option_chars) AS BIGINT), CAST(floor(200000 / 3.0::DOUBLE / option_chars) AS BIGINT)) AS fits FROM o",
-    "text_chunks": "WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents), n AS (SELECT *, greatest(CAST(ceil(length(f) / 600) AS BIGINT), 1) AS n FROM f WHERE f <> ''), e AS (SELECT *, unnest(range(0, n)) AS chunk, CAST(ceil(length(f) / n) AS BIGINT) AS size FROM n) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(length(substring(f, chunk * size + 1, size)) AS INTEGER) AS chars, md5(substring(f, chunk * size + 1, size)) AS digest FROM e",
+    "figure_budget": f"WITH {PAGES}, o AS (SELECT book, page, length(text) AS n FROM pg) SELECT book, page, CAST(greatest(1, least(254, floor((100000 - n) / 160), floor((200000 - n) / 480))) AS BIGINT) AS fits FROM o",
+    "text_chunks": "WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents), n AS (SELECT *, greatest(CAST(ceil(length(f) / 6000) AS BIGINT), 1) AS n FROM f WHERE f <> ''), e AS (SELECT *, unnest(range(0, n)) AS chunk, CAST(ceil(length(f) / n) AS BIGINT) AS size FROM n) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(length(substring(f, chunk * size + 1, size)) AS INTEGER) AS chars, md5(substring(f, chunk * size + 1, size)) AS digest FROM e",
 }

@@ -19,9 +19,9 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_run_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run as the stateful fold leaves it: its last update, and all it was charged."""
-    updates = runs.run_to_end(spark, runs.fold(_stream(spark, sf_dir)))
-    last = updates.groupBy("run").agg(F.max(F.struct("lines", "errors", "last")).alias("u"), F.sum("more").alias("charged"))
+    """Every run as the streaming fold leaves it: its last update, and all it was charged."""
+    updates = runs.charges(runs.run_to_end(spark, runs.fold(_stream(spark, sf_dir))))
+    last = updates.groupBy("run").agg(F.max_by(F.struct("lines", "errors", "last"), "batch").alias("u"), F.sum("more").alias("charged"))
     return last.select("run", "u.lines", "u.errors", "u.last", "charged")
 
 

@@ -148,10 +148,10 @@ def band_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors ask for one of their label: where the first right one ranks among the other vectors of the same tens."""
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", (F.col("vec_id") % 10).alias("tens"))
-    other = e.select(F.col("vec_id").alias("o_id"), F.col("label").alias("o_label"), F.col("embedding").alias("o"), "tens")
-    near = e.where("vec_id < 50").join(other, "tens").where("vec_id <> o_id").withColumn("micro", F.floor(vector.cosine(F.col("embedding"), F.col("o")) * 1e6 + 0.5))
+    """Vectors whose id is divisible by 100 ask for one of their label: where the first right one ranks among all the others."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    other = e.select(F.col("vec_id").alias("o_id"), F.col("label").alias("o_label"), F.col("embedding").alias("o"))
+    near = other.crossJoin(e.where("vec_id % 100 = 0")).where("vec_id <> o_id").withColumn("micro", F.floor(vector.cosine(F.col("embedding"), F.col("o")) * 1e6 + 0.5))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("micro"), "o_id")))
     first = ranked.groupBy(F.col("vec_id").alias("qid")).agg(F.min(F.when(F.col("label") == F.col("o_label"), F.col("rank"))).alias("rank"))
     return evaluate.recall_at(first).select("k", quantised(F.col("recall")).alias("recall"))
@@ -305,7 +305,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey, col ORDER BY text IS
     "average_precision": f"WITH {_SWEEP} SELECT {q6('sum(precision * g) / sum(g)')} AS ap FROM pr",
     "rule_grid": f"WITH {_LAB}, a AS (SELECT CAST(unnest(range(0, 120, 20)) AS INTEGER) AS a_bar), b AS (SELECT CAST(unnest(range(0, 120, 20)) AS INTEGER) AS b_bar) SELECT a_bar, b_bar, count(*) FILTER (good AND (value >= a_bar OR other >= b_bar)) AS or_good, count(*) FILTER (value >= a_bar OR other >= b_bar) AS or_taken, count(*) FILTER (good AND value >= a_bar AND other >= b_bar) AS and_good, count(*) FILTER (value >= a_bar AND other >= b_bar) AS and_taken FROM lb, a, b GROUP BY ALL",
     "band_histogram": f"WITH {_LAB} SELECT CAST(floor((value - 50.0::DOUBLE) / 10) AS INTEGER) AS band, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM lb GROUP BY ALL",
-    "recall_at_k": f"""WITH n AS (SELECT a.vec_id, a.label = b.label AS ok, row_number() OVER (PARTITION BY a.vec_id ORDER BY floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1000000 + 0.5) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 10 = b.vec_id % 10 AND a.vec_id <> b.vec_id WHERE a.vec_id < 50),
+    "recall_at_k": f"""WITH n AS (SELECT a.vec_id, a.label = b.label AS ok, row_number() OVER (PARTITION BY a.vec_id ORDER BY floor(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 1000000 + 0.5) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 f AS (SELECT vec_id, min(rank) FILTER (ok) AS rank FROM n GROUP BY vec_id), k AS (SELECT CAST(unnest([1, 3, 5, 12, 30]) AS INTEGER) AS k) SELECT k, {q6('avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS recall FROM f, k GROUP BY k""",
     "ledger_daily": f"WITH {_LEDGER}, d AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS k FROM (SELECT DISTINCT day FROM dl)) SELECT CAST(dl.day AS VARCHAR) AS day, tool, dollars FROM dl JOIN d ON d.day = dl.day WHERE k <= 90",
     "spend_window": f"WITH {_LEDGER} SELECT CAST(coalesce(sum(dollars), 0) AS BIGINT) AS dollars, " + ", ".join(f"CAST(coalesce(sum(dollars) FILTER (tool = '{t}'), 0) AS BIGINT) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM dl WHERE day <= DATE '2024-01-09' AND day > DATE '2024-01-09' - 7",
@@ -314,7 +314,7 @@ f AS (SELECT vec_id, min(rank) FILTER (ok) AS rank FROM n GROUP BY vec_id), k AS
     "spend_rollup": f"WITH {_LOG}, n AS (SELECT a.run, a.idx, (SELECT min(b.idx) FROM lg b WHERE b.run = a.run AND b.idx > a.idx AND b.depth <= a.depth) AS nx FROM lg a) SELECT a.run, a.idx, a.depth, a.cost, (SELECT CAST(sum(c.cost) AS BIGINT) FROM lg c WHERE c.run = a.run AND c.idx >= a.idx AND (nx IS NULL OR c.idx < nx)) AS total FROM lg a JOIN n ON n.run = a.run AND n.idx = a.idx",
     "log_facts": f"WITH {_LOG}, w AS (SELECT *, regexp_extract(lower(text), '^([a-z]+)', 1) AS word FROM lg) SELECT run, arg_min(word, idx) AS first, arg_max(word, idx) AS last, max(cost) AS largest, count(*) FILTER (word <> '') AS worded FROM w GROUP BY run",
     "lru_overflow": f"""WITH f AS (SELECT source || '/' || lang AS cache, doc_id AS id, {rec("'at'", 'CAST(doc_id AS VARCHAR)')} AS "at", CAST(length(text) AS BIGINT) AS bytes FROM documents), h AS (SELECT *, sum(bytes) OVER w AS held, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY cache ORDER BY "at" DESC, id DESC)) SELECT cache, id, "at", bytes FROM h WHERE held > 10000 AND k > 1""",
-    "history_recent": "WITH q AS (SELECT array_to_string(string_split(text, ' ')[1:2], ' ') AS q, conv_id AS \"at\", turn AS id FROM conversations WHERE role = 'user'), k AS (SELECT *, row_number() OVER (PARTITION BY lower(q) ORDER BY \"at\" DESC, id DESC, q DESC) AS k FROM q WHERE contains(lower(q), 'la')) SELECT q, \"at\", id FROM k WHERE k = 1 ORDER BY \"at\" DESC, id DESC LIMIT 5",
+    "history_recent": "WITH q AS (SELECT trim(array_to_string(string_split(text, ' ')[1:2], ' ')) AS q, conv_id AS \"at\", turn AS id FROM conversations WHERE role = 'user'), k AS (SELECT *, row_number() OVER (PARTITION BY lower(q) ORDER BY \"at\" DESC, id DESC, q DESC) AS k FROM q WHERE contains(lower(trim(q)), 'la') AND lower(trim(q)) <> 'la') SELECT q, \"at\", id FROM k WHERE k = 1 ORDER BY \"at\" DESC, id DESC LIMIT 5",
     "history_filter": "SELECT conv_id, turn, role FROM conversations WHERE contains(lower(text), 'la') AND contains(lower(text), 'de') AND contains(lower(text), 'que')",
     "palette_match": "WITH r AS (SELECT p_partkey AS ord, p_name AS label, CASE WHEN starts_with(lower(p_name), 'small') THEN 0 WHEN contains(lower(p_name), 'small') THEN 1 ELSE 2 END AS rank FROM part WHERE contains(lower(p_name || ' ' || p_type), 'small')) SELECT ord, label, rank FROM r ORDER BY rank, ord LIMIT 40",
     "export_tsv": f"SELECT p_partkey, concat_ws(chr(9), replace({_ODD}, chr(9), ' '), p_brand, p_type, CAST(p_size AS VARCHAR)) AS line FROM part",

@@ -64,7 +64,15 @@ def nonempty(files: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.pdf", most: int = 5000) -> tuple[DataFrame, DataFrame]:
     """Files below ``folder`` by path, the first ``most``, and a one-row table that says whether more were there."""
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).drop("content")
+    # through the file system itself: Spark's own file index leaves out files of no bytes
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    found, wanted, rows = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), jvm.org.apache.hadoop.fs.GlobPattern(pattern), []
+    while found.hasNext():
+        file = found.next()
+        if wanted.matches(file.getPath().getName()):
+            rows.append((file.getPath().toString(), file.getModificationTime() / 1000.0, file.getLen()))
+    every = spark.createDataFrame(rows, "path string, modified double, length long").select("path", F.timestamp_seconds("modified").alias("modificationTime"), "length")
     return every.orderBy("path").limit(most), every.agg((F.count("*") > most).alias("truncated"))
 
 

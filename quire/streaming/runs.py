@@ -1,42 +1,26 @@
-"""Run events as a stream: a stateful fold a run, and spend charged once however often a run reports.
-
-Python state functions run in the executors; results go to the shared folder a micro-batch at a time.
-"""
+"""Run events as a stream: built-in streaming aggregates a run, and spend charged once however often a run reports."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quire.session import shared_folder
 
-OUT = "run string, batch_lines long, lines long, errors long, charged long, more long, last string"
-STATE = "lines long, errors long, charged long, at long, last string"
-
-
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Lines, errors, the last event by time and id, and the largest report so far; ``more`` is what it adds to the ledger."""
-    lines, errors, charged, at, last = state.get if state.exists else (0, 0, 0, -1, "")
-    before, was = lines, charged
-    for frame in frames:
-        lines += len(frame)
-        errors += int((frame["event_type"] == "error").sum())
-        sent = frame.loc[frame["sent"], "dollars"]
-        charged = max([charged, *(int(sent.max()),)] if len(sent) else [charged])
-        newest = frame.loc[frame["event_id"].idxmax()]
-        if int(newest["event_id"]) > at:
-            at, last = int(newest["event_id"]), str(newest["event_type"])
-    state.update((lines, errors, charged, at, last))
-    yield pd.DataFrame([(key[0], lines - before, lines, errors, charged, charged - was, last)], columns=[c.split()[0] for c in OUT.split(", ")])
+OUT = "run string, lines long, errors long, charged long, last string"
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The streaming fold of ``events`` (``run``, ``event_id``, ``event_type``, ``dollars``, ``sent``): an update for each run in a batch."""
+    """Lines, errors, the last event by id and the largest report so far (``charged``) of each run of ``events`` (``run``, ``event_id``,
+    ``event_type``, ``dollars``, ``sent``); beats don't count. An update for each run that a batch touches."""
     given = events.where("event_type is not null and event_type <> 'beat'")
-    return given.groupBy("run").applyInPandasWithState(_fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    charged = F.coalesce(F.max(F.when(F.col("sent"), F.col("dollars"))), F.lit(0).cast("long"))
+    return given.groupBy("run").agg(F.count("*").alias("lines"), F.count_if(F.col("event_type") == "error").alias("errors"), charged.alias("charged"), F.max_by("event_type", "event_id").alias("last"))
+
+
+def charges(updates: DataFrame) -> DataFrame:
+    """What each update adds to the ledger (``more``): a report charges only its increase over the run's earlier ones."""
+    return updates.withColumn("more", F.col("charged") - F.coalesce(F.lag("charged").over(Window.partitionBy("run").orderBy("batch")), F.lit(0)))
 
 
 def run_to_end(spark: SparkSession, updates: DataFrame) -> DataFrame:
@@ -46,6 +30,6 @@ def run_to_end(spark: SparkSession, updates: DataFrame) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
 
-    query = updates.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(f"{OUT}, batch int").parquet(f"{folder}/updates")

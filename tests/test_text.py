@@ -6,8 +6,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quire.functions import numbers
 from quire.functions import text as t
-from quire.operators import answers, decide, tables, walk, windows
+from quire.operators import answers, decide, runlog, tables, walk, windows
+from quire.streaming import runs
 
 WORDS = st.text(alphabet="abs theieschx ABC,.;'-0 12\n", max_size=40)
 some = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -71,7 +73,7 @@ def test_batches(spark, sizes, most):
 def test_chunks_nearly_equal(spark):
     df = spark.createDataFrame([("x" * 13000,), ("",), ("a  b",)], "s string")
     got = [r.c for r in df.select(t.chunks(F.col("s"), 6000).alias("c")).collect()]
-    assert [len(x) for x in got[0]] == [4334, 4334, 4332] and got[1] is None and got[2] == ["a b"]
+    assert [len(x) for x in got[0]] == [4334, 4334, 4332] and got[1] == [] and got[2] == ["a b"]
 
 
 def test_figures_and_cells(spark):
@@ -134,3 +136,67 @@ def test_tables(spark):
     df = spark.createDataFrame(rows, "doc int, pos int, kind string, text string, heads string, cells array<string>")
     got = [(r.pos, r.table_id, r.grp) for r in tables.tables_from(df, "doc", "pos").orderBy("pos").collect()]
     assert got == [(2, 1, "G"), (4, 1, "G"), (6, 2, None)]
+
+
+def cells_of(spark, *texts):
+    return [r.c for r in spark.createDataFrame([(x,) for x in texts], "s string").select(t.cells(F.col("s")).alias("c")).collect()]
+
+
+def test_cells_of_texts(spark):
+    got = cells_of(
+        spark,
+        "Every crew has five posts: Pilot, Gunner, Medic, Cook and Scout. Each post is filled",
+        "   The Anvil, a smith of note.\n   The Kestrel, who sees far.",
+        "Harpooner      Lookout\nLong Rifle    7C    Kinetic",
+        "The orders are the Lantern, the Salt Wife, the Old Hound and AN Otter.",
+        "Hull\n12\nhull\nThe Ballast sits in every common hold\n" + "B" * 61,
+        "Rifle (Basic) including Scope or HULL, Hull",
+    )
+    assert set(got[0]) >= {"Pilot", "Gunner", "Medic", "Cook", "Scout"}
+    assert got[1:] == [["Anvil", "Kestrel"], ["Harpooner", "Lookout", "Long Rifle", "Kinetic"], ["Lantern", "Salt Wife", "Old Hound", "Otter"], ["Hull"], ["Rifle", "Basic", "Scope", "HULL"]]
+
+
+def test_name_keys(spark):
+    names = [("The Long Rifle gun", "guns"), ("REPAIR", "skills"), ("Repair skill.", "skills"), ("Order Box", "order boxes"), ("Scout Class", "classes"), ("Wild Ability", "abilities"), ("An Axe", "")]
+    got = [spark.createDataFrame([(n,)], "n string").select(answers.name_key(F.col("n"), k).alias("k")).head().k for n, k in names]
+    assert got == ["long rifle", "repair", "repair", "order", "scout", "wild", "axe"]
+
+
+def test_units(spark):
+    texts = ["Cost e.g. ten. Then more! Why? no. 2. PICK one. A", "2. 3. Go on. x"]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in texts], "s string").select(t.sentences(F.col("s")).alias("s")).collect()]
+    assert got == [["Cost e.g. ten.", "Then more!", "Why? no.", "2. PICK one."], ["2. 3.", "Go on. x"]]
+
+
+def test_rows_and_heads(spark):
+    df = spark.createDataFrame([(["Cost", "Cost", "", "Cost x"], ["1", "", "a\tb", "\"q\""]), (["A", "B", "C", "D"], ["", "", "", ""]), (["A", "B", "C", "D"], ["", "z", "", ""])], "h array<string>, c array<string>")
+    got = df.select(tables.heads_named(F.col("h")).alias("h"), tables.row_text(tables.heads_named(F.col("h")), F.col("c")).alias("r")).collect()
+    assert got[0].h == ["Cost", "Cost 2", "column 3", "Cost x"] and got[0].r == '{"Cost":"1","column 3":"a\\tb","Cost x":"\\"q\\""}'
+    assert [r.r for r in got[1:]] == ["", "z"]
+    marks = spark.createDataFrame([(x,) for x in ("None.", "N.A.", "n/a", "-", "", "nap")], "s string").select(tables.placeholder(F.col("s")).alias("p")).collect()
+    assert [r.p for r in marks] == [True, True, True, True, True, False]
+
+
+def test_palette_and_history(spark):
+    rows = spark.createDataFrame([(1, "Open file", "x"), (2, "File open", "y"), (3, "Close", "open file"), (4, "Quit", "z")], "ord int, label string, more string")
+    assert [r.ord for r in runlog.palette(rows, "label", "more", ["open", "file"]).collect()] == [1, 2, 3]
+    assert [r.ord for r in runlog.palette(rows, "label", "more", [], 2).collect()] == [1, 2]
+    asked = spark.createDataFrame([("How many?", 1, 1), (" how many? ", 2, 2), ("How many more", 3, 3)], "q string, at int, id int")
+    assert [r.q for r in runlog.recent(asked, "How many?").collect()] == [] and [r.q for r in runlog.recent(asked, "how many").collect()] == ["How many more", "how many?"]
+
+
+def test_limits_and_numbers(spark):
+    got = spark.range(1).select(t.figure_limit(F.lit(0), F.lit(1), F.lit(60)).alias("a"), t.figure_limit(F.lit(99_999), F.lit(3), F.lit(60)).alias("b"), numbers.spelled(F.lit(12_000_345)).alias("n")).head()
+    assert (got.a, got.b, got.n) == (254, 1, "twelve million three hundred and forty-five") and numbers.value_of(got.n) == 12_000_345
+
+
+def test_streamed_charges(spark, tmp_path):
+    """However often a run reports, what its updates add up to is its largest report."""
+    schema = "run string, event_id long, event_type string, dollars long, sent boolean"
+    batches = [[("a", 1, "log", 5, True), ("b", 2, "beat", 9, True)], [("a", 3, "error", 4, True), ("a", 4, "end", 9, False), ("b", 5, "log", 7, True)], [("a", 6, "end", 8, True)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / f"in/{i}"))
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    updates = runs.charges(runs.run_to_end(spark, runs.fold(events)))
+    got = {r.run: (r.more, r.lines, r.errors) for r in updates.groupBy("run").agg(F.sum("more").alias("more"), F.max("lines").alias("lines"), F.max("errors").alias("errors")).collect()}
+    assert got == {"a": (8, 4, 1), "b": (7, 1, 0)}
