@@ -29,7 +29,7 @@ def op2_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, bits=4, blocks=4)
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, bits=4, blocks=3)
     return found.select(F.col("id").alias("doc_id"), "fingerprint", F.col("component").alias("component_id"))
 
 

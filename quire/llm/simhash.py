@@ -1,11 +1,12 @@
 """SimHash near-dedup: fingerprints within a Hamming radius, found by vantage-point trees, joined into components.
 
 * A fingerprint's 64 bits are cut into ``blocks``. Two fingerprints at distance <= R differ by at most r_i bits in some
-  block i whenever the sum of (r_i + 1) over the blocks exceeds R, so the radii left to each block's tree are 0 or 1.
+  block i whenever the sum of (r_i + 1) over the blocks exceeds R: at R = 4 three blocks of 21 bits with radii 1, 1 and 0.
 * Each block has a vantage-point tree that shares one vantage point a level (so no tree has to be sent around): a
   fingerprint goes near or far by its block's distance to that point against the level's median. A fingerprint is *at home*
-  in one leaf and *visits* every leaf that the triangle bounds cannot rule out: at radius r both branches within r of the edge
-  (at radius 1 the bounds of all levels are taken together, which leaves at most a leaf for each bit of the block).
+  in one leaf and *visits* every leaf that the triangle bounds cannot rule out: at radius r both branches within r of the edge.
+  At radius 1 the bounds of all levels are also taken together: of the leaves within them only those that a point one bit away
+  lies in are visited, at most one for each bit of the block, however deep the tree.
 * A leaf is one shuffle key. Its homes are held a bounded part at a time, visitors stream past them, and XOR and popcount on
   whole fingerprints decide; a leaf with more homes than ``part`` is dealt over several keys that its visitors all visit.
   Only the links that join two sets so far apart leave a task: a spanning forest, never all pairs of a group.
@@ -33,6 +34,7 @@ from quire.llm.common import as_bytes, mixed, written
 
 SEED = 42
 LEAF = 2048
+SALTS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -267,15 +269,18 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 4, blocks: int = 4, distinct: bool = False, sketch_shingle: int = 0, sketch_bits: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 4, blocks: int = 3, distinct: bool = False, sketch_shingle: int = 0, sketch_bits: int = 0) -> DataFrame:
     """``id``, ``fingerprint`` (16 hex digits) and ``component`` (the smallest id reachable over links) of every document."""
     prints = written(fingerprints(docs, id_col, text_col, shingle, distinct, sketch_shingle))
     node = F.xxhash64("print", "sketch") if sketch_shingle else F.col("print")
     prints = prints.withColumn("node", node)
     nodes = written(prints.groupBy("node", "print", "sketch").agg(F.min("id").alias("first")))
-    roots = written(components(close_links(nodes, bits, blocks, sketch_bits)))
-    rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
+    roots = components(close_links(nodes, bits, blocks, sketch_bits))
+    linked = written(roots.join(nodes.select("node", "first"), "node"))
+    # a large component's nodes are dealt over ``SALTS`` keys to learn their smallest id; nodes without links need not ask
+    least = linked.groupBy("root").agg(F.min("first").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).select("node", "component")
+    smallest = nodes.select("node", "first").join(known, "node", "left").select("node", F.when(F.col("component").isNull() | (F.col("first") < F.col("component")), F.col("first")).otherwise(F.col("component")).alias("component"))
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return prints.join(smallest, "node").select("id", hexed.alias("fingerprint"), "component")
 
@@ -355,7 +360,7 @@ def similar_links(sets: DataFrame, block: int = 256) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``id``, ``hash`` (of the text), ``node`` and ``root`` (one node of its group) of every document."""
-    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
     every = written(given.mapInArrow(_shingle_sets(shingle), f"id {given.schema['id'].dataType.simpleString()}, hash long, node long, keys array<long>, shingles binary"))
     sets = every.groupBy("node").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))  # one node, one set: any of its rows will do
     roots = written(components(similar_links(written(sets))))
@@ -363,17 +368,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with their columns, that are the smallest id of their group of near copies (Jaccard similarity of their
+    """One document, with its columns, of each group of near copies: the one of the smallest id (null is the largest), then of the smallest hash of its text (Jaccard similarity of their
     different five-word shingles of 0.8 or more, decided on the shingles' hashes; groups are what such pairs connect).
 
     Candidates agree in one of 16 bands of 4 least hashes, each of other mixings of the shingles: at Jaccard s by a chance of
-    1 - (1 - s^4)^16, which is 0.9998 at 0.8. Of rows with one id, the first by text stays; rows whose id is null have no identity to compare and stay.
+    1 - (1 - s^4)^16, which is 0.9998 at 0.8. Of rows of one id and text one stays; an id whose texts are in different groups stays in each.
     """
     found = similar_groups(docs, id_col, text_col)
-    least = Window.partitionBy("root")
-    stay = found.withColumn("least", F.min("id").over(least)).where("id = least").select(F.col("id").alias(id_col)).distinct()
-    left = docs.join(stay, id_col, "left_semi")
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    rank = "__rank_in_id"
-    first = left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")
+    stay = found.groupBy("root").agg(F.min(order).alias("least")).select("least.id", "least.hash")
+    again = written(found.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("hash").alias("__hash")))
+    row, own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id")
+    given = docs.select(own, F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), row)
+    same = lambda x, y: x["id"].eqNullSafe(y[0]) & (x["hash"] == y[1])
+    s = stay.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    left = given.join(s, same(given, (s["__id"], s["__hash"])), "left_semi")
+    # only rows that repeat an id and text, which a small table names, are dealt anew to leave one of each
+    once = left.join(again, same(left, (again["__id"], again["__hash"])), "left_anti")
+    many = left.join(again, same(left, (again["__id"], again["__hash"])), "left_semi").dropDuplicates(["id", "hash"])
+    return once.unionAll(many).select("row.*")

@@ -105,7 +105,7 @@ def test_simhash(docs, none, rows):
     for r, x in zip(own, roots, strict=True):
         least[x] = min((v for v in (least.get(x), r[0]) if v is not None), default=None)
     want = Counter((r[0], f"{p:016x}", least[x]) for r, p, x in zip(own, prints, roots, strict=True))
-    got = simhash.near_duplicates(docs.where("text is null or length(text) < 5000"), shingle=4, bits=4, blocks=4)
+    got = simhash.near_duplicates(docs.where("text is null or length(text) < 5000"), shingle=4, bits=4, blocks=3)
     assert Counter((r.id, r.fingerprint, r.component) for r in got.collect()) == want
     assert simhash.near_duplicates(none).count() == 0
 
@@ -127,18 +127,49 @@ def test_simhash_dense_leaves(spark):
     want = {}
     for s, r in zip(signed, roots, strict=True):
         want.setdefault(r, set()).add(s)
-    for blocks in (3, 4, 5):
+    for blocks in (1, 2, 3, 4, 5):
         got = {}
         for r in simhash.components(simhash.close_links(nodes, 4, blocks, leaf=20, part=40)).collect():
             got.setdefault(r.root, set()).add(r.node)
         assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
+def test_trees_visit_what_the_bounds_leave():
+    """Points within a block's radius meet: one of them is at home where the other is at home or visits; and most leaves are ruled out."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    for bits, blocks in ((4, 3), (4, 2), (5, 2), (4, 1), (8, 3)):
+        trees = simhash.Trees(prints, 200_000, bits, blocks, leaf=200)
+        for t, (mask, radius, levels) in enumerate(trees.tables):
+            row, leaf, home = trees.leaves(prints, t)
+            visited = {}
+            for r, x in zip(row.tolist(), leaf.tolist(), strict=True):
+                visited.setdefault(r, set()).add(x)
+            assert home.sum() == len(prints) and (radius == 0) == (len(row) == len(prints))
+            own = [b for b in range(64) if int(mask) >> b & 1]
+            if radius < 2:
+                assert len(row) < len(prints) * 2 ** (len(levels) - 2)
+            near = prints.copy()
+            for i in range(len(near)):
+                for b in rng.choice(own, size=radius, replace=False):
+                    near[i] ^= np.uint64(1 << int(b))
+            at = trees.leaves(near, t, visits=False)[1]
+            assert all(x in visited[i] for i, x in enumerate(at.tolist()))
+
+
+def test_keep_first_of_one_id(spark):
+    """Two texts under one id both stay if they are no copies; rows without an id that are copies of others go."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a, 0), (1, b, 1), (1, a, 2), (None, a, 3), (None, "own text of five words", 4), (2, b, 5)], "`the-id` long, text string, `a-b` int")
+    got = sorted((r[0] or 0, r[1]) for r in simhash.keep_first(docs, "the-id").collect())
+    assert got == sorted([(1, a), (1, b), (0, "own text of five words")])
+
+
 def test_keep_first(docs, none, rows):
     left = simhash.keep_first(docs)
     assert left.columns == docs.columns
     ids = Counter(r.doc_id for r in left.collect())
-    assert max(ids.values()) == 1 and ids[None] == 1
+    assert max(ids.values()) == 1 and ids[None] == 1  # a repeated row and a row without an id
     assert 6 in ids and not {7, 8, len(rows) - 3} & set(ids)  # an exact copy, one with a word more, one with a word changed
     assert len(ids) >= len({r[0] for r in rows}) - 3 - 2  # blank texts are copies of each other
     assert simhash.keep_first(none).count() == 0
