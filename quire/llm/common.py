@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import shared_folder
 
@@ -26,6 +27,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def extended(fields: list[T.StructField], ddl: str) -> T.StructType:
+    """A schema of ``fields``, whatever their names, and the columns of ``ddl`` after them."""
+    return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """UTF-8 bytes of all texts."""
     return df.agg(F.sum(F.octet_length(F.col(text)))).head()[0] or 0

@@ -13,7 +13,8 @@ where a word is scored, never how.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be learned;
 a text of letters none of which is known gets the language with most training words, with an even score; ties go to the
-first language by code point; repeated rows count each; training rows with a null language are not used.
+first language by code point; repeated rows count each; training rows with a null language are not used; kept columns may have any
+names, but those called as the results are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import extended, written
 
 ORDERS = (4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -72,6 +73,9 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = counts.setdefault(lang, Counter())
                 for gram in grams_of(word, order):
                     own[gram] += n
+        for order, counts in by_order.items():
+            if sum(map(len, counts.values())) > 1 << 19:
+                yield _flush(counts, order)
     for order, counts in by_order.items():
         yield _flush(counts, order)
 
@@ -302,15 +306,16 @@ def _finish(model):
 
 def predict(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep``, ``lang_pred`` and ``score`` of every row; only the text decides."""
-    given = docs.select(*keep, F.col(text_col).alias("__text")).withColumnRenamed("__text", "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    row = F.struct(*[F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score")])
+    given = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    fields = given.schema.fields[:-1]
     sent = docs.sparkSession.sparkContext.broadcast(_sent(model))
     if not model.get("partial"):
-        return given.mapInArrow(_predict(sent), f"{schema}, lang_pred string, score double")
-    begun = given.mapInArrow(_begin(sent), f"{schema}, __sum array<double>, __rest map<string,bigint>")
+        return given.mapInArrow(_predict(sent), extended(fields, "lang_pred string, score double")).select("row.*", "lang_pred", "score")
+    begun = given.mapInArrow(_begin(sent), extended(fields, "__sum array<double>, __rest map<string,bigint>"))
     begun = written(begun.withColumn("__row", F.monotonically_increasing_id()))  # as a table, a row keeps its number
     rest = begun.select("__row", F.explode("__rest").alias("gram", "n"))
     scored = rest.join(_score_rest(rest, model, sent), "gram")
     more = scored.groupBy("__row").agg(F.array(*[F.sum(F.col("n") * F.col("scores")[i]) for i in range(len(model["langs"]))]).alias("__more"))
     ended = begun.drop("__rest").join(more, "__row", "left").drop("__row")
-    return ended.mapInArrow(_finish(sent), f"{schema}, lang_pred string, score double")
+    return ended.select("row", "__sum", "__more").mapInArrow(_finish(sent), extended(fields, "lang_pred string, score double")).select("row.*", "lang_pred", "score")

@@ -6,7 +6,8 @@ is judged against one fixed threshold. The model is ``2 * 2**bits`` weights, wha
 
 Defined cases: a null text has no words, so it fails the rules; with no labels, or one class only, the classifier has no
 verdict and the rules alone decide; repeated rows are judged alike; of an id labelled more than once the worst label holds;
-labelled ids that are null are not used; other columns are ignored (or kept, in ``keep_good``).
+labelled ids that are null are not used, and of an id with several texts the one of the smallest hash; other columns are ignored (or
+kept, whatever their names, in ``keep_good``).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, Words, as_bytes, slices
+from quire.llm.common import SPACES, Words, as_bytes, extended, mixed, slices
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
@@ -67,23 +68,25 @@ def rules(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _grams(texts: list[bytes], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For word unigrams and character n-grams: hashed indexes, and each text's offsets among them."""
+    """For word unigrams and n-grams of code points: hashed indexes, and each text's offsets among them."""
     words = Words(texts)
     shift = np.uint64(64 - bits)
-    first = ((words.hashes()) >> shift).astype(np.int32)
-    b = words.buffer.astype(np.uint32)
+    first = (words.hashes() >> shift).astype(np.int32)
+    begins = (words.buffer & 0xC0) != 0x80  # of a code point
+    at = np.concatenate([[0], np.cumsum(begins)])[words.text_at]
+    b = np.frombuffer(words.buffer.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
     n = len(b) - CHAR_N + 1
     if n <= 0:
         return [(first, words.offsets), (np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))]
-    value = b[:n].copy()
+    value = b[:n].astype(np.uint64)
     for k in range(1, CHAR_N):
-        value |= b[k : k + n] << np.uint32(8 * k)
-    value = (value * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+        value = value * np.uint64(0x9E3779B97F4A7C15) + b[k : k + n]
+    value = mixed(value) >> shift
     # the n-grams that begin in a text end before the next text's first character; those over the edge are left out
-    sizes = np.maximum(np.diff(words.text_at) - CHAR_N, 0)
+    sizes = np.maximum(np.diff(at) - CHAR_N, 0)
     inside = np.zeros(n + 1, dtype=np.int8)
-    np.add.at(inside, words.text_at[:-1][sizes > 0], 1)
-    np.add.at(inside, (words.text_at[:-1] + sizes)[sizes > 0], -1)
+    np.add.at(inside, at[:-1][sizes > 0], 1)
+    np.add.at(inside, (at[:-1] + sizes)[sizes > 0], -1)
     return [(first, words.offsets), (value[np.cumsum(inside)[:-1] > 0].astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]))]
 
 
@@ -120,8 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     few = known.where("label = 0").orderBy("draw", "id").limit(sample).unionAll(known.where("label = 1").orderBy("draw", "id").limit(sample))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")  # at most 2 * sample small rows
-    rows = rows.select("text", "label", (F.pmod("draw", F.lit(5)) == 0).alias("fold"))
-    got = rows.mapInArrow(_featurise(bits), "label int, fold boolean, at binary, size binary").limit(8 * sample).toPandas()
+    one = rows.groupBy("id", "label", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # so at most 2 * sample rows, the same ones in every run
+    one = one.select("text", "label", (F.pmod("draw", F.lit(5)) == 0).alias("fold"), "draw", "id").coalesce(8).sortWithinPartitions("draw", "id")
+    got = one.select("text", "label", "fold").mapInArrow(_featurise(bits), "label int, fold boolean, at binary, size binary").toPandas()
+    got = got.sort_values(["label", "at", "size"], kind="stable")
     y, held = got["label"].to_numpy(dtype=float), got["fold"].to_numpy(dtype=bool)
     if len(set(y[~held])) < 2:
         return None
@@ -197,10 +202,9 @@ def _judge(model, threshold: float):
 def judge(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = KEEP_FROM, carry: bool = False) -> DataFrame:
     """The rules' counts, the calibrated ``probability`` and the verdict ``kept`` of every document; with ``carry``, all its columns in ``row``."""
     spark = docs.sparkSession
-    held = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else [F.col(id_col)]
-    given = docs.select(*held, F.col(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(_judge(spark.sparkContext.broadcast(model), threshold), f"{schema}, {_NEW}")
+    held = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else [F.col(f"`{id_col}`")]
+    given = docs.select(*held, F.col(f"`{text_col}`").alias("text"))
+    return given.mapInArrow(_judge(spark.sparkContext.broadcast(model), threshold), extended(given.schema.fields[:-1], _NEW))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

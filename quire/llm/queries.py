@@ -44,7 +44,7 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = secret_scan.scan(docs, secret_scan.fit(docs), ["doc_id"])
+    found = secret_scan.scan(docs, secret_scan.fit(docs), ["doc_id"], clean_too=False)
     base = F.filter("secrets", lambda s: s["kind"] != "model")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -12,7 +12,7 @@ allows and otherwise splits where it is skewed. The model grows with the corpus
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; an empty host and path are allowed unless a
 rule says otherwise; where one class has no labelled url every score is 0 and every url without a rule is allowed; repeated
-rows and null ids are kept; an empty table gives no rows.
+rows and null ids are kept, and columns of any name, but those called as the results give way to them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -102,13 +102,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
     host, path = host_and_path(F.col(url_col))
     given = given.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    given = given.withColumns({"rule": rule, "ruled": verdict, "string": F.lower(F.concat("host", "path"))})
+    given = given.withColumns({"rule": rule, "__ruled": verdict, "__string": F.lower(F.concat("host", "path"))})
     given = written(given)
-    strings = given.where("string <> ''").groupBy("string").agg(F.min("ruled").alias("verdict"), F.max("ruled").alias("other"))
+    strings = given.where("__string <> ''").groupBy(F.col("__string").alias("string")).agg(F.min("__ruled").alias("verdict"), F.max("__ruled").alias("other"))
     strings = strings.withColumn("verdict", F.when(F.col("verdict") == F.col("other"), F.col("verdict"))).drop("other").withColumn("held", F.pmod(F.xxhash64("string"), F.lit(5)) == 0)
     strings = written(strings)
     scored = written(strings.join(scores(strings), "string"))
     cut = threshold(scored)
-    out = given.join(scored.select("string", "score"), "string", "left")
+    # urls without host and path have no score, and no part in the join
+    named = given.where("__string <> ''").join(scored.select(F.col("string").alias("__string"), "score"), "__string", "left").drop("__string")
+    out = named.unionByName(given.where("__string = ''").drop("__string").withColumn("score", F.lit(None).cast("double")))
     learned = F.when(F.col("score") < F.lit(cut), F.lit("block")).otherwise(F.lit("allow")) if cut is not None else F.lit("allow")
-    return out.withColumns({"verdict": F.coalesce("ruled", learned), "score": F.when(F.col("ruled").isNull(), F.col("score"))}).drop("ruled", "string")
+    return out.withColumns({"verdict": F.coalesce("__ruled", learned), "score": F.when(F.col("__ruled").isNull(), F.col("score"))}).drop("__ruled")

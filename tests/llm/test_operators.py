@@ -220,6 +220,44 @@ def test_similar_links_in_blocks(spark):
         assert {frozenset(x) for x in groups.values()} == {x for x in want if len(x) > 1}
 
 
+def test_odd_columns(spark):
+    """Columns called as the results, as inner names or with a dash are kept or give way as stated, and nothing fails."""
+    text = "the quick brown fox jumps over the lazy dog near the old river bank password = abc123def"
+    made = spark.createDataFrame([(1, text, "en", 0.5, "s", "r", "x", "y", 1, (1, "n")), (None, None, None, None, None, None, None, None, None, None)], "doc_id long, text string, lang string, score double, secrets string, redacted string, `a-b` string, `string` string, ruled int, `in-ner` struct<`c-d`:int,row:string>")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert langid.predict(made, langid.learn(made), ["doc_id", "text", "score", "a-b", "in-ner"]).columns == ["doc_id", "text", "a-b", "in-ner", "lang_pred", "score"]
+    assert langid.predict(made, langid.learn(made, words=0, grams=0), ["doc_id", "score", "a-b"]).count() == 2
+    assert quality.keep_good(made, labels).collect()[0]["a-b"] == "x"
+    clean = {r.doc_id: r for r in secret_scan.redact(made).collect()}
+    assert clean[1].text.endswith("password = [SECRET]") and (clean[1].secrets, clean[1].redacted, clean[1]["in-ner"]["c-d"]) == ("s", "r", 1) and clean[None].text is None
+    assert secret_scan.scan(made, None, made.columns).columns == [c for c in made.columns if c not in ("secrets", "redacted")] + ["secrets", "redacted"]
+    judged = urls.judge(made.withColumn("url", F.lit("http://a.com/x")), RULES)
+    assert {"string", "ruled", "a-b", "verdict"} <= set(judged.columns) and judged.count() == 2
+    assert simhash.keep_first(made).columns == made.columns and mixing.mixed_rows(made.withColumn("source", F.lit("s"))).columns == [*made.columns, "source"]
+
+
+def test_language_ties(spark):
+    """Two languages of the same words: the first by code point, with an even score."""
+    table = spark.createDataFrame([(1, "abc def", "q"), (2, "abc def", "p")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in langid.predict(table, langid.learn(table), ["doc_id"]).collect()} == {("p", 0.5)}
+
+
+def test_free_spans():
+    rng = random.Random(14)
+    for _ in range(300):
+        edges = sorted(rng.sample(range(60), 12))
+        spans = [(edges[i], edges[i + 1]) for i in range(0, 12, 2)]
+        found = sorted((s := rng.randrange(60), 0, s + rng.randint(1, 20), s) for _ in range(rng.randint(0, 5)))
+        assert secret_scan.free(spans, found) == [not any(a < e and s < b for s, _, e, _ in found) for a, b in spans]
+
+
+def test_character_grams_are_of_code_points():
+    texts = ["abcd", "", "ééé日", "日本", "xabcdéé"]
+    index, offsets = quality._grams([t.encode() for t in texts], 15)[1]
+    assert np.diff(offsets).tolist() == [max(0, len(t) - 3) for t in texts]
+    assert index[offsets[0]] == index[offsets[4] + 1] and len(index) == offsets[-1]
+
+
 def test_packing(docs, none, rows):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = packing.pack_documents(docs, group=16).collect()
