@@ -306,7 +306,7 @@ def _shingle_sets(shingle: int):
                 own = np.unique(shingle_hashes(text, shingle))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 keys.append(_bands(own).view(np.int64).tolist() if len(own) else [])
-                sets.append(own.tobytes())
+                sets.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "hash", "node", "keys", "shingles"])
 
     return run
@@ -329,7 +329,7 @@ def _similar_in_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for x, y, z, node, shingles in zip(*(batch[c].to_pylist() for c in ("group", "low", "high", "node", "shingles")), strict=True):
             if (x, y, z) != key:
                 key, forest, seen = (x, y, z), _Forest(), []
-            own = np.frombuffer(shingles, dtype=np.uint64)
+            own = np.frombuffer(shingles, dtype=np.uint32)
             for other, theirs in seen:
                 if forest.root(node) != forest.root(other) and _similar(own, theirs):
                     forest.join(node, other)
@@ -339,13 +339,13 @@ def _similar_in_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def similar_links(sets: DataFrame, block: int = 256) -> DataFrame:
-    """A forest (``a``, ``b``) with the components of all pairs of ``sets`` (``node``, ``keys``, ``shingles``) that share a band key and
-    have a Jaccard similarity of ``JACCARD`` at least.
+    """A forest (``a``, ``b``) with the components of all pairs of ``sets`` (``node``, ``keys``, ``shingles``; rows of one node are
+    alike) that share a band key and have a Jaccard similarity of ``JACCARD`` at least. Only nodes that share a key send their shingles.
 
     A group is the nodes of one key; groups of the same nodes are compared once. One of over ``block`` nodes is dealt in
     blocks, every two of which meet in one task, so that no pair is left out and none is large.
     """
-    keyed = sets.select("node", F.posexplode("keys").alias("band", "key"))
+    keyed = sets.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     keyed = written(keyed.join(sizes, ["band", "key"]).select("node", F.xxhash64("band", "key").alias("group"), "n"))
     small = keyed.where(F.col("n") <= block).groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
@@ -353,7 +353,10 @@ def similar_links(sets: DataFrame, block: int = 256) -> DataFrame:
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     large = keyed.where(F.col("n") > block).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node")
-    met = small.unionAll(large).join(sets.select("node", "shingles"), "node")
+    # as a table its size is known: Spark sends the nodes to the sets where they are few
+    asked = written(keyed.select("node").distinct())
+    few = written(sets.select("node", "shingles").join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    met = small.unionAll(large).join(few, "node")
     dealt = met.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node")
     return dealt.select("group", "low", "high", "node", "shingles").mapInArrow(_similar_in_group, "a long, b long")
 
@@ -362,14 +365,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id``, ``hash`` (of the text), ``node`` and ``root`` (one node of its group) of every document."""
     given = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
     every = written(given.mapInArrow(_shingle_sets(shingle), f"id {given.schema['id'].dataType.simpleString()}, hash long, node long, keys array<long>, shingles binary"))
-    sets = every.groupBy("node").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))  # one node, one set: any of its rows will do
-    roots = written(components(similar_links(written(sets))))
+    roots = components(similar_links(every.select("node", "keys", "shingles")))
     return every.select("id", "hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document, with its columns, of each group of near copies: the one of the smallest id (null is the largest), then of the smallest hash of its text (Jaccard similarity of their
-    different five-word shingles of 0.8 or more, decided on the shingles' hashes; groups are what such pairs connect).
+    different five-word shingles of 0.8 or more, decided on 32 bits of the shingles' hashes; groups are what such pairs connect).
 
     Candidates agree in one of 16 bands of 4 least hashes, each of other mixings of the shingles: at Jaccard s by a chance of
     1 - (1 - s^4)^16, which is 0.9998 at 0.8. Of rows of one id and text one stays; an id whose texts are in different groups stays in each.

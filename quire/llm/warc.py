@@ -4,8 +4,9 @@ Writing is one query: a record's block is cut into chunks of ``chunk`` bytes, ea
 ``response``, the rest ``continuation`` records, numbered, the last with the total length), and Spark's text writer puts them
 into gzip files, with the blank lines that end a WARC record as line separator. Any store that Spark writes to will do.
 Reading splits the files at blank lines, restores the byte stream and follows Content-Length, so that a payload may hold blank
-lines; it yields one row for each chunk (record id, chunk number) with the digest of the payload up to there. No step holds
-more of a record than one chunk, besides the input's own cell.
+lines; it yields one row for each chunk (record id, chunk number) with the digest of the payload up to there. Reading holds no more of
+a record than one chunk and one digest state. Writing holds the input's own cell, which is a whole payload, and while a record is
+cut that payload once more behind its HTTP header and once more as its chunks.
 
 Equal payloads of ``revisit_from`` bytes or more are stored once: the row with the largest id is the response, the others are
 revisit records that name it. A payload's digest is compared while reading; a wrong one is an error.
@@ -50,6 +51,11 @@ def _uuid(*parts: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *cut))
 
 
+def _named(key: str) -> Column:
+    """A name of a key that no other key has, null included."""
+    return F.coalesce(F.concat(F.lit("="), key), F.lit("-"))
+
+
 def _header(**fields: Column) -> Column:
     """The header block; a field whose value is null is left out."""
     lines = [F.concat(F.lit(f"\r\n{k.replace('_', '-')}: "), v.cast("string")) for k, v in fields.items()]
@@ -63,10 +69,10 @@ def segments(rows: DataFrame, id_col: str, uri_col: str, payload_col: str, chunk
     given = given.withColumns({"sha1": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
     small = given.select("key", "id", "sha1", "bytes")
     firsts = small.where(F.col("bytes") >= revisit_from).groupBy("sha1").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    again = small.join(firsts, "sha1").where(F.col("id").isNull() | (F.col("id") < F.col("first"))).select(F.coalesce("key", F.lit("-")).alias("again"), F.col("sha1").alias("again_sha1"), "first").distinct()
-    joined = given.join(again, (F.coalesce("key", F.lit("-")) == F.col("again")) & (F.col("sha1") == F.col("again_sha1")), "left")
+    again = small.join(firsts, "sha1").where(F.col("id").isNull() | (F.col("id") < F.col("first"))).select(_named("key").alias("again"), F.col("sha1").alias("again_sha1"), "first").distinct()
+    joined = given.join(again, (_named("key") == F.col("again")) & (F.col("sha1") == F.col("again_sha1")), "left")
     refers = F.col("first").cast("string")
-    record = _uuid(F.coalesce("key", F.lit("")), F.col("sha1"))
+    record = _uuid(_named("key"), F.col("sha1"))
     block = F.when(refers.isNull(), F.concat(F.lit(HTTP).cast("binary"), "payload")).otherwise(F.lit(b""))
     numbered = joined.withColumns({"record": record, "refers": refers, "block": block, "digest": F.concat(F.lit("sha1:"), base32(F.col("sha1")))})
     numbered = numbered.withColumn("last", F.greatest(F.ceil(F.octet_length("block") / F.lit(chunk)), F.lit(1)).cast("int"))
@@ -83,7 +89,7 @@ def segments(rows: DataFrame, id_col: str, uri_col: str, payload_col: str, chunk
         Content_Length=F.octet_length("piece"),
         WARC_Payload_Digest=F.when(first, F.col("digest")),
         WARC_Profile=F.when(F.col("refers").isNotNull(), F.lit(PROFILE)),
-        WARC_Refers_To=F.when(F.col("refers").isNotNull(), F.concat(F.lit("<"), _uuid(F.col("refers"), F.col("sha1")), F.lit(">"))),
+        WARC_Refers_To=F.when(F.col("refers").isNotNull(), F.concat(F.lit("<"), _uuid(_named("refers"), F.col("sha1")), F.lit(">"))),
         WARC_Segment_Number=F.when(many, F.col("at")),
         WARC_Segment_Origin_ID=F.when(~first, F.concat(F.lit("<"), F.col("record"), F.lit(">"))),
         WARC_Segment_Total_Length=F.when(many & (F.col("at") == F.col("last")), F.octet_length(F.lit(HTTP)) + F.col("bytes")),

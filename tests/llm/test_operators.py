@@ -204,7 +204,7 @@ def test_similar_links_in_blocks(spark):
     base, own = list(range(100)), {}
     for n in range(60):
         own[n] = sorted({*rng.sample(base, 85), *(1000 * n + 5000 + k for k in range(rng.choice((0, 5, 40))))})
-    rows = [(n, [7], np.array(x, dtype=np.uint64).tobytes()) for n, x in own.items()]
+    rows = [(n, [7], np.array(x, dtype=np.uint32).tobytes()) for n, x in own.items()]
     sets = spark.createDataFrame(rows, "node long, keys array<long>, shingles binary")
     up = {n: n for n in own}
     for a in own:
