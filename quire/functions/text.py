@@ -122,3 +122,25 @@ def sentences(text: Column) -> Column:
     marked = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?]) (?=[^a-z])", "\u0001")
     glued = F.regexp_replace(marked, "(^|\u0001)([0-9]{1,3}\\.)\u0001", "$1$2 ")
     return F.filter(F.split(glued, "\u0001"), lambda s: F.length(s) > 1)
+
+
+def bare(text: Column) -> Column:
+    """A name without dot leaders and what follows them, without a note in brackets at its end, a colon or a full stop."""
+    for pattern in (r"\s*\.{3,}.*$", r"\s*\([^)]*\)\s*$", r"[:.]$"):
+        text = F.regexp_replace(text, pattern, "")
+    return F.trim(text)
+
+
+def same_words(text: Column) -> Column:
+    """What two texts that are the same but for case and white space have in common."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def rich_text(question: Column, top: Column) -> Column:
+    """A question with its three best sections, as it is embedded."""
+    return F.concat(question, F.lit("\nSections: "), F.array_join(F.slice(top, 1, 3), "; "))
+
+
+def run_in_hash(part: Column) -> Column:
+    """The run that an address names behind its #, or null."""
+    return F.nullif(F.regexp_extract(part, r"^#run=([\w-]+)$", 1), F.lit(""))

@@ -123,3 +123,19 @@ def parsed(line: Column) -> Column:
     """``depth`` (two spaces each), ``text``, ``in`` and ``out`` tokens (0 without a cost) and ``header`` (ends in "…") of a log line."""
     part = lambda k: F.regexp_extract(line, LINE, k)
     return F.struct(F.floor(F.length(part(1)) / 2).cast("int").alias("depth"), part(2).alias("text"), F.coalesce(F.nullif(part(3), F.lit("")).cast("long"), F.lit(0)).alias("tokens_in"), F.coalesce(F.nullif(part(4), F.lit("")).cast("long"), F.lit(0)).alias("tokens_out"), F.endswith(part(2), F.lit("…")).alias("header"))
+
+
+def in_flight(lines: DataFrame) -> DataFrame:
+    """What the call that a stopped run left open may have cost: the rounded mean of the calls that it reported (leaf lines with a cost), null
+    without one. ``lines``: ``run``, ``idx``, ``depth``, ``cost`` (null without) and ``stopped``; a line is a leaf if the next is no deeper."""
+    leaf = F.coalesce(F.lead("depth").over(Window.partitionBy("run").orderBy("idx")) <= F.col("depth"), F.lit(True))
+    calls = lines.where("stopped").withColumn("leaf", leaf)
+    mean = F.try_divide(F.sum(F.when(F.col("leaf"), F.col("cost"))), F.count_if(F.col("leaf") & F.col("cost").isNotNull()))
+    return calls.groupBy("run").agg(F.floor(mean + 0.5).alias("cost"))
+
+
+def stepped(runs: DataFrame) -> DataFrame:
+    """For each run of a user's history (``user``, ``id``, ``at``, ``place``) the ``older`` and ``newer`` one in time, and its ``successor`` in the list
+    once it is gone: the one after it, else the one before."""
+    by_time, listed = Window.partitionBy("user").orderBy(F.desc("at"), "place"), Window.partitionBy("user").orderBy("place")
+    return runs.withColumns({"older": F.lead("id").over(by_time), "newer": F.lag("id").over(by_time), "successor": F.coalesce(F.lead("id").over(listed), F.lag("id").over(listed))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import normalize
+from quire.functions.text import normalize, singular
 
 
 def lone(cells: Column) -> Column:
@@ -78,13 +78,27 @@ def mostly_filled(cells: DataFrame, by: str, share: float = 0.5, least: int = 2)
     return out.where(F.col("filled") >= F.greatest(F.least(F.col("rows"), F.lit(least)).cast("double"), F.col("rows") * share))
 
 
-def annotate(items: DataFrame, rows: DataFrame) -> DataFrame:
+def annotate(items: DataFrame, rows: DataFrame, block: int = 1024) -> DataFrame:
     """For each item the value of the nearest row that has it by name: nearest page, then table, then row; "N/A" without one.
 
-    ``items``: ``item``, ``key``, ``page``; ``rows``: ``key``, ``row_page``, ``table_pos``, ``row_pos``, ``value``."""
-    met = items.join(rows, "key", "left").withColumn("far", F.abs(F.col("row_page") - F.col("page")))
-    best = met.groupBy("item", "page").agg(F.min(F.when(F.col("far").isNotNull(), F.struct("far", "table_pos", "row_pos", "value"))).alias("b"))
-    return best.select("item", "page", F.coalesce("b.value", F.lit("N/A")).alias("value"))
+    ``items``: ``item``, ``key``, ``page``; ``rows``: ``key``, ``row_page``, ``table_pos``, ``row_pos``, ``value``. The nearest page is the last
+    one with a row at or before the item's, or the first at or after it: within ``block`` pages from one ordered pass, beyond from the blocks'
+    first and last rows, so that a key of most rows is many tasks' work."""
+    best = rows.groupBy("key", F.col("row_page").alias("page")).agg(F.min(F.struct("table_pos", "row_pos", "value")).alias("best"))
+    row = F.struct("page", "best.table_pos", "best.row_pos", "best.value").alias("row")
+    known = best.select("key", "page", row, F.lit(False).alias("asks"), F.lit(None).cast(items.schema["item"].dataType).alias("item"))
+    marks = known.unionByName(items.select("key", "page", F.lit(None).cast(known.schema["row"].dataType).alias("row"), F.lit(True).alias("asks"), "item"))
+    marks = marks.withColumn("block", F.floor(F.col("page") / block))
+    ends = marks.groupBy("key", "block").agg(F.min_by("row", F.when(~F.col("asks"), F.col("page"))).alias("first"), F.max_by("row", F.when(~F.col("asks"), F.col("page"))).alias("last"))
+    order = Window.partitionBy("key").orderBy("block")
+    ends = ends.select("key", "block", F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("far_back"), F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("far_on"))
+    inside = Window.partitionBy("key", "block")
+    back = F.last("row", ignorenulls=True).over(inside.orderBy("page", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    on = F.last("row", ignorenulls=True).over(inside.orderBy(F.desc("page"), "asks").rowsBetween(Window.unboundedPreceding, 0))
+    near = marks.withColumns({"back": back, "on": on}).where("asks").join(ends, ["key", "block"])
+    sides = [F.when(x.isNotNull(), F.struct(F.abs(x["page"] - F.col("page")).alias("far"), x["table_pos"].alias("table_pos"), x["row_pos"].alias("row_pos"), x["value"].alias("value"))) for x in (F.coalesce("back", "far_back"), F.coalesce("on", "far_on"))]
+    nearest = F.array_min(F.array_compact(F.array(*sides)))
+    return near.select("item", "page", F.coalesce(nearest["value"], F.lit("N/A")).alias("value")).distinct()
 
 
 def composed(cells: DataFrame, *by: str) -> DataFrame:
@@ -101,6 +115,29 @@ def across(cells: DataFrame, columns: list[str]) -> DataFrame:
     return cells.withColumn("shown", shown).groupBy("row").pivot("col", columns).agg(F.first("shown"))
 
 
+def named_as(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of a row (``i``, ``name``, ``grp``) and an item (``j``, ``item``) that it names, the one or the other short by its group's noun: an
+    equi-join on every spelling a row answers to. The noun is the group's normal form without "mod" or "mods", as it is or its singular."""
+    name, noun = normalize(F.col("name")), F.trim(F.regexp_replace(normalize(F.col("grp")), r"\s*\bmods?\b\s*", " "))
+    n = rows.select("i", name.alias("n"), F.filter(F.array(noun, singular(noun)), lambda x: x != "").alias("nouns")).where("n <> ''")
+    longer = F.transform("nouns", lambda x: F.concat_ws(" ", F.col("n"), x))
+    shorter = F.transform(F.filter("nouns", lambda x: F.endswith(F.col("n"), F.concat(F.lit(" "), x))), lambda x: F.expr("n").substr(F.lit(1), F.length("n") - F.length(x) - 1))
+    keys = n.select("i", F.explode(F.array_distinct(F.concat(F.array("n"), longer, shorter))).alias("key"))
+    return keys.join(items.select("j", normalize(F.col("item")).alias("key")).where("key <> ''"), "key").select("i", "j")
+
+
+def kept_columns(cells: DataFrame, by: str) -> DataFrame:
+    """Columns of a table that a row other than a lone one fills. ``cells``: ``col``, ``cell``, ``lone``."""
+    return cells.groupBy(by, "col").agg(F.max((F.col("cell") != "") & ~F.col("lone")).alias("kept")).where("kept").select(by, "col")
+
+
+def chosen_columns(choices: DataFrame, by: str) -> DataFrame:
+    """Columns of each table to keep: the first, which names the row, and every one chosen for a quantity, in order; none where no choice is a
+    column. ``choices``: ``col`` (null for "none")."""
+    picked = choices.groupBy(by).agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    return picked.select(by, F.when(F.size("cols") > 0, F.concat(F.array(F.lit(0)), F.filter("cols", lambda c: c != 0))).alias("keep"))
+
+
 def match_rows(ours: DataFrame, theirs: DataFrame, answers: DataFrame) -> DataFrame:
     """Names by their normal form first; what is left on both sides by the likeliest answer from one half on (``i``, ``j``, ``p``)."""
     sure = same_names(ours, theirs)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import numbers
-from quire.functions.text import quantised, sentences
+from quire.functions.text import normalize, quantised, sentences
 from quire.operators import decide, evaluate, export, outline, runlog, tables, windows
 from quire.plans._q import PAGES, documents, norm, paged, q6
 from quire.plans.answer_queries import _CLAIMS, _claims, rec, recorded
@@ -106,18 +106,18 @@ def offer_afresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers to renamed suppliers: by name, the rest by recorded answers among keys of one remainder."""
+    """Suppliers to renamed suppliers: by name, the rest by recorded answers among names that begin alike (their first 17 characters)."""
     s = _t(spark, sf_dir, "supplier")
     ours = s.select(F.col("s_suppkey").alias("i"), F.lower("s_name").alias("name"))
     theirs = s.select(F.col("s_suppkey").alias("j"), F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")).alias("name"))
-    pairs = ours.select("i", (F.col("i") % 50).alias("m")).join(theirs.select("j", (F.col("j") % 50).alias("m")), "m").select("i", "j", recorded("match", _s("i"), _s("j")).alias("p"))
+    begins = F.substring(normalize(F.col("name")), 1, 17).alias("m")
+    pairs = ours.select("i", begins).join(theirs.select("j", begins), "m").select("i", "j", recorded("match", _s("i"), _s("j")).alias("p"))
     return tables.match_rows(ours, theirs, pairs)
 
 
 def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered pairs of vectors of one label and hundred."""
-    e = _t(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 100).alias("h"), "vec_id")
-    return e.alias("a").join(e.alias("b"), ["label", "h"]).where("a.vec_id <> b.vec_id").select("label", F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
+    """With how many others of its label each vector makes an ordered pair: the pairs of a label are not written out."""
+    return evaluate.partners(_t(spark, sf_dir, "embeddings").select("label", "vec_id"), "label")
 
 
 def trace_to_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,9 +304,9 @@ SELECT item_id, min(pos) AS pos, count(*) AS words, string_agg(word, ' ' ORDER B
     "changed_options": f"WITH {_REQ_SQL} SELECT id, string_agg('--' || name || '=' || CAST(value AS VARCHAR), ' ' ORDER BY ord) AS flags FROM rq WHERE contains(tools, tool) AND value <> standard GROUP BY id",
     "offer_afresh": f"WITH c AS (SELECT c_custkey, {_r('cache', 'c_custkey')} % 2 = 1 AS cached, {_r('read', 'c_custkey')} % 16 AS sections, {_r('kept', 'c_custkey')} % 7 AS kept FROM customer) SELECT *, cached AND (sections >= 12 OR kept >= 5) AS offer FROM c",
     "match_rows": f"""WITH o AS (SELECT s_suppkey AS i, {norm('s_name')} AS k FROM supplier), t AS (SELECT s_suppkey AS j, {norm("CASE WHEN s_suppkey % 3 = 0 THEN s_name || 'x' ELSE s_name END")} AS k FROM supplier),
-m AS (SELECT i, max(j) AS j FROM o JOIN t USING (k) GROUP BY i), p AS (SELECT o.i, t.j, {_r('match', 'o.i', 't.j')} AS p FROM o JOIN t ON o.i % 50 = t.j % 50 WHERE o.i NOT IN (SELECT i FROM m) AND t.j NOT IN (SELECT j FROM m)),
+m AS (SELECT i, max(j) AS j FROM o JOIN t USING (k) GROUP BY i), p AS (SELECT o.i, t.j, {_r('match', 'o.i', 't.j')} AS p FROM o JOIN t ON substring(o.k, 1, 17) = substring(t.k, 1, 17) WHERE o.i NOT IN (SELECT i FROM m) AND t.j NOT IN (SELECT j FROM m)),
 b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p DESC, j) AS k FROM p WHERE p >= 50) SELECT i, j, 100 AS p FROM m UNION ALL SELECT i, j, p FROM b WHERE k = 1""",
-    "question_pairs": "SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = b.vec_id % 100 AND a.vec_id <> b.vec_id",
+    "question_pairs": "SELECT label, vec_id, count(*) OVER (PARTITION BY label) - 1 AS partners FROM embeddings",
     "trace_to_case": "WITH v AS (SELECT user_id AS \"user\", event_id AS id, ts FROM events WHERE event_type = 'view') SELECT \"user\", id, (SELECT arg_max(c.event_id, (c.ts, c.event_id)) FROM events c WHERE c.event_type = 'signup' AND c.user_id = v.\"user\" AND c.ts <= v.ts) AS \"case\" FROM v",
     "passage_confidence": f"WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), r AS (SELECT doc_id, {_r('line', 'doc_id', 'pos')} AS p FROM l) SELECT doc_id, {q6('avg(p)')} AS p, count(*) AS lines FROM r WHERE p >= 65 GROUP BY doc_id",
     "spend_split": f"SELECT o_orderkey, CAST(floor(CAST({_r('in', 'o_orderkey')} * 997 AS BIGINT) * 42 / 1000) AS BIGINT) AS micros, greatest(0, {_r('wall', 'o_orderkey')} - {_r('api', 'o_orderkey')} - {_r('ex', 'o_orderkey')} % 20) AS other FROM orders",

@@ -76,9 +76,9 @@ def mostly_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments as items: the nearest order page (by key) of that segment with a value."""
     orders = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = orders.where("o_orderkey % 10 = 0").groupBy(F.col("c_mktsegment").alias("key"), F.floor(F.col("o_orderkey") / 50).alias("row_page")).agg(F.min("o_orderkey").alias("row_pos"))
+    rows = orders.groupBy(F.col("c_mktsegment").alias("key"), F.floor(F.col("o_orderkey") / 50).alias("row_page")).agg(F.min("o_orderkey").alias("row_pos"))
     rows = rows.select("key", "row_page", (F.col("row_pos") % 3).alias("table_pos"), "row_pos", F.col("row_pos").cast("string").alias("value"))
-    items = _t(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 20 == 3, F.lit("unlisted")).otherwise(F.col("c_mktsegment")).alias("key"), F.floor(F.col("c_custkey") / 25).alias("page"))
+    items = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 20 == 3, F.lit("unlisted")).otherwise(F.col("c_mktsegment")).alias("key"), F.floor(F.col("c_custkey") / 25).alias("page"))
     return tables.annotate(items, rows).select("item", "page", "value")
 
 
@@ -291,8 +291,8 @@ l AS (SELECT p_partkey, [c, a, b, ', ' || p_brand || '; size ' || CAST(p_size AS
 SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1 AS INTEGER) AS pos, piece FROM f""",
     "mostly_filled": f"""WITH k AS (SELECT p_brand, unnest(['name', 'type', 'size']) AS col, unnest([p_name, CASE WHEN {rec("'type'", 'CAST(p_partkey AS VARCHAR)')} < 60 THEN '' ELSE p_type END, CASE WHEN {rec("'size'", 'CAST(p_partkey AS VARCHAR)')} < 40 THEN '' ELSE CAST(p_size AS VARCHAR) END]) AS cell FROM part),
 g AS (SELECT p_brand, col, count(*) AS rows, count(*) FILTER (cell <> '') AS filled FROM k GROUP BY ALL) SELECT p_brand, col, rows, filled FROM g WHERE filled >= greatest(least(rows, 2)::DOUBLE, rows * 0.5::DOUBLE)""",
-    "annotate_nearest": """WITH r AS (SELECT c_mktsegment AS key, o_orderkey // 50 AS row_page, min(o_orderkey) AS row_pos FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0 GROUP BY ALL),
-i AS (SELECT c_custkey AS item, CASE WHEN c_custkey % 20 = 3 THEN 'unlisted' ELSE c_mktsegment END AS key, c_custkey // 25 AS page FROM customer WHERE c_custkey % 10 = 3),
+    "annotate_nearest": """WITH r AS (SELECT c_mktsegment AS key, o_orderkey // 50 AS row_page, min(o_orderkey) AS row_pos FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+i AS (SELECT c_custkey AS item, CASE WHEN c_custkey % 20 = 3 THEN 'unlisted' ELSE c_mktsegment END AS key, c_custkey // 25 AS page FROM customer),
 m AS (SELECT item, page, CAST(row_pos AS VARCHAR) AS value, row_number() OVER (PARTITION BY item, page ORDER BY abs(row_page - page), row_pos % 3, row_pos) AS k FROM i LEFT JOIN r USING (key)) SELECT item, page, coalesce(value, 'N/A') AS value FROM m WHERE k = 1""",
     "compose_table": f"""WITH k AS (SELECT p_partkey, unnest(['entry', 'table', 'own', 'derived', 'derived']) AS source, unnest(['type', 'type', 'size', 'size', 'type']) AS col, unnest([1, 2, 3, 4, 4]) AS rank,
  unnest([CASE WHEN {rec("'entry'", "'type'", 'CAST(p_partkey AS VARCHAR)')} >= 50 THEN p_type END, CASE WHEN {rec("'table'", "'type'", 'CAST(p_partkey AS VARCHAR)')} >= 50 THEN lower(p_type) END, CASE WHEN {rec("'own'", "'size'", 'CAST(p_partkey AS VARCHAR)')} >= 50 THEN CAST(p_size AS VARCHAR) END, CASE WHEN {rec("'derived'", "'size'", 'CAST(p_partkey AS VARCHAR)')} >= 50 THEN 'about' END, CASE WHEN {rec("'derived'", "'type'", 'CAST(p_partkey AS VARCHAR)')} >= 50 THEN 'kind' END]) AS text FROM part),
