@@ -20,10 +20,10 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, readable after an executor is lost."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table in the shared folder (partitioned ``by`` columns): computed once, lineage cut, readable after an executor is lost."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -107,3 +107,21 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8 bytes; null is empty."""
     return [t or b"" for t in column.cast("binary").to_pylist()]
+
+
+#: Keys that a table may send out to all tasks in place of a shuffle; a key among them has more than a 4096th of the rows, so there are no more.
+HOT_KEYS = 4096
+
+
+def split_hot(table: DataFrame, weight: str) -> tuple[DataFrame, DataFrame]:
+    """``table`` (one row a key, ``weight`` rows of another table each) as its hot keys, at most ``HOT_KEYS`` whatever its size, and all others."""
+    total = table.agg(F.sum(weight)).head()[0] or 0
+    hot = F.col(weight) > total // HOT_KEYS + 1
+    return table.where(hot), table.where(~hot)
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """The inner join of ``rows`` with ``table`` (one row a key): hot keys are sent out, so that no task gets all rows of one; the rest is shuffled.
+    Both should be written tables, as they are read more than once."""
+    hot, rest = split_hot(table, weight)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
