@@ -72,14 +72,6 @@ def figure_limit(length: Column, asked: Column, around: Column) -> Column:
     return F.greatest(F.lit(1), fits).cast("long")
 
 
-FIGURE = r"(?<![\w.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
-
-
-def figures(line: Column) -> Column:
-    """Numbers in digits as strings, thousands separators dropped; none that continue a word or a number."""
-    return F.transform(F.regexp_extract_all(line, F.lit(FIGURE), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
-
-
 # A fixed value: what ends a cell of a line.
 CELL_ENDS = r"\s{3,}|[,;:.()]|\s(?:and|or|is|are|includes?|including|such as)\s"
 

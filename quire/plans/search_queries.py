@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import numbers
 from quire.functions import text as t
-from quire.operators import search
+from quire.operators import figures, search
 from quire.plans._q import BOOKS, LINES, PAGES, asked, book_pages, documents, norm, paged, q6, stem_list
 from quire.sources import shelf
 
@@ -112,10 +113,16 @@ def candidate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def figures_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of a page, at most three lines a value, once a line."""
-    rows = shelf.lines(paged(spark, sf_dir)).select("book", "page", "ln", F.explode(F.array_distinct(t.figures(F.col("line")))).alias("value"))
-    order = Window.partitionBy("book", "page", "value").orderBy("ln")
-    return rows.withColumn("k", F.row_number().over(order)).where("k <= 3").select("book", "page", "ln", "value")
+    """Figures of a page in digits and words, at most three lines a value, once a line, with the words around them."""
+    return figures.figures(shelf.lines(paged(spark, sf_dir)), ["book", "page"])
+
+
+def figures_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts that spell their keys and day's price, a line of an order a page's line."""
+    orders = shelf.table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("Order "), numbers.spelled(F.col("o_orderkey")), F.lit(" of v2.5:\t costs "), F.floor("o_totalprice").cast("long").cast("string"), F.lit(" caps,\nor "), F.initcap(numbers.spelled(F.floor("o_totalprice").cast("long"))), F.lit("; twice 7,000"))
+    lines = orders.select(F.col("o_custkey"), "o_orderkey", F.posexplode(F.split(text, "\n")).alias("ln", "line"))
+    return figures.figures(lines, ["o_custkey", "o_orderkey"], around=12)
 
 
 def figure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +136,27 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk", F.length("part").alias("chars"), F.md5("part").alias("digest"))
 
 
+_ONES_SQL, _TENS_SQL = ("[" + ", ".join(f"'{w}'" for w in x) + "]" for x in (numbers._ONES, numbers._TENS))
+
+
+def _figures(page: str, around: int) -> str:
+    """Figures of ``ln`` in SQL: each match is found again behind the one before it, and a number's words are folded as (complete, run) pairs."""
+    words = " ".join(f"WHEN '{w}' THEN {n}" for w, n in numbers._SMALL.items())
+    scales = " ".join(f"WHEN '{w}' THEN {n}" for w, n in numbers._SCALE.items())
+    return f"""fl AS (SELECT {page}, ln, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS flat FROM ln),
+fm AS (SELECT {page}, ln, flat, string_split(regexp_replace(flat, '(?i)((?:^|[^A-Za-z0-9_.]))({numbers.IN_DIGITS})|\\b({numbers.IN_WORDS})\\b', '\\1' || chr(1) || '\\2\\3' || chr(2), 'g'), chr(1)) AS parts FROM fl),
+fe AS (SELECT {page}, ln, flat, unnest(range(2, len(parts) + 1)) AS i, parts FROM fm WHERE len(parts) > 1),
+fr AS (SELECT {page}, ln, flat, string_split(parts[i], chr(2))[1] AS raw, length(replace(array_to_string(parts[1:i - 1], ''), chr(2), '')) AS pos FROM fe),
+ft AS (SELECT *, list_transform(list_filter(regexp_split_to_array(lower(raw), '[ -]+'), lambda w: w <> 'and'), lambda w: {{'t': 0::BIGINT, 'r': coalesce(CASE w {words} END, 0)::BIGINT, 's': coalesce(CASE w {scales} END, 0)::BIGINT}}) AS w FROM fr),
+fz AS (SELECT *, list_reduce(w, lambda a, x: {{'t': a.t + CASE WHEN x.s >= 1000 THEN greatest(a.r, 1) * x.s ELSE 0 END, 'r': CASE WHEN x.s >= 1000 THEN 0 WHEN x.s = 100 THEN greatest(a.r, 1) * 100 ELSE a.r + x.r END, 's': 0::BIGINT}}, {{'t': 0::BIGINT, 'r': 0::BIGINT, 's': 0::BIGINT}}) AS z FROM ft),
+fv AS (SELECT {page}, ln, CAST(pos AS INTEGER) AS "at", CASE WHEN regexp_matches(raw, '^\\d') THEN replace(raw, ',', '') ELSE CAST(z.t + z.r AS VARCHAR) END AS value,
+  trim(substring(flat, greatest(pos - {around}, 0) + 1, least(pos, {around}) + length(raw) + {around})) AS context FROM fz),
+f1 AS (SELECT * FROM fv QUALIFY row_number() OVER (PARTITION BY {page}, ln, value ORDER BY "at") = 1),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY {page}, value ORDER BY ln) AS k FROM f1) SELECT {page}, ln, value, "at", context FROM f2 WHERE k <= 3"""
+
+
 _STOP = "(" + ", ".join(f"'{w}'" for w in t.STOPWORDS) + ")"
-QUERIES = {f.__name__: f for f in (shelf_excerpts, excerpt_within_pages, excerpt_two_terms_no_subject, term_document_frequency, phrase_over_line_break, normalize_stems, question_words, search_terms, mentions_benchmark, candidate_cells, figures_in_text, figure_budget, text_chunks)}
+QUERIES = {f.__name__: f for f in (shelf_excerpts, excerpt_within_pages, excerpt_two_terms_no_subject, term_document_frequency, phrase_over_line_break, normalize_stems, question_words, search_terms, mentions_benchmark, candidate_cells, figures_in_text, figures_in_words, figure_budget, text_chunks)}
 _BASE = f"WITH {LINES}, {BOOKS}"
 ORACLE = {
     "shelf_excerpts": f"{_BASE}, {_TERMS}, {_HITS}, {_DF}, {_scores('bool_or(subject)')} {_OUT}",
@@ -153,7 +179,17 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY grp, i) -
     "candidate_cells": f"""WITH {LINES}, p AS (SELECT book, page, list_filter(list_transform(regexp_split_to_array(line, '{t.CELL_ENDS}'), lambda x: regexp_replace(trim(x), '^(?i:the|a|an)\\s+', '')), lambda x: regexp_matches(x, '^[A-Z]') AND length(x) <= 60 AND len(regexp_split_to_array(x, '\\s+')) <= 4) AS fit FROM ln),
 b AS (SELECT book, page, unnest(list_filter(fit, lambda x, i: list_position(list_transform(fit, lambda y: lower(y)), lower(x)) = i)) AS cell FROM p)
 SELECT book, lower(cell) AS name, count(DISTINCT page) AS pages, min(cell) AS cell FROM b GROUP BY book, lower(cell) HAVING count(DISTINCT page) > 1""",
-    "figures_in_text": f"WITH {LINES}, f AS (SELECT DISTINCT book, page, ln, replace(unnest(regexp_extract_all(line, '(?:^|[^\\w.])(\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)', 1)), ',', '') AS value FROM ln), k AS (SELECT *, row_number() OVER (PARTITION BY book, page, value ORDER BY ln) AS k FROM f) SELECT book, page, ln, value FROM k WHERE k <= 3",
+    "figures_in_text": f"WITH {LINES}, {_figures('book, page', 60)}",
+    "figures_in_words": f"""WITH n AS (SELECT unnest(range(0, 1000)) AS n), w AS (SELECT n, {_ONES_SQL} AS ones, {_TENS_SQL} AS tens FROM n),
+s2 AS (SELECT n, ones, tens, CASE WHEN n % 100 < 20 THEN ones[n % 100 + 1] ELSE tens[n % 100 // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || ones[n % 10 + 1] ELSE '' END END AS two FROM w),
+sp AS (SELECT n, CASE WHEN n < 100 THEN two ELSE ones[n // 100 + 1] || ' hundred' || CASE WHEN n % 100 > 0 THEN ' and ' || two ELSE '' END END AS w FROM s2),
+v AS (SELECT DISTINCT unnest([o_orderkey, CAST(floor(o_totalprice) AS BIGINT)]) AS v FROM orders),
+sv AS (SELECT v, CASE WHEN v = 0 THEN 'zero' ELSE concat_ws(' ', CASE WHEN v >= 1000000 THEN a.w || ' million' END, CASE WHEN v // 1000 % 1000 > 0 THEN b.w || ' thousand' END, CASE WHEN v % 1000 > 0 THEN c.w END) END AS w
+  FROM v JOIN sp a ON a.n = v // 1000000 JOIN sp b ON b.n = v // 1000 % 1000 JOIN sp c ON c.n = v % 1000),
+tx AS (SELECT o_custkey, o_orderkey, 'Order ' || k.w || ' of v2.5:' || chr(9) || ' costs ' || CAST(p.v AS VARCHAR) || ' caps,' || chr(10) || 'or ' || array_to_string(list_transform(string_split(p.w, ' '), lambda x: upper(x[1]) || x[2:]), ' ') || '; twice 7,000' AS text
+  FROM orders JOIN sv k ON k.v = o_orderkey JOIN sv p ON p.v = CAST(floor(o_totalprice) AS BIGINT)),
+ln AS (SELECT o_custkey, o_orderkey, CAST(unnest(range(0, len(parts))) AS INTEGER) AS ln, unnest(parts) AS line FROM (SELECT o_custkey, o_orderkey, string_split(text, chr(10)) AS parts FROM tx)),
+{_figures('o_custkey, o_orderkey', 12)}""",
     "figure_budget": f"WITH {PAGES}, o AS (SELECT book, page, length(text) AS n FROM pg) SELECT book, page, CAST(greatest(1, least(254, floor((100000 - n) / 160), floor((200000 - n) / 480))) AS BIGINT) AS fits FROM o",
     "text_chunks": "WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents), n AS (SELECT *, greatest(CAST(ceil(length(f) / 6000) AS BIGINT), 1) AS n FROM f WHERE f <> ''), e AS (SELECT *, unnest(range(0, n)) AS chunk, CAST(ceil(length(f) / n) AS BIGINT) AS size FROM n) SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(length(substring(f, chunk * size + 1, size)) AS INTEGER) AS chars, md5(substring(f, chunk * size + 1, size)) AS digest FROM e",
 }

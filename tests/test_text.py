@@ -76,10 +76,9 @@ def test_chunks_nearly_equal(spark):
     assert [len(x) for x in got[0]] == [4334, 4334, 4332] and got[1] == [] and got[2] == ["a b"]
 
 
-def test_figures_and_cells(spark):
-    df = spark.createDataFrame([("costs 1,250 or 3.5 not v2.0 x7",), ("The Rifle and Big Gun, small thing; An Axe",)], "s string")
-    got = df.select(t.figures(F.col("s")).alias("f"), t.cells(F.col("s")).alias("c")).collect()
-    assert got[0].f == ["1250", "3.5"] and got[1].c == ["Rifle", "Big Gun", "Axe"]
+def test_cells(spark):
+    df = spark.createDataFrame([("The Rifle and Big Gun, small thing; An Axe",)], "s string")
+    assert df.select(t.cells(F.col("s")).alias("c")).head().c == ["Rifle", "Big Gun", "Axe"]
 
 
 def test_deciders(spark):
@@ -187,7 +186,7 @@ def test_palette_and_history(spark):
 
 def test_limits_and_numbers(spark):
     got = spark.range(1).select(t.figure_limit(F.lit(0), F.lit(1), F.lit(60)).alias("a"), t.figure_limit(F.lit(99_999), F.lit(3), F.lit(60)).alias("b"), numbers.spelled(F.lit(12_000_345)).alias("n")).head()
-    assert (got.a, got.b, got.n) == (254, 1, "twelve million three hundred and forty-five") and numbers.value_of(got.n) == 12_000_345
+    assert (got.a, got.b, got.n) == (254, 1, "twelve million three hundred and forty-five") and spark.range(1).select(numbers.words_to_number(F.lit(got.n)).alias("v")).head().v == 12_000_345
 
 
 def test_streamed_charges(spark, tmp_path):
