@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import mentions, singular
+
 SEPARATOR = " > "
 #: Pages to a key when page ranges meet pages; a range is one row for each key it touches.
 KEY_PAGES = 8
@@ -82,3 +84,42 @@ def confine(sections: DataFrame, parents: DataFrame) -> DataFrame:
     chapter = sections.select("book", F.col("path").alias("above"), "start")
     opening = above.join(chapter, ["book", "above"]).join(first, ["book", "above"]).where("first > start")
     return pool.unionAll(opening.select("book", "parent", F.concat("above", F.lit(" (opening)")).alias("path"), "start", (F.col("first") - 1).alias("end")))
+
+
+def groups(paths: DataFrame) -> DataFrame:
+    """For each parent how many ``kids`` its entries list, the ``most`` kids that one of those has, and how many of them ``branch`` (have any)."""
+    own = paths.select("book", "path", parent_of(F.col("path")).alias("parent"))
+    sizes = own.where("parent is not null").groupBy("book", "parent").agg(F.count("*").alias("kids"))
+    below = sizes.select("book", F.col("parent").alias("path"), F.col("kids").alias("inner"))
+    met = own.where("parent is not null").join(below, ["book", "path"], "left")
+    return met.groupBy("book", "parent").agg(F.count("*").alias("kids"), F.coalesce(F.max("inner"), F.lit(0)).alias("most"), F.count("inner").alias("branch"))
+
+
+def counted(paths: DataFrame, picks: DataFrame, floor: int = 70) -> DataFrame:
+    """What the contents say to questions for a number: a count (``text``, ``p``), or only the ``parent`` whose pages are to be read.
+
+    ``paths``: ``book``, ``path``. ``picks``: ``qid``, ``book``, ``parent`` (the group whose entries seem to be the things asked for), ``p``, ``grouped`` (how
+    sure the entries are kinds of the things, not the things) and ``counted`` (the things). A pick below ``floor``, or of a group of fewer than two, says nothing.
+    Bookmarks are a count only while they are the list:
+
+    - entries that are kinds of the things, or one with more entries below it than the group has, send to the group's pages;
+    - a group that itself stands among fewer childless entries, in a section named after the things, is that section's list swallowed by its first
+      entry: the section's pages are read.
+
+    Guards are counts of entries by parent, met twice by path: no subtree is listed. A path that occurs twice counts twice.
+    """
+    g = groups(paths)
+    copies = paths.groupBy("book", F.col("path").alias("parent")).agg(F.count("*").alias("copies"))
+    at = picks.where(F.col("p") >= floor).join(g, ["book", "parent"]).where("kids > 1").withColumn("above", parent_of(F.col("parent")))
+    upper = g.select("book", F.col("parent").alias("above"), F.col("kids").alias("beside"), F.col("branch").alias("branches"))
+    met = at.join(upper, ["book", "above"], "left").join(copies, ["book", "parent"], "left")
+    word = F.element_at(F.split(F.coalesce("counted", F.lit("")), r"\s+"), -1)
+    name = F.element_at(F.split("above", SEPARATOR), -1)
+    about = (word == "") | mentions(name, word) | mentions(name, singular(word))
+    siblings = F.coalesce(F.col("beside") - F.coalesce("copies", F.lit(0)), F.lit(0))
+    leaves = F.col("branches") <= F.coalesce("copies", F.lit(0))
+    swallowed = (siblings > 0) & (siblings < F.col("kids")) & leaves & about
+    pages = (F.col("grouped") >= 50) | (F.col("most") > F.col("kids"))
+    answer = ~pages & ~F.coalesce(swallowed, F.lit(False))
+    parent = F.when(~pages & F.coalesce(swallowed, F.lit(False)), F.col("above")).otherwise(F.col("parent"))
+    return met.select("qid", "book", parent.alias("parent"), F.when(answer, F.col("kids").cast("string")).alias("text"), F.when(answer, F.col("p")).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import normalize, quantised
 from quire.operators import outline, vector, windows
+from quire.plans.answer_queries import rec, recorded
 from quire.plans._q import BOOKS, PAGES, norm, paged, q6
 from quire.sources import shelf
 
@@ -150,13 +151,47 @@ def cache_lookup_or_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("book", "id", "cached", "whole", quantised(F.col("part")).alias("part"))
 
 
-QUERIES = {f.__name__: f for f in (outline_ranges, children_by_parent, membership_claim, coarse_sections, sections_under_best, sections_holding_pages, narrowest_section, confine_sections, page_windows, page_batches, best_run, page_similarity_topk, shortlist_sections, cache_lookup_or_rule)}
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of five books of brands: brand > type, and under some types the names of their parts."""
+    part = shelf.table(spark, sf_dir, "part").select(F.concat(F.lit("book "), (F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int") % 5).cast("string")).alias("book"), F.regexp_replace("p_brand", "#", " ").alias("brand"), "p_type", "p_name")
+    listed = recorded("lists", F.col("brand"), F.col("p_type")) >= 75
+    kind, join = F.concat_ws(outline.SEPARATOR, "brand", "p_type"), lambda *c: F.concat_ws(outline.SEPARATOR, *c)
+    rows = part.select("book", F.col("brand").alias("path")).unionAll(part.select("book", kind)).unionAll(part.where(listed).select("book", join("brand", "p_type", "p_name")))
+    return rows.distinct()
+
+
+def outline_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions of every group of the contents, as if it were picked, and one of every book, by recorded answers."""
+    paths = _catalogue(spark, sf_dir)
+    every = outline.groups(paths).where("kids > 1").select("book", "parent", recorded("pick", F.col("book"), F.col("parent")).alias("own"))
+    asked = every.withColumn("counted", F.explode(F.array(F.lit(""), F.lit("named brands"), F.lit("bolts"))))
+    picks = asked.select(F.concat_ws("/", "book", "parent", "counted").alias("qid"), "book", "parent", F.greatest("own", F.lit(55)).alias("p"), recorded("grouped", F.col("parent")).alias("g"), "counted")
+    first = every.groupBy("book").agg(F.max(F.struct("own", "parent")).alias("b")).select(F.col("book").alias("qid"), "book", "b.parent", F.col("b.own").alias("p"), F.lit(0).alias("g"), F.lit("").alias("counted"))
+    picks = picks.unionByName(first).withColumn("grouped", F.when(F.col("g") >= 80, 60).otherwise(10)).drop("g")
+    return outline.counted(paths, picks, 60)
+
+
+QUERIES = {f.__name__: f for f in (outline_count, outline_ranges, children_by_parent, membership_claim, coarse_sections, sections_under_best, sections_holding_pages, narrowest_section, confine_sections, page_windows, page_batches, best_run, page_similarity_topk, shortlist_sections, cache_lookup_or_rule)}
 _SIM = f"""q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
 sim AS (SELECT qid, label AS book, vec_id // 2 AS page, {q6('max(list_cosine_similarity(embedding::DOUBLE[], qv))')} AS similarity FROM embeddings, q GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid, book ORDER BY similarity DESC, page) AS rank FROM sim)"""
 _FOLD = f"""WITH RECURSIVE {_SECTIONS},
 it AS (SELECT sc.book, sc.path, pg.page, length(pg.text) AS chars, length(trim(pg.text)) AS solid, row_number() OVER (PARTITION BY sc.path ORDER BY page) AS i, count(*) OVER (PARTITION BY sc.path) AS n FROM sc JOIN pg ON pg.book = sc.book AND page BETWEEN start AND "end" WHERE depth = 2)"""
 ORACLE = {
+    "outline_count": f"""WITH p0 AS (SELECT 'book ' || CAST(CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) % 5 AS VARCHAR) AS book, replace(p_brand, '#', ' ') AS brand, p_type, p_name FROM part),
+en AS (SELECT book, brand AS path FROM p0 UNION SELECT book, brand || ' > ' || p_type FROM p0 UNION SELECT book, brand || ' > ' || p_type || ' > ' || p_name FROM p0 WHERE {rec("'lists'", 'brand', 'p_type')} >= 75),
+kid AS (SELECT book, path, regexp_extract(path, '^(.*) > ', 1) AS parent FROM en WHERE contains(path, ' > ')),
+g AS (SELECT book, parent, count(*) AS kids FROM kid GROUP BY ALL HAVING count(*) > 1),
+o AS (SELECT *, {rec("'pick'", 'book', 'parent')} AS own FROM g),
+pk AS (SELECT book || '/' || parent || '/' || counted AS qid, book, parent, kids, greatest(own, 55) AS p, {rec("'grouped'", 'parent')} >= 80 AS grouped, counted FROM o, (SELECT unnest(['', 'named brands', 'bolts']) AS counted)
+  UNION ALL SELECT book, book, parent, kids, own, false, '' FROM o QUALIFY row_number() OVER (PARTITION BY book ORDER BY own DESC, parent DESC) = 1),
+j AS (SELECT *, CASE WHEN contains(parent, ' > ') THEN regexp_extract(parent, '^(.*) > ', 1) END AS above,
+  EXISTS (SELECT 1 FROM kid k WHERE k.book = pk.book AND k.parent = pk.parent AND (SELECT count(*) FROM kid i WHERE i.book = k.book AND i.parent = k.path) > pk.kids) AS lost FROM pk WHERE p >= 60),
+s AS (SELECT *, (SELECT count(*) FROM kid k WHERE k.book = j.book AND k.parent = j.above AND k.path <> j.parent) AS siblings,
+  NOT EXISTS (SELECT 1 FROM kid k JOIN kid i ON i.book = k.book AND i.parent = k.path WHERE k.book = j.book AND k.parent = j.above AND k.path <> j.parent) AS leaves,
+  counted = '' OR (counted = 'named brands' AND contains(lower(above), 'brand ')) OR (counted = 'bolts' AND contains(' ' || lower(above) || ' ', ' bolt ')) AS about FROM j),
+v AS (SELECT *, NOT grouped AND NOT lost AND siblings > 0 AND siblings < kids AND leaves AND about AS swallowed FROM s)
+SELECT qid, book, CASE WHEN swallowed THEN above ELSE parent END AS parent, CASE WHEN NOT (grouped OR lost OR swallowed) THEN CAST(kids AS VARCHAR) END AS text, CASE WHEN NOT (grouped OR lost OR swallowed) THEN p END AS p FROM v""",
     "outline_ranges": f'WITH {_RANGES} SELECT book, path, start, "end" FROM rg',
     "children_by_parent": f"WITH {_PATHS}, p AS (SELECT book, regexp_extract(path, '^(.*) > ', 1) AS parent, string_split(path, ' > ')[-1] AS name FROM en WHERE contains(path, ' > ')) SELECT book, parent, count(*) AS children, string_agg(name, '; ' ORDER BY name) AS names FROM p GROUP BY book, parent",
     "membership_claim": f"WITH {_PATHS}, c AS (SELECT upper(s_name) AS member, n_name AS parent FROM supplier JOIN nation ON (s_nationkey + s_suppkey % 2) % 25 = n_nationkey), l AS (SELECT DISTINCT {norm('s_name')} AS name, n_name AS parent FROM rw) SELECT member, c.parent, CASE WHEN l.name IS NOT NULL THEN 'true' ELSE 'confine' END AS verdict FROM c LEFT JOIN l ON l.parent = c.parent AND l.name = {norm('member')}",
