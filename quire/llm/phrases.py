@@ -2,8 +2,8 @@
 
 1. *Counting.* Documents are dealt to groups of a few MB. A group sends the hash of each different n-gram (of one word up to ``longest``) once, with its
    count, packed by *bucket* (a range of the hash); a bucket adds the counts up and returns to each group the hashes of its own that may be frequent. The group
-   spells those out and counts them exactly; Spark adds the spelled counts up and keeps the frequent ones. A hash only decides what
-   is spelled, so two n-grams that share one cost a row, never a wrong count.
+   spells those out and counts them; Spark adds the counts up by spelling and keeps the frequent ones. A hash decides what is spelled, and tells
+   n-grams apart within a group (by 64 bits: one pair in about ten million groups would be taken for one).
 2. *Streams.* The frequent n-grams of all orders together are one stream, cut by range and sorted by language and words: a phrase stands before all that it
    begins. One pass in lockstep over the orders reads off, for each n-gram, the count of each of its beginnings (the last row of that order: a part of a
    frequent phrase is frequent), and for each phrase the largest count of the extensions that follow it. The same pass over the stream
@@ -39,24 +39,20 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 class Block:
-    """The n-grams of some texts: ``buffer`` (lower-cased), byte ranges of the words, and for each order the hashes and first words."""
+    """The n-grams of some texts (``langs``: a code each): for each order the hashes and first words, and the words in ``spaced`` bytes, lower-cased,
+    a space after each, from ``starts`` to ``ends``; an n-gram's words are one range of them."""
 
-    def __init__(self, texts: list[bytes], langs: list[bytes], longest: int):
-        self.buffer = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)]
-        kind = np.concatenate([[2], _KIND[self.buffer], [2]]).astype(np.uint8)
+    def __init__(self, texts: list[bytes], langs: np.ndarray, seeds: np.ndarray, longest: int):
+        buffer = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)]
+        kind = np.concatenate([[2], _KIND[buffer], [2]]).astype(np.uint8)
         inside = kind == 0
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        self.starts, self.ends = edges[::2], edges[1::2]
-        piece = np.cumsum(kind[1:] == 2)[self.starts] if len(self.starts) else np.zeros(0, dtype=np.int64)
-        words = mixed(rolling(self.buffer.astype(np.uint64) + np.uint64(1), self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64))
+        starts, ends = edges[::2], edges[1::2]
+        piece = np.cumsum(kind[1:] == 2)[starts] if len(starts) else np.zeros(0, dtype=np.int64)
+        words = mixed(rolling(buffer.astype(np.uint64) + np.uint64(1), starts, ends) + (ends - starts).astype(np.uint64))
         text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        offsets = np.searchsorted(self.starts, text_at)
-        self.lang = np.repeat(np.arange(len(texts)), np.diff(offsets))  # the text of each word, then its language
-        codes = {name: i for i, name in enumerate(dict.fromkeys(langs))}
-        self.names = list(codes)
-        self.lang = np.array([codes[x] for x in langs], dtype=np.int64)[self.lang]
-        seeds = np.array([int.from_bytes(x[:8].ljust(8, b"\0"), "little") ^ hash_of(x) for x in self.names], dtype=np.uint64)
-        run = mixed(seeds[self.lang]) if len(self.starts) else np.zeros(0, dtype=np.uint64)
+        self.lang = np.repeat(langs, np.diff(np.searchsorted(starts, text_at)))  # of each word
+        run = seeds[self.lang]
         self.hashes, self.first = [], []
         for n in range(1, longest + 1):
             at = np.arange(max(0, len(words) - n + 1))
@@ -64,10 +60,13 @@ class Block:
             whole = piece[at] == piece[at + n - 1]
             self.hashes.append(run[whole])
             self.first.append(at[whole])
-
-    def phrase(self, first: int, n: int) -> bytes:
-        buffer = self.buffer
-        return b" ".join(buffer[a:b].tobytes() for a, b in zip(self.starts[first : first + n], self.ends[first : first + n], strict=True))
+        # what stands behind a word (there is always something) becomes its space
+        kept = inside[1:-1].copy()
+        kept[ends] = True
+        buffer[ends] = 0x20
+        self.spaced = buffer[kept]
+        self.ends = np.cumsum(ends - starts + 1) - 1
+        self.starts = self.ends - (ends - starts)
 
 
 def hash_of(name: bytes) -> int:
@@ -88,42 +87,46 @@ def cuts(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _blocks(table: pa.Table, longest: int) -> Iterator[Block]:
+def _blocks(table: pa.Table, longest: int) -> tuple[list[bytes], Iterator[Block]]:
+    """The languages by code, and the table's texts in blocks."""
+    named = as_bytes(table["lang"])
+    codes = {name: i for i, name in enumerate(dict.fromkeys(named))}
+    seeds = mixed(np.array([hash_of(name) for name in codes], dtype=np.uint64))
     texts, langs = [], []
-    for text, lang in zip(as_bytes(table["text"]), as_bytes(table["lang"]), strict=True):
+    for text, lang in zip(as_bytes(table["text"]), named, strict=True):
         for part in cuts(text):
             texts.append(part)
-            langs.append(lang)
-    for a, b in slices(texts):
-        yield Block(texts[a:b], langs[a:b], longest)
+            langs.append(codes[lang])
+    every = np.array(langs, dtype=np.int64)
+    return list(codes), (Block(texts[a:b], every[a:b], seeds, longest) for a, b in slices(texts))
 
 
-def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different hashes in order, their counts added up."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, dtype=np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins in sorted ``values``."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
 
 
-def _edges(buckets: int) -> np.ndarray:
-    return np.array([(i << 64) // buckets for i in range(buckets)], dtype=np.uint64)
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash: equal ranges of the upper half."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _send(longest: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """A row a bucket: hashes met once, and hashes met more often with their counts. A hash is sent as the low 32 bits of its place in the bucket's range."""
+    """A row a bucket: hashes met once, and hashes met more often with their counts. A hash is sent as its low 32 bits."""
 
     def send(table: pa.Table) -> pa.Table:
-        found = np.concatenate([np.zeros(0, dtype=np.uint64), *(h for block in _blocks(table, longest) for h in block.hashes)])
-        found, counts = _added(found, np.ones(len(found), dtype=np.int64))
-        edges = _edges(buckets)
-        cuts = np.concatenate([np.searchsorted(found, edges), [len(found)]])
+        _, blocks = _blocks(table, longest)
+        found = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(h for block in blocks for h in block.hashes)]))
+        first = _runs(found)
+        counts = np.diff(np.concatenate([first, [len(found)]]))
+        found = found[first]
+        cuts = np.searchsorted(_bucket(found, buckets), np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts))
         once, more, times = [], [], []
         for i in full:
-            own, n = found[cuts[i] : cuts[i + 1]] & _LOW, counts[cuts[i] : cuts[i + 1]]
-            once.append(own[n == 1].astype(np.uint32).tobytes())
-            more.append(own[n > 1].astype(np.uint32).tobytes())
+            own, n = (found[cuts[i] : cuts[i + 1]] & _LOW).astype(np.uint32), counts[cuts[i] : cuts[i + 1]]
+            once.append(own[n == 1].tobytes())
+            more.append(own[n > 1].tobytes())
             times.append(n[n > 1].astype(np.int64).tobytes())
         group = pa.array([table["g"][0].as_py()] * len(full), pa.int64())
         return pa.table({"bucket": pa.array(full, pa.int64()), "g": group, "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary()), "times": pa.array(times, pa.binary())})
@@ -138,38 +141,67 @@ def _frequent(least: int) -> Callable[[pa.Table], pa.Table]:
         once, more, times = (table[c].to_pylist() for c in ("once", "more", "times"))
         own = [np.concatenate([np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)]) for a, b in zip(once, more, strict=True)]
         counts = [np.concatenate([np.ones(len(a) // 4, dtype=np.int64), np.frombuffer(t, dtype=np.int64)]) for a, t in zip(once, times, strict=True)]
-        every, total = _added(np.concatenate(own), np.concatenate(counts))
-        kept = every[total >= least]
+        every = np.concatenate(own)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = _runs(every)
+        kept = every[first][np.add.reduceat(np.concatenate(counts)[order], first) >= least]
         out = [(g, b, x) for g, b, o in zip(table["g"].to_pylist(), table["bucket"].to_pylist(), own, strict=True) if len(x := o[np.isin(o, kept)])]
         return pa.table({"g": pa.array([g for g, _, _ in out], pa.int64()), "bucket": pa.array([b for _, b, _ in out], pa.int64()), "hashes": pa.array([np.sort(x).tobytes() for _, _, x in out], pa.binary())})
 
     return frequent
 
 
+def _spelled(blocks: list[Block], block: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The n-grams of ``n`` words from the word ``first`` of a ``block`` on, as strings."""
+    sizes, parts = np.zeros(len(block), dtype=np.int64), []
+    for i, b in enumerate(blocks):  # n-grams stand block by block
+        own = slice(*np.searchsorted(block, [i, i + 1]))
+        starts = b.starts[first[own]]
+        sizes[own] = b.ends[first[own] + n[own] - 1] - starts
+        ahead = np.cumsum(sizes[own]) - sizes[own]
+        parts.append(b.spaced[np.repeat(starts - ahead, sizes[own]) + np.arange(sizes[own].sum())])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    data = np.concatenate([np.zeros(0, dtype=np.uint8), *parts])
+    return pa.LargeStringArray.from_buffers(len(block), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())).cast("string")
+
+
 def _spell(longest: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The group's n-grams whose hashes came back, spelled and counted; and a row of order 0 a language: all its words."""
+    """The group's n-grams whose hashes came back, spelled and counted; and a row of order 0 a language: all its words. Within the group, n-grams are told
+    apart by their 64 bits."""
+    spread = np.uint64(0xFFFFFF)
 
     def spell(docs: pa.Table, known: pa.Table) -> pa.Table:
-        edges = _edges(buckets)
-        blobs = sorted(zip(known["bucket"].to_pylist(), known["hashes"].to_pylist(), strict=True))
-        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *((np.uint64(b) << np.uint64(32)) | np.frombuffer(x, dtype=np.uint32) for b, x in blobs)])
-        keys = np.unique(keys)
-        counted: dict[tuple[int, bytes, bytes], int] = {}
-        for block in _blocks(docs, longest):
-            for code, n in enumerate(np.bincount(block.lang, minlength=len(block.names)).tolist()):
-                counted[0, block.names[code], b""] = counted.get((0, block.names[code], b""), 0) + n
+        blobs = [(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, dtype=np.uint32) for b, x in zip(known["bucket"].to_pylist(), known["hashes"].to_pylist(), strict=True)]
+        keys = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *blobs]))
+        some = np.zeros(int(spread) + 1, dtype=bool)  # most others are told by 24 bits already
+        some[keys & spread] = True
+        names, stream = _blocks(docs, longest)
+        totals = np.zeros(len(names), dtype=np.int64)
+        blocks, found = [], []
+        for i, block in enumerate(stream):
+            totals += np.bincount(block.lang, minlength=len(names))
             for n, (hashes, first) in enumerate(zip(block.hashes, block.first, strict=True), 1):
-                place = ((np.searchsorted(edges, hashes, side="right") - 1).astype(np.uint64) << np.uint64(32)) | (hashes & _LOW)
-                at = np.searchsorted(keys, place)
-                hit = keys[np.minimum(at, len(keys) - 1)] == place if len(keys) else np.zeros(len(place), dtype=bool)
-                _, where, times = np.unique(hashes[hit], return_index=True, return_counts=True)
-                for i, c in zip(first[hit][where].tolist(), times.tolist(), strict=True):
-                    key = n, block.names[block.lang[i]], block.phrase(i, n)
-                    counted[key] = counted.get(key, 0) + c
-        names = list(counted)
+                may = np.flatnonzero(some[hashes & spread])
+                place = (_bucket(hashes[may], buckets) << np.uint64(32)) | (hashes[may] & _LOW)
+                at = np.minimum(np.searchsorted(keys, place), max(len(keys) - 1, 0))
+                may = may[keys[at] == place] if len(keys) else may[:0]
+                found.append((hashes[may], first[may], np.full(len(may), n), np.full(len(may), i)))
+            block.hashes = block.first = None
+            blocks.append(block)
+        hashes, first, n, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
+        order = np.argsort(hashes, kind="stable")
+        begins = _runs(hashes[order])
+        times = np.diff(np.concatenate([begins, [len(order)]]))
+        one = order[begins]
+        by_block = np.argsort(at[one], kind="stable")
+        one, times = one[by_block], times[by_block]
+        phrase = _spelled(blocks, at[one], first[one], n[one])
+        lang = np.concatenate([np.zeros(0, dtype=np.int64), *(b.lang[first[one][slice(*np.searchsorted(at[one], [i, i + 1]))]] for i, b in enumerate(blocks))])
+        named = pa.array(names, pa.binary()).cast("string")
         return pa.table({
-            "lang": pa.array([x for _, x, _ in names], pa.binary()).cast("string"), "words": pa.array([n for n, _, _ in names], pa.int32()),
-            "phrase": pa.array([p for _, _, p in names], pa.binary()).cast("string"), "f": pa.array(list(counted.values()), pa.int64()),
+            "lang": pa.concat_arrays([named.take(pa.array(lang)), named]), "words": pa.array(np.concatenate([n[one], np.zeros(len(names), dtype=np.int64)]), pa.int32()),
+            "phrase": pa.concat_arrays([phrase, pa.array([""] * len(names), pa.string())]), "f": pa.array(np.concatenate([times, totals]), pa.int64()),
         })
 
     return spell
