@@ -20,6 +20,8 @@ names, but those called as the results are left out.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import extended, written
 
 ORDERS = (4, 3, 2, 1)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters other than numerals of any kind ("½", "²", "Ⅳ"), by Unicode's categories.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 UNKNOWN = "und"
 SMOOTH = 0.1
 _KEPT = 1 << 18

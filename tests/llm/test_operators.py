@@ -236,6 +236,13 @@ def test_odd_columns(spark):
     assert simhash.keep_first(made).columns == made.columns and mixing.mixed_rows(made.withColumn("source", F.lit("s"))).columns == [*made.columns, "source"]
 
 
+def test_numerals_are_no_letters(spark, docs):
+    texts = ["½ ² ①", "Ⅳ Ⅻ ⅷ", "٣ 12 一", "_ 7", "x²"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(rows, langid.learn(docs), ["doc_id"]).collect()}
+    assert [got[i] == "und" for i in range(5)] == [True, True, False, True, False]
+
+
 def test_language_ties(spark):
     """Two languages of the same words: the first by code point, with an even score."""
     table = spark.createDataFrame([(1, "abc def", "q"), (2, "abc def", "p")], "doc_id long, text string, lang string")
