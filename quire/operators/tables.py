@@ -35,15 +35,24 @@ def tables_from(rows: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def heads_named(cells: Column) -> Column:
-    """Heads of a row: empty ones by their place, repeats (and what a head before begins with) with their number."""
+    """Heads of a row: empty ones by their place, repeats (and what a head before begins with) with their number, counted against the heads
+    before as they are named already, so that no two are the same but those that a head spells itself."""
     filled = F.transform(cells, lambda c, i: F.when(c == "", F.concat(F.lit("column "), (i + 1).cast("string"))).otherwise(c))
-    return F.transform(filled, lambda c, i: F.when(F.size(F.filter(F.slice(filled, 1, i), lambda x: (x == c) | F.startswith(x, F.concat(c, F.lit(" "))))) == 0, c).otherwise(F.concat(c, F.lit(" "), (F.size(F.filter(F.slice(filled, 1, i), lambda x: (x == c) | F.startswith(x, F.concat(c, F.lit(" "))))) + 1).cast("string"))))
+
+    def named(acc: Column, c: Column) -> Column:
+        before = F.size(F.filter(acc, lambda x: (x == c) | F.startswith(x, F.concat(c, F.lit(" ")))))
+        return F.concat(acc, F.array(F.when(before == 0, c).otherwise(F.concat(c, F.lit(" "), (before + 1).cast("string")))))
+
+    return F.aggregate(filled, F.array().cast("array<string>"), named)
 
 
 def row_text(heads: Column, cells: Column) -> Column:
-    """A lone cell bare; else compact JSON of the filled cells by head, in column order; of no filled cell, nothing."""
+    """A lone cell bare; else compact JSON of the filled cells by head, in column order; of no filled cell, nothing. A head that still stands twice
+    keeps its first place and its last cell."""
     filled = F.filter(F.arrays_zip(heads.alias("h"), cells.alias("c")), lambda z: z["c"] != "")
-    written = F.to_json(F.map_from_arrays(F.transform(filled, lambda z: z["h"]), F.transform(filled, lambda z: z["c"])))
+    names = F.transform(filled, lambda z: z["h"])
+    last = lambda h: F.element_at(F.filter(filled, lambda z: z["h"] == h), -1)["c"]
+    written = F.to_json(F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), last)))
     return F.when(F.size(filled) == 0, "").when(F.size(filled) == 1, F.element_at(filled, 1)["c"]).otherwise(written)
 
 

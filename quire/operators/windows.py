@@ -6,38 +6,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ITEM = "array<struct<page:int,chars:int,blank:boolean>>"
+#: White space as the windows' trim takes it.
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def section_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Each section's pages in order as one array (a section is bounded, a book is not)."""
+    """Each section's pages in order as one array (a section is bounded, a book is not): their characters, and how many of those are white space
+    before (``lead``; of a blank page, all) and after (``trail``) the rest."""
     spans = sections.select("book", "path", F.explode(F.sequence("start", "end")).alias("page"))
-    rows = spans.join(pages.select("book", "page", F.length("text").alias("chars"), F.length(F.trim("text")).alias("solid")), ["book", "page"])
-    return rows.groupBy("book", "path").agg(F.array_sort(F.collect_list(F.struct("page", "chars", "solid"))).alias("items"))
+    sized = pages.select("book", "page", F.length("text").alias("chars"), (F.length("text") - F.length(F.ltrim("text", F.lit(BLANKS)))).alias("lead"), (F.length("text") - F.length(F.rtrim("text", F.lit(BLANKS)))).alias("trail"))
+    return spans.join(sized, ["book", "page"]).groupBy("book", "path").agg(F.array_sort(F.collect_list(F.struct("page", "chars", "lead", "trail"))).alias("items"))
 
 
 def page_windows(items: Column, chars: int, least: int = 200) -> Column:
     """Windows of whole pages: a page that would take a non-empty window over ``chars`` starts the next one, so that blank
-    pages join whatever follows; windows with at most ``least`` characters besides blanks are left out."""
-    start = F.struct(F.array().cast("array<struct<page:int,end:int,chars:int,solid:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("chars"), F.lit(0).alias("solid"))
+    pages join whatever follows; windows with at most ``least`` characters between the white space at their ends are left out."""
+    zero = F.lit(0)
+    start = F.struct(F.array().cast("array<struct<page:int,end:int,chars:int,solid:int>>").alias("done"), zero.alias("first"), zero.alias("last"), zero.alias("chars"), zero.alias("lead"), zero.alias("trail"))
 
     def closed(acc: Column) -> Column:
-        return F.concat(acc["done"], F.array(F.struct(acc["first"].alias("page"), acc["last"].alias("end"), acc["chars"].alias("chars"), acc["solid"].alias("solid"))))
+        solid = F.greatest(acc["chars"] - acc["lead"] - acc["trail"], zero)
+        return F.concat(acc["done"], F.array(F.struct(acc["first"].alias("page"), acc["last"].alias("end"), acc["chars"].alias("chars"), solid.alias("solid"))))
 
     def step(acc: Column, item: Column) -> Column:
         full = (acc["chars"] > 0) & (acc["chars"] + item["chars"] > chars)
         fresh = full | (acc["first"] == 0)
+        before = F.when(full, zero).otherwise(acc["chars"])
+        blank_so_far = F.when(full, F.lit(True)).otherwise(acc["lead"] == acc["chars"])
         return F.struct(
             F.when(full, closed(acc)).otherwise(acc["done"]).alias("done"),
             F.when(fresh, item["page"]).otherwise(acc["first"]).alias("first"),
             item["page"].alias("last"),
-            F.when(full, item["chars"]).otherwise(acc["chars"] + item["chars"]).alias("chars"),
-            F.when(full, item["solid"]).otherwise(acc["solid"] + item["solid"]).alias("solid"),
+            (before + item["chars"]).alias("chars"),
+            F.when(blank_so_far, before + item["lead"]).otherwise(acc["lead"]).alias("lead"),
+            F.when(item["lead"] < item["chars"], item["trail"]).otherwise(F.when(full, zero).otherwise(acc["trail"]) + item["chars"]).alias("trail"),
         )
 
     return F.filter(F.aggregate(items, start, step, closed), lambda w: w["solid"] > least)
 
 
+def pieces(text: Column, chars: int) -> Column:
+    """A text in pieces of at most ``chars`` characters that join to it: cut after sentences and blank lines, with the white space behind them; a sentence
+    longer than that is cut inside, before its last space that still fits. Sentences are packed in one fold over their lengths, which carries where
+    the open piece begins; \u0001 must not occur in the text."""
+    ends = F.regexp_replace(text, r"""((?:[.!?]+["')\]]*(?=\s|\z)|\n[ \t]*\n)\s*)""", "$1\u0001")
+    runs = F.filter(F.split(ends, "\u0001"), lambda r: r != "")
+    inside = f"(?s)(.{{1,{chars}}}\\z|.{{1,{chars}}}(?= )|.{{1,{chars}}})"
+    one = lambda r, fresh: F.struct(r.alias("text"), F.length(r).alias("size"), fresh.alias("fresh"))
+    long = lambda r: F.transform(F.regexp_extract_all(r, F.lit(inside), F.lit(1)), lambda p, i: one(p, i == 0))
+    items = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > chars, long(r)).otherwise(F.array(one(r, F.lit(False))))))
+    zero = F.lit(0)
+    start = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("done"), zero.alias("at"), zero.alias("i"), zero.alias("size"))
+    closed = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["at"].alias("at"), (acc["i"] - acc["at"]).alias("n"))))
+
+    def step(acc: Column, item: Column) -> Column:
+        over = (acc["size"] > 0) & ((acc["size"] + item["size"] > chars) | item["fresh"])
+        return F.struct(F.when(over, closed(acc)).otherwise(acc["done"]).alias("done"), F.when(over, acc["i"]).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"), F.when(over, item["size"]).otherwise(acc["size"] + item["size"]).alias("size"))
+
+    cut = F.transform(F.array(items), lambda it: F.struct(it.alias("items"), F.aggregate(it, start, step, lambda acc: F.when(acc["size"] > 0, closed(acc)).otherwise(acc["done"])).alias("cuts")))
+    joined = F.flatten(F.transform(cut, lambda c: F.transform(c["cuts"], lambda x: F.array_join(F.transform(F.slice(c["items"], x["at"] + 1, x["n"]), lambda i: i["text"]), ""))))
+    return F.when(F.length(text) <= chars, F.array(text)).otherwise(joined)
+
+
 def batches(sizes: Column, most: int) -> Column:
     """The batch number (from 1) of each size: a size that would take the batch over ``most`` starts the next."""
     start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(None).cast("int").alias("size"))
@@ -70,15 +100,34 @@ def islands(rows: DataFrame, by: str, order: str, breaks: Column) -> DataFrame:
     return rows.withColumn("island", F.sum(F.when(breaks, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order)))
 
 
-def two_bar_runs(words: DataFrame, by: str, start: int, go_on: int) -> DataFrame:
-    """Runs that begin with a word from ``start`` on and go on over words from ``go_on`` on; a word that ``ends`` closes one.
-    Stretches of words from ``go_on`` on, each cut to begin at its first word from ``start`` on."""
+def names_by(words: DataFrame, by: str, of: bool = False) -> DataFrame:
+    """Names in running words: one begins with a word that can ``start`` one and goes on over words that can ``go`` on, never over a ``stop`` word; a word that
+    ``ends`` closes it. With ``of``, an "of" between two words of a name stays inside.
+
+    A word is linked to the one before it where a name that has reached that one would take it; a stretch of linked words is a name from its first
+    starting word on. ``words``: the group, ``pos``, ``word``, ``ends``, ``start``, ``go``, ``stop``. Returns ``pos``, ``end`` and the ``name``'s words."""
     w = Window.partitionBy(by).orderBy("pos")
-    new = (F.col("p") < go_on) | F.coalesce(F.lag("ends").over(w), F.lit(True)) | (F.coalesce(F.lag("p").over(w), F.lit(-1)) < go_on)
-    rows = words.withColumn("stretch", F.sum(F.when(new, 1).otherwise(0)).over(w)).where(F.col("p") >= go_on)
-    inside = Window.partitionBy(by, "stretch").orderBy("pos")
-    rows = rows.withColumn("begun", F.max(F.when(F.col("p") >= start, 1).otherwise(0)).over(inside)).where("begun = 1")
-    return rows.groupBy(by, "stretch").agg(F.min("pos").alias("pos"), F.count("*").alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("name")).drop("stretch")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    ok = F.col("go") & ~F.col("stop")
+    rows = words.withColumns({"ok": ok, "begin": F.col("start") & ~F.col("stop")})
+    closed = F.coalesce(F.lag("ends").over(w), F.lit(True))
+    linked = F.col("ok") & ~closed
+    if of:
+        joins = F.lower("word") == "of"
+        middle = joins & ~F.col("ok") & ~closed & flag(F.lead("ok").over(w))
+        rows = rows.withColumn("middle", middle)
+        linked = linked | F.col("middle") | (F.col("ok") & flag(F.lag("middle").over(w)))
+    rows = rows.withColumn("stretch", F.sum(F.when(linked, 0).otherwise(1)).over(w))
+    inside = Window.partitionBy(by, "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("begun", F.max(F.col("begin").cast("int")).over(inside)).where("begun = 1")
+    return rows.groupBy(by, "stretch").agg(F.min("pos").alias("pos"), F.max("pos").alias("end"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "word", "stop"))), lambda x: x["word"]).alias("name")).drop("stretch")
+
+
+def trimmed(names: DataFrame, joining: list[str]) -> DataFrame:
+    """``names`` without the ``joining`` words at their ends; of nothing but such words, none is left."""
+    counted = F.transform("name", lambda x, i: F.when(~F.lower(x).isin(*joining), i))
+    held = names.withColumns({"__a": F.array_min(counted), "__b": F.array_max(counted)}).where("__a is not null")
+    return held.withColumns({"name": F.slice("name", F.col("__a") + 1, F.col("__b") - F.col("__a") + 1), "pos": F.col("pos") + F.col("__a"), "end": F.col("pos") + F.col("__b")}).drop("__a", "__b")
 
 
 def best_runs(units: DataFrame, by: str, bar: int = 65, least: int = 25) -> DataFrame:

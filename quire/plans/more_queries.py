@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import numbers
-from quire.functions.text import normalize, quantised, sentences
+from quire.functions.text import STOPWORDS, normalize, quantised, sentences
 from quire.operators import decide, evaluate, export, outline, runlog, tables, windows
 from quire.plans._q import PAGES, documents, norm, paged, q6
 from quire.plans.answer_queries import _CLAIMS, _claims, rec, recorded
@@ -264,10 +264,22 @@ def sentence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", F.length("unit").alias("chars"), F.md5("unit").alias("digest"))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = question_words(spark, sf_dir).withColumn("word", F.when(F.col("pos") % 5 == 3, F.lit("of")).when(F.col("pos") % 11 == 4, F.lit("The")).otherwise(F.col("word")))
+    return words.withColumn("p", recorded("bar", _s("item_id"), _s("pos"))).withColumns({"start": F.col("p") >= 50, "go": F.col("p") >= 30, "stop": F.lower("word").isin(*STOPWORDS)})
+
+
 def two_bar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of benchmark words from a start bar of 50 on, over words from 30 on."""
-    words = question_words(spark, sf_dir).withColumn("p", recorded("bar", _s("item_id"), _s("pos")))
-    return windows.two_bar_runs(words, "item_id", 50, 30)
+    """Names in benchmark texts from a start bar of 50 on, over words from 30 on and an "of" between two, never over other function words."""
+    names = windows.names_by(_named(spark, sf_dir), "item_id", of=True)
+    return names.select("item_id", "pos", "end", F.array_join("name", " ").alias("name"))
+
+
+def trimmed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words from 30 on, function words inside them but not at their ends."""
+    words = _named(spark, sf_dir).withColumns({"start": F.col("go"), "stop": F.lit(False)})
+    names = windows.trimmed(windows.names_by(words, "item_id"), STOPWORDS)
+    return names.select("item_id", "pos", "end", F.array_join("name", " ").alias("name"))
 
 
 def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +289,7 @@ def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.best_runs(lines.withColumn("share", share), "doc_id", 80)
 
 
-_ALL = (sentence_units, two_bar_names, best_runs, number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
+_ALL = (sentence_units, two_bar_names, trimmed_names, best_runs, number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -285,14 +297,30 @@ def _r(salt: str, *cols: str) -> str:
     return rec(f"'{salt}'", *[f"CAST({c} AS VARCHAR)" for c in cols])
 
 
+_NAMED = f"""r AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS raw FROM benchmark), w AS (SELECT item_id, list_filter(list_transform(raw, lambda x: {{'word': regexp_replace(x, '[^\\w''-]', '', 'g'), 'ends': regexp_matches(x, '[,;.]$')}}), lambda s: s.word <> '') AS ws FROM r),
+e AS (SELECT item_id, CAST(unnest(range(0, len(ws))) AS INTEGER) AS pos, unnest(ws) AS w FROM w),
+f AS (SELECT item_id, pos, CASE WHEN pos % 5 = 3 THEN 'of' WHEN pos % 11 = 4 THEN 'The' ELSE w.word END AS word, w.ends AS ends, {rec("'bar'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} AS p FROM e),
+wd AS (SELECT *, 1 AS n, p >= 50 AS start, p >= 30 AS go, lower(word) IN ({", ".join(f"'{x}'" for x in STOPWORDS)}) AS stop FROM f)"""
 ORACLE = {
     "sentence_units": "WITH m AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS m FROM documents), c AS (SELECT doc_id, regexp_replace(regexp_replace(m, '([.!?]) ([^a-z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?]) ([^a-z])', '\\1' || chr(1) || '\\2', 'g') AS c FROM m), g AS (SELECT doc_id, regexp_replace(c, '(^|' || chr(1) || ')([0-9]{1,3}\\.)' || chr(1), '\\1\\2 ', 'g') AS m FROM c), l AS (SELECT doc_id, list_filter(string_split(m, chr(1)), lambda x: length(x) > 1) AS l FROM g), e AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS u FROM l) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(u) AS INTEGER) AS chars, md5(u) AS digest FROM e",
-    "two_bar_names": f"""WITH r AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS raw FROM benchmark), w AS (SELECT item_id, list_filter(list_transform(raw, lambda x: {{'word': regexp_replace(x, '[^\\w''-]', '', 'g'), 'ends': regexp_matches(x, '[,;.]$')}}), lambda s: s.word <> '') AS ws FROM r),
-e AS (SELECT item_id, CAST(unnest(range(0, len(ws))) AS INTEGER) AS pos, unnest(ws) AS w FROM w), f AS (SELECT item_id, pos, w.word AS word, w.ends AS ends, {rec("'bar'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} AS p FROM e),
-g AS (SELECT *, p < 30 OR coalesce(lag(ends) OVER v, true) OR coalesce(lag(p) OVER v, -1) < 30 AS new FROM f WINDOW v AS (PARTITION BY item_id ORDER BY pos)),
-s AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS stretch FROM g),
-b AS (SELECT *, max(CASE WHEN p >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id, stretch ORDER BY pos) AS begun FROM s WHERE p >= 30)
-SELECT item_id, min(pos) AS pos, count(*) AS words, string_agg(word, ' ' ORDER BY pos) AS name FROM b WHERE begun = 1 GROUP BY item_id, stretch""",
+    # one word after the other, as it is read
+    "two_bar_names": f"""WITH RECURSIVE {_NAMED}, walk AS (
+  SELECT item_id, 0 AS i, -1 AS first, -1 AS last, NULL::INTEGER AS df, NULL::INTEGER AS dl FROM wd WHERE pos = 0
+  UNION ALL
+  SELECT k.item_id,
+    CASE WHEN first < 0 THEN i + 1 WHEN one THEN i + 1 WHEN two THEN i + 2 ELSE i END,
+    CASE WHEN first < 0 THEN CASE WHEN begins THEN i ELSE -1 END WHEN one OR two THEN first ELSE -1 END,
+    CASE WHEN first < 0 THEN CASE WHEN begins THEN i ELSE -1 END WHEN one THEN last + 1 WHEN two THEN last + 2 ELSE -1 END,
+    CASE WHEN first >= 0 AND NOT (one OR two) THEN first END, CASE WHEN first >= 0 AND NOT (one OR two) THEN last END
+  FROM (SELECT s.*, w0.n, coalesce(w0.start AND NOT w0.stop, false) AS begins, coalesce(NOT e.ends AND a.go AND NOT a.stop, false) AS one,
+      coalesce(NOT e.ends AND NOT (a.go AND NOT a.stop) AND lower(a.word) = 'of' AND b.go AND NOT b.stop, false) AS two
+    FROM walk s LEFT JOIN wd w0 ON w0.item_id = s.item_id AND w0.pos = s.i LEFT JOIN wd e ON e.item_id = s.item_id AND e.pos = s.last LEFT JOIN wd a ON a.item_id = s.item_id AND a.pos = s.last + 1 LEFT JOIN wd b ON b.item_id = s.item_id AND b.pos = s.last + 2) k
+  WHERE k.n IS NOT NULL OR first >= 0)
+SELECT w.item_id, df AS pos, dl AS "end", string_agg(word, ' ' ORDER BY wd.pos) AS name FROM walk w JOIN wd ON wd.item_id = w.item_id AND wd.pos BETWEEN df AND dl WHERE df IS NOT NULL GROUP BY ALL""",
+    "trimmed_names": f"""WITH {_NAMED}, b AS (SELECT *, go AND NOT coalesce(lag(go AND NOT ends) OVER (PARTITION BY item_id ORDER BY pos), false) AS new FROM wd),
+rr AS (SELECT *, sum(new::INT) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM b WHERE go),
+t AS (SELECT *, min(CASE WHEN NOT stop THEN pos END) OVER (PARTITION BY item_id, run) AS a, max(CASE WHEN NOT stop THEN pos END) OVER (PARTITION BY item_id, run) AS z FROM rr)
+SELECT item_id, min(pos) AS pos, max(pos) AS "end", string_agg(word, ' ' ORDER BY pos) AS name FROM t WHERE pos BETWEEN a AND z GROUP BY item_id, run""",
     "number_words": "SELECT o_orderkey AS n, o_orderkey AS read FROM orders",
     "display_forms": "WITH o AS (SELECT o_orderkey, o_orderkey * 317 AS b, o_orderkey * 7 AS t FROM orders) SELECT o_orderkey, CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN CAST(b // 1024 AS VARCHAR) || ' KB' ELSE CAST(b // 1048576 AS VARCHAR) || ' MB' END AS bytes, CASE WHEN t < 1000 THEN CAST(t AS VARCHAR) ELSE CAST(t // 1000 AS VARCHAR) || '.' || CAST(t % 1000 // 100 AS VARCHAR) || 'k' END AS tokens FROM o",
     "marks_dedup": "SELECT DISTINCT l_orderkey, l_partkey % 5 AS page, CAST(trunc(l_quantity) AS INTEGER) % 7 AS x0, l_suppkey % 3 AS y0 FROM lineitem",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import normalize, quantised
 from quire.operators import outline, vector, windows
+from quire.plans._q import BOOKS, PAGES, norm, paged, pieces, q6
 from quire.plans.answer_queries import rec, recorded
-from quire.plans._q import BOOKS, PAGES, norm, paged, q6
 from quire.sources import shelf
 
 
@@ -122,6 +122,19 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("book", "path", F.col("z.ids").alias("batch")).agg(F.min("z.items.page").alias("page"), F.count("*").alias("pages"), F.sum("z.items.chars").alias("chars"))
 
 
+def page_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages cut into pieces of at most 700 characters at sentence ends, blank lines, or spaces."""
+    rows = paged(spark, sf_dir).select("book", "page", F.posexplode(windows.pieces(F.col("text"), 700)).alias("piece", "text"))
+    return rows.select("book", "page", "piece", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def piece_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of at most 4,000 characters over a page's pieces."""
+    cut = paged(spark, sf_dir).select("book", "page", F.transform(windows.pieces(F.col("text"), 700), F.length).alias("sizes"))
+    rows = cut.select("book", "page", F.explode(F.arrays_zip("sizes", windows.batches(F.col("sizes"), 4000).alias("call"))).alias("z"))
+    return rows.groupBy("book", "page", "z.call").agg(F.count("*").alias("pieces"), F.sum("z.sizes").alias("chars"))
+
+
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best run of lines of each document, a line's share being that of its letters among its characters, in hundredths."""
     lines = shelf.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -171,12 +184,13 @@ def outline_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.counted(paths, picks, 60)
 
 
-QUERIES = {f.__name__: f for f in (outline_count, outline_ranges, children_by_parent, membership_claim, coarse_sections, sections_under_best, sections_holding_pages, narrowest_section, confine_sections, page_windows, page_batches, best_run, page_similarity_topk, shortlist_sections, cache_lookup_or_rule)}
+QUERIES = {f.__name__: f for f in (outline_count, outline_ranges, children_by_parent, membership_claim, coarse_sections, sections_under_best, sections_holding_pages, narrowest_section, confine_sections, page_windows, page_batches, page_pieces, piece_batches, best_run, page_similarity_topk, shortlist_sections, cache_lookup_or_rule)}
 _SIM = f"""q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
 sim AS (SELECT qid, label AS book, vec_id // 2 AS page, {q6('max(list_cosine_similarity(embedding::DOUBLE[], qv))')} AS similarity FROM embeddings, q GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid, book ORDER BY similarity DESC, page) AS rank FROM sim)"""
 _FOLD = f"""WITH RECURSIVE {_SECTIONS},
-it AS (SELECT sc.book, sc.path, pg.page, length(pg.text) AS chars, length(trim(pg.text)) AS solid, row_number() OVER (PARTITION BY sc.path ORDER BY page) AS i, count(*) OVER (PARTITION BY sc.path) AS n FROM sc JOIN pg ON pg.book = sc.book AND page BETWEEN start AND "end" WHERE depth = 2)"""
+it AS (SELECT sc.book, sc.path, pg.page, length(pg.text) AS chars, row_number() OVER (PARTITION BY sc.path ORDER BY page) AS i, count(*) OVER (PARTITION BY sc.path) AS n FROM sc JOIN pg ON pg.book = sc.book AND page BETWEEN start AND "end" WHERE depth = 2)"""
+_PIECES = pieces(700)
 ORACLE = {
     "outline_count": f"""WITH p0 AS (SELECT 'book ' || CAST(CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) % 5 AS VARCHAR) AS book, replace(p_brand, '#', ' ') AS brand, p_type, p_name FROM part),
 en AS (SELECT book, brand AS path FROM p0 UNION SELECT book, brand || ' > ' || p_type FROM p0 UNION SELECT book, brand || ' > ' || p_type || ' > ' || p_name FROM p0 WHERE {rec("'lists'", 'brand', 'p_type')} >= 75),
@@ -203,14 +217,18 @@ SELECT qid, book, CASE WHEN swallowed THEN above ELSE parent END AS parent, CASE
 SELECT p.book, parent, path, start, "end" FROM p JOIN rg ON rg.book = p.book AND (path = parent OR starts_with(path, parent || ' > '))
 UNION ALL SELECT a.book, a.parent, above || ' (opening)', c.start, f.first - 1 FROM a JOIN rg c ON c.book = a.book AND c.path = above JOIN LATERAL (SELECT min(start) AS first FROM rg x WHERE x.book = a.book AND starts_with(x.path, above || ' > ')) f ON true WHERE f.first > c.start""",
     "page_windows": f"""{_FOLD}, fold AS (
-  SELECT book, path, i, n, page AS first, page AS last, chars, solid, NULL::INTEGER AS cf, NULL::INTEGER AS cl, NULL::BIGINT AS cc, NULL::BIGINT AS cs FROM it WHERE i = 1
+  SELECT book, path, i, n, page AS first, page AS last, chars, NULL::INTEGER AS cf, NULL::INTEGER AS cl, NULL::BIGINT AS cc FROM it WHERE i = 1
   UNION ALL
-  SELECT f.book, f.path, t.i, f.n, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN t.page ELSE f.first END, t.page,
-    CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN t.chars ELSE f.chars + t.chars END, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN t.solid ELSE f.solid + t.solid END,
-    CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN f.first END, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN f.last END, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN f.chars END, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN f.solid END
+  SELECT f.book, f.path, t.i, f.n, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN t.page ELSE f.first END, t.page, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN t.chars ELSE f.chars + t.chars END,
+    CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN f.first END, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN f.last END, CASE WHEN f.chars > 0 AND f.chars + t.chars > 6000 THEN f.chars END
   FROM fold f JOIN it t ON t.path = f.path AND t.i = f.i + 1),
-w AS (SELECT book, path, cf AS page, cl AS "end", cc AS chars, cs AS solid FROM fold WHERE cf IS NOT NULL UNION ALL SELECT book, path, first, last, chars, solid FROM fold WHERE i = n)
-SELECT book, path, page, "end", CAST(chars AS INTEGER) AS chars FROM w WHERE solid > 200""",
+w AS (SELECT book, path, cf AS page, cl AS "end", cc AS chars FROM fold WHERE cf IS NOT NULL UNION ALL SELECT book, path, first, last, chars FROM fold WHERE i = n),
+tx AS (SELECT w.*, string_agg(text, '' ORDER BY pg.page) AS text FROM w JOIN pg ON pg.book = w.book AND pg.page BETWEEN w.page AND w."end" GROUP BY ALL)
+SELECT book, path, page, "end", CAST(chars AS INTEGER) AS chars FROM tx WHERE length(trim(text, '{windows.BLANKS}')) > 200""",
+    "page_pieces": f"WITH RECURSIVE {_PIECES} SELECT book, page, CAST(piece - 1 AS INTEGER) AS piece, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest FROM pc",
+    "piece_batches": f"""WITH RECURSIVE {_PIECES}, cl AS (SELECT book, page, piece, length(text) AS own, length(text) AS size, 1 AS call FROM pc WHERE piece = 1
+  UNION ALL SELECT c.book, c.page, p.piece, length(p.text), CASE WHEN c.size + length(p.text) > 4000 THEN length(p.text) ELSE c.size + length(p.text) END, CASE WHEN c.size + length(p.text) > 4000 THEN c.call + 1 ELSE c.call END FROM cl c JOIN pc p ON p.book = c.book AND p.page = c.page AND p.piece = c.piece + 1)
+SELECT book, page, call, count(*) AS pieces, CAST(sum(own) AS BIGINT) AS chars FROM cl GROUP BY ALL""",
     "page_batches": f"""{_FOLD}, fold AS (
   SELECT book, path, i, page, chars AS own, chars AS size, 1 AS batch FROM it WHERE i = 1
   UNION ALL SELECT f.book, f.path, t.i, t.page, t.chars, CASE WHEN f.size + t.chars > 8000 THEN t.chars ELSE f.size + t.chars END, CASE WHEN f.size + t.chars > 8000 THEN f.batch + 1 ELSE f.batch END FROM fold f JOIN it t ON t.path = f.path AND t.i = f.i + 1)

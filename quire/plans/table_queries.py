@@ -29,8 +29,8 @@ def tables_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_text_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.array(F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_name")), F.col("p_brand"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit('12" '), F.col("p_type"))))
-    heads = tables.heads_named(F.array(F.lit("name"), F.lit(""), F.lit("name")))
+    cells = F.array(F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_name")), F.col("p_brand"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit('12" '), F.col("p_type"))), F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_size").cast("string")))
+    heads = tables.heads_named(F.array(F.lit("name"), F.lit(""), F.lit("name"), F.lit("name 2")))
     return _t(spark, sf_dir, "part").select("p_partkey", tables.row_text(heads, cells).alias("text"))
 
 
@@ -278,8 +278,8 @@ s AS (SELECT *, sum(CASE WHEN f = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_or
 g AS (SELECT *, last_value(CASE WHEN f = 'A' THEN 'group ' || CAST(l_partkey AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY l_orderkey, stretch ORDER BY pos) AS grp FROM s),
 d AS (SELECT *, coalesce(lag(heads) OVER (PARTITION BY l_orderkey, stretch ORDER BY pos) <> heads, true) AS begins FROM g WHERE f NOT IN ('A', 'R'))
 SELECT l_orderkey, CAST(pos AS INTEGER) AS pos, CAST(sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY pos) AS BIGINT) AS table_id, heads, coalesce(grp, '') AS grp, CAST(l_partkey AS VARCHAR) AS cell FROM d""",
-    "row_text_json": """WITH c AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS a, p_brand AS b, CASE WHEN p_size % 3 = 0 THEN '' ELSE '12\\" ' || p_type END AS c FROM part)
-SELECT p_partkey, CASE WHEN a = '' AND c = '' THEN b ELSE '{' || concat_ws(',', CASE WHEN a <> '' THEN '"name":"' || a || '"' END, '"column 2":"' || b || '"', CASE WHEN c <> '' THEN '"name 2":"' || c || '"' END) || '}' END AS text FROM c""",
+    "row_text_json": """WITH c AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS a, p_brand AS b, CASE WHEN p_size % 3 = 0 THEN '' ELSE '12\\" ' || p_type END AS c, CASE WHEN p_size % 2 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS d FROM part)
+SELECT p_partkey, CASE WHEN a = '' AND c = '' AND d = '' THEN b ELSE '{' || concat_ws(',', CASE WHEN a <> '' THEN '"name":"' || a || '"' END, '"column 2":"' || b || '"', CASE WHEN c <> '' THEN '"name 2":"' || c || '"' END, CASE WHEN d <> '' THEN '"name 2 2":"' || d || '"' END) || '}' END AS text FROM c""",
     "same_names": f"WITH o AS (SELECT s_suppkey AS i, upper(replace(s_name, '#', ' no. ')) AS name FROM supplier), t AS (SELECT s_suppkey * 2 AS j, {norm(chr(39).join(['replace(s_name, ', '#', ', ', '-no-', ')']))} AS key FROM supplier WHERE s_suppkey * 2 % 3 <> 0), m AS (SELECT key, max(j) AS j FROM t GROUP BY key) SELECT i, name, j FROM o LEFT JOIN m ON key = {norm('name')}",
     "entries_by_heading": f"""WITH h AS (SELECT page_id AS doc, regexp_extract_all(html, '{_TAG}', 1) AS a, regexp_extract_all(html, '{_TAG}', 2) AS b FROM pages), p0 AS (SELECT doc, CAST(unnest(range(0, len(a))) AS INTEGER) AS pos, unnest(a) AS tag, trim(unnest(b)) AS text FROM h),
 p AS (SELECT *, tag = 'h1' OR (length(text) > 10 AND length(text) < 40) AS heading FROM p0), n AS (SELECT doc, text AS name, max(pos) AS i FROM p WHERE heading GROUP BY ALL),
