@@ -216,10 +216,31 @@ def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", runlog.parsed(line).alias("x")).select("conv_id", "turn", "x.*")
 
 
+class Digest:
+    """Answers in hundredths that a digest of the call and the option gives; the first ``off`` are taken as none."""
+
+    def __init__(self, salt: str, off: int = 0):
+        self.salt, self.off = salt, off
+
+    def answers(self, asks: DataFrame) -> DataFrame:
+        return asks.select("ask_id", "option", "pos", (F.greatest(recorded(self.salt, F.col("ask_id"), F.col("option")) - self.off, F.lit(0)) / 100).alias("p"))
+
+
+def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's parts as options, by key."""
+    a = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("ask_id"), _s("p_partkey").alias("option"), F.col("p_partkey").alias("pos"), F.lit("which one").alias("instruction"), F.lit("").alias("state"))
+    return a.withColumn("pos", F.row_number().over(Window.partitionBy("ask_id").orderBy("pos")) - 1)
+
+
 def tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heats of 15 among each brand's parts."""
-    a = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("ask_id"), _s("p_partkey").alias("option"), F.col("p_partkey").alias("pos"), recorded("heat", _s("p_partkey")).alias("p"))
-    return decide.tournament(a.withColumn("pos", F.row_number().over(Window.partitionBy("ask_id").orderBy("pos")) - 1))
+    """The choice of each brand, by heats of 15 and finals that are asked anew."""
+    return decide.tournament(_options(spark, sf_dir), Digest("heat")).select("ask_id", "option", "p", "rounds")
+
+
+def choice_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's parts ranked by choices of at most 40, again without the picks until 12 are ranked; a fifth of the answers is not nothing."""
+    out = decide.ranked_by_choice(_options(spark, sf_dir), Digest("rounds", 95), most=40)
+    return out.select("ask_id", "option", "rank", "round", quantised(F.col("score")).alias("score"), "p")
 
 
 def score_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +310,7 @@ def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.best_runs(lines.withColumn("share", share), "doc_id", 80)
 
 
-_ALL = (sentence_units, two_bar_names, trimmed_names, best_runs, number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
+_ALL = (sentence_units, two_bar_names, trimmed_names, best_runs, number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, choice_rounds, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -297,6 +318,15 @@ def _r(salt: str, *cols: str) -> str:
     return rec(f"'{salt}'", *[f"CAST({c} AS VARCHAR)" for c in cols])
 
 
+def _heats(k: int) -> str:
+    """Round ``k`` of a tournament in SQL: ``r{k}`` in, what leaves as ``o{k}`` and the rest as ``r{k + 1}``."""
+    return f"""n{k} AS (SELECT *, count(*) OVER (PARTITION BY ask_id) AS n, (row_number() OVER (PARTITION BY ask_id ORDER BY pos) - 1) // 15 AS heat FROM r{k}),
+h{k} AS (SELECT ask_id, heat, option, pos, {rec("'heat'", f"ask_id || '#{k}#' || CAST(heat AS VARCHAR)", 'option')} AS p FROM (SELECT ask_id, heat, option, pos FROM n{k} WHERE n > 16 UNION ALL SELECT ask_id, heat, 'none of these', max(pos) + 1 FROM n{k} WHERE n > 16 GROUP BY ALL)),
+b{k} AS (SELECT *, row_number() OVER (PARTITION BY ask_id, heat ORDER BY p DESC, pos) AS best FROM h{k}),
+o{k} AS (SELECT ask_id, option, {rec("'heat'", f"ask_id || '#{k}'", 'option')} / 100::DOUBLE AS p, {k} AS rounds FROM n{k} WHERE n <= 16 UNION ALL SELECT ask_id, option, 0.0::DOUBLE, {k} FROM b{k} WHERE best > 1 AND option <> 'none of these'),
+r{k + 1} AS (SELECT ask_id, option, pos FROM b{k} WHERE best = 1 AND option <> 'none of these')"""
+
+
 _NAMED = f"""r AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS raw FROM benchmark), w AS (SELECT item_id, list_filter(list_transform(raw, lambda x: {{'word': regexp_replace(x, '[^\\w''-]', '', 'g'), 'ends': regexp_matches(x, '[,;.]$')}}), lambda s: s.word <> '') AS ws FROM r),
 e AS (SELECT item_id, CAST(unnest(range(0, len(ws))) AS INTEGER) AS pos, unnest(ws) AS w FROM w),
 f AS (SELECT item_id, pos, CASE WHEN pos % 5 = 3 THEN 'of' WHEN pos % 11 = 4 THEN 'The' ELSE w.word END AS word, w.ends AS ends, {rec("'bar'", 'CAST(item_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} AS p FROM e),
@@ -355,7 +385,8 @@ f AS (SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM b WHERE b.k <= 2 AND b.book
 SELECT p_partkey, string_agg(CASE WHEN x = 'n/a' THEN x ELSE x || ' (' || CASE lower(x) WHEN 'red' THEN '1' WHEN 'blue' THEN '2' WHEN 'small' THEN 's' WHEN 'gear' THEN 'cog' ELSE 'N/A' END || ')' END, ', ' ORDER BY i) AS text FROM w WHERE x IS NOT NULL GROUP BY p_partkey""",
     "entry_pieces": "SELECT p_partkey, p_name AS label, p_type AS value FROM part WHERE p_partkey % 3 <> 0",
     "parsed_log": "SELECT conv_id, turn, CAST(turn % 4 AS INTEGER) AS depth, role || ' said' || CASE WHEN turn % 2 <> 0 AND turn % 3 = 0 THEN '…' ELSE '' END AS text, CASE WHEN turn % 2 = 0 THEN conv_id ELSE 0 END AS tokens_in, CASE WHEN turn % 2 = 0 THEN turn ELSE 0 END AS tokens_out, turn % 2 <> 0 AND turn % 3 = 0 AS header FROM conversations",
-    "tournament": f"WITH a AS (SELECT p_brand AS ask_id, p_partkey, {_r('heat', 'p_partkey')} AS p, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY p DESC, pos) AS k, max(pos) OVER (PARTITION BY ask_id) // 15 + 1 AS heats FROM a) SELECT ask_id, CAST(p_partkey AS VARCHAR) AS option, p, heats FROM b WHERE k = 1",
+    "tournament": f"""WITH r1 AS (SELECT p_brand AS ask_id, CAST(p_partkey AS VARCHAR) AS option, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part), {', '.join(_heats(k) for k in range(1, 6))},
+o AS ({' UNION ALL '.join(f'SELECT * FROM o{k}' for k in range(1, 6))}) SELECT ask_id, option, p, rounds FROM o""",
     "score_levels": f"WITH a AS (SELECT p_partkey AS ask_id, unnest([0, 1, 2, 3]) AS pos FROM part), w AS (SELECT *, {_r('level', 'ask_id', 'pos')} + 1 AS w FROM a), p AS (SELECT ask_id, pos, w / CAST(sum(w) OVER (PARTITION BY ask_id) AS DOUBLE) AS p FROM w) SELECT ask_id, {q6('sum(pos * p)')} AS score, {q6('max(p)')} AS confidence FROM p GROUP BY ask_id",
     "asked_again": f"WITH a AS (SELECT c_custkey AS ask_id, {_r('a0', 'c_custkey')} / 100::DOUBLE AS p0, {_r('a1', 'c_custkey')} / 100::DOUBLE AS p1, {_r('a2', 'c_custkey')} / 100::DOUBLE AS p2 FROM customer) SELECT ask_id, {q6('CASE WHEN abs(p0 - 0.7::DOUBLE) <= 0.1::DOUBLE THEN (p0 + (p1 + p2)) / 3 ELSE p0 END')} AS p FROM a",
     "side_by_side": f"SELECT c_custkey AS \"case\", CASE WHEN c_custkey % 3 <> 0 THEN {_r('x', 'c_custkey')} ELSE -1 END AS a, CASE WHEN c_custkey % 4 <> 0 THEN {_r('y', 'c_custkey')} ELSE -1 END AS b FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0",

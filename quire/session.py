@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -41,10 +41,19 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; where none is set (tests), one of our own is set first."""
+    """A new folder below the cluster's checkpoint folder. Where none is set, one of our own is, but for a local master only: on a cluster no other machine would see it."""
     context = spark.sparkContext
     base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, lineage cut, readable after an executor is lost."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
