@@ -20,8 +20,6 @@ names, but those called as the results are left out.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -34,16 +32,19 @@ from pyspark.sql import functions as F
 from quire.llm.common import extended, written
 
 ORDERS = (4, 3, 2, 1)
-#: Runs of letters: word characters other than numerals of any kind ("½", "²", "Ⅳ"), by Unicode's categories.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L")
-LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Runs of word characters other than decimal digits; numerals of other kinds ("½", "²", "Ⅳ") are cut out of the few that hold one.
+RUNS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 SMOOTH = 0.1
 _KEPT = 1 << 18
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters, by Unicode's categories, in lower case."""
+    found = RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for run in found for part in ("".join(c if c.isalpha() else " " for c in run).split() if not run.isalpha() else [run])]
 
 
 def grams_of(word: str, order: int) -> list[str]:
