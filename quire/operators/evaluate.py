@@ -55,6 +55,15 @@ def bands(scored: DataFrame, bar: float, width: float) -> DataFrame:
     return scored.groupBy(band.alias("band")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
 
 
+def first_right(near: DataFrame) -> DataFrame:
+    """The ``rank`` of each question's best right row: one more than the rows before it, counted; nothing is sorted. ``near``: ``qid``, ``o_id``, ``micro`` (higher is
+    nearer, then the smaller ``o_id``), ``right``."""
+    key = F.struct("micro", (-F.col("o_id")).alias("back"))
+    best = near.where("right").groupBy("qid").agg(F.max(key).alias("best"))
+    ahead = near.join(best, "qid").where(key > F.col("best")).groupBy("qid").agg(F.count("*").alias("ahead"))
+    return best.join(ahead, "qid", "left").select("qid", (F.coalesce("ahead", F.lit(0)) + 1).alias("rank")).unionByName(near.select("qid").distinct().join(best, "qid", "left_anti").select("qid", F.lit(None).cast("long").alias("rank")))
+
+
 def recall_at(ranked: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 12, 30)) -> DataFrame:
     """Share of questions whose answer ranks within each k. ``ranked``: ``qid``, ``rank`` of the first right row."""
     one = ranked.agg(*[F.avg((F.coalesce("rank", F.lit(1 << 30)) <= k).cast("double")).alias(f"k{k}") for k in ks])

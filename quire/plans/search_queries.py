@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import numbers
@@ -91,19 +93,29 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of each benchmark text read as a question: its first two words the subject, its last word the book's name."""
     words = shelf.table(spark, sf_dir, "benchmark").withColumn("w", F.split(F.trim(t.normalize(F.col("text"))), " "))
     subject, name = F.array_join(F.slice("w", 1, 2), " "), F.element_at("w", -1)
-    rows = words.select("item_id", F.posexplode(t.search_terms(F.array_join(F.slice("w", 1, 12), " "), subject, name)).alias("pos", "t"))
+    rows = words.select("item_id", F.posexplode(t.search_terms(F.array_join("w", " "), subject, name)).alias("pos", "t"))
     return rows.select("item_id", "pos", F.col("t.words").alias("words"), F.col("t.weight").alias("weight"), F.col("t.subject").alias("subject"))
 
 
 def mentions_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that mention any eight words in a row of a benchmark text: an equi-join on eight-word windows of both."""
+    """Documents that mention any eight words in a row of a benchmark text, or all of a shorter one: an equi-join on windows of both, of the few lengths that occur."""
+
+    def windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+        words = rows.select(key, F.split(t.normalize(F.col("text")), " ").alias("w")).where("w[0] <> ''")
+
+        def of(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+            return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    def windows(rows: DataFrame, key: str) -> DataFrame:
-        words = rows.select(key, F.split(t.normalize(F.col("text")), " ").alias("w")).where("size(w) >= 8")
-        return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("phrase"))
+        cut = [of(n) for n in lengths]
+        return words.select(key, F.explode(F.array_distinct(F.concat(*cut))).alias("phrase"))
 
-    keys = windows(shelf.table(spark, sf_dir, "benchmark"), "item_id")
-    return windows(documents(spark, sf_dir), "doc_id").join(keys, "phrase").select("doc_id", "item_id").distinct()
+    items = shelf.table(spark, sf_dir, "benchmark")
+    size = F.least(F.size(F.split(t.normalize(F.col("text")), " ")), F.lit(8))
+    sized = items.withColumn("n", size)
+    lengths = sorted(r.n for r in sized.select("n").distinct().collect())  # at most eight
+    keys = functools.reduce(DataFrame.unionByName, [windows(sized.where(F.col("n") == n), "item_id", [n]) for n in lengths])
+    return windows(documents(spark, sf_dir), "doc_id", lengths).join(keys, "phrase").select("doc_id", "item_id").distinct()
 
 
 def candidate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +179,7 @@ ORACLE = {
     "normalize_stems": f"WITH s AS (SELECT 'part' AS kind, p_partkey AS id, p_name AS s FROM part UNION ALL SELECT 'document', doc_id, text FROM documents) SELECT kind, id, {norm('s')} AS normal, array_to_string({stem_list('s')}, ' ') AS stems FROM s",
     "question_words": f"WITH r AS (SELECT item_id, regexp_split_to_array(trim(text), '\\s+') AS raw FROM benchmark), w AS (SELECT item_id, list_filter(list_transform(raw, lambda x: {{'word': regexp_replace(x, '[^\\w''-]', '', 'g'), 'ends': regexp_matches(x, '[,;.]$')}}), lambda s: s.word <> '') AS ws FROM r), e AS (SELECT item_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM w) SELECT item_id, CAST(pos AS INTEGER) AS pos, w.word AS word, w.ends AS ends, lower(w.word) IN {_STOP} AS stopword FROM e",
     "search_terms": f"""WITH w AS (SELECT item_id, string_split({norm('text')}, ' ') AS w FROM benchmark),
-s AS (SELECT item_id, {stem_list("w[-1]")} AS named, {stem_list("array_to_string(w[1:2], ' ')")} AS own, {stem_list("array_to_string(w[1:12], ' ')")} AS other FROM w),
+s AS (SELECT item_id, {stem_list("w[-1]")} AS named, {stem_list("array_to_string(w[1:2], ' ')")} AS own, {stem_list("array_to_string(w, ' ')")} AS other FROM w),
 l AS (SELECT *, list_filter(own, lambda x: NOT list_contains(named, x)) AS lft FROM s),
 e AS (SELECT item_id, 0 AS grp, 0 AS i, array_to_string(lft, ' ') AS words, 3 AS weight, true AS subject FROM l WHERE len(lft) > 1
       UNION ALL SELECT item_id, 1, unnest(range(1, len(lft) + 1)), unnest(lft), 2, true FROM l
@@ -175,7 +187,10 @@ e AS (SELECT item_id, 0 AS grp, 0 AS i, array_to_string(lft, ' ') AS words, 3 AS
 f AS (SELECT e.item_id, grp, min(i) AS i, words, weight, subject FROM e JOIN l USING (item_id)
       WHERE grp < 2 OR (words NOT IN {_STOP} AND NOT list_contains(named, words) AND length(words) > 1 AND NOT list_contains(lft, words)) GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY grp, i) - 1 AS INTEGER) AS pos, words, CAST(weight AS INTEGER) AS weight, subject FROM f""",
-    "mentions_benchmark": f"WITH k AS (SELECT item_id, string_split({norm('text')}, ' ') AS w FROM benchmark), p AS (SELECT item_id, array_to_string(w[i : i + 7], ' ') AS phrase FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM k WHERE len(w) >= 8)), d AS (SELECT doc_id, string_split({norm('text')}, ' ') AS w FROM documents), e AS (SELECT doc_id, array_to_string(w[i : i + 7], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)) SELECT DISTINCT doc_id, item_id FROM e JOIN p USING (phrase)",
+    "mentions_benchmark": f"""WITH k AS (SELECT item_id, string_split({norm('text')}, ' ') AS w FROM benchmark WHERE {norm('text')} <> ''), l AS (SELECT *, least(len(w), 8) AS n FROM k), ns AS (SELECT DISTINCT n FROM l),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM l)),
+d AS (SELECT doc_id, string_split({norm('text')}, ' ') AS w FROM documents), e AS (SELECT DISTINCT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM e JOIN p USING (n, phrase)""",
     "candidate_cells": f"""WITH {LINES}, p AS (SELECT book, page, list_filter(list_transform(regexp_split_to_array(line, '{t.CELL_ENDS}'), lambda x: regexp_replace(trim(x), '^(?i:the|a|an)\\s+', '')), lambda x: regexp_matches(x, '^[A-Z]') AND length(x) <= 60 AND len(regexp_split_to_array(x, '\\s+')) <= 4) AS fit FROM ln),
 b AS (SELECT book, page, unnest(list_filter(fit, lambda x, i: list_position(list_transform(fit, lambda y: lower(y)), lower(x)) = i)) AS cell FROM p)
 SELECT book, lower(cell) AS name, count(DISTINCT page) AS pages, min(cell) AS cell FROM b GROUP BY book, lower(cell) HAVING count(DISTINCT page) > 1""",

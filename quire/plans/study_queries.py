@@ -86,7 +86,7 @@ def gate_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as scored pairs; a language is a book."""
-    docs = documents(spark, sf_dir).where("lang in ('de', 'en', 'es', 'fr')").select("doc_id", "lang")
+    docs = documents(spark, sf_dir).where("lang is not null").select("doc_id", "lang")
     value = F.least(F.lit(100), recorded("value", _s("doc_id")) + F.col("quality") * 15)
     return _t(spark, sf_dir, "labels").join(docs, "doc_id").select("lang", value.alias("value"), (F.col("quality") == 1).alias("good"))
 
@@ -97,9 +97,9 @@ def transfer_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refitted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each language with the bar that the three others give."""
+    """Each of four languages, a fold, with the bar that the three others give."""
     fold = (F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")) - 1).cast("int")
-    return evaluate.refitted(_by_language(spark, sf_dir).select(fold.alias("fold"), "value", "good"), "fold", 4, 0.9)
+    return evaluate.refitted(_by_language(spark, sf_dir).select(fold.alias("fold"), "value", "good").where("fold >= 0"), "fold", 4, 0.9)
 
 
 def history_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def _r(salt: str, *cols: str) -> str:
     return rec(f"'{salt}'", *[f"CAST({c} AS VARCHAR)" for c in cols])
 
 
-_LANG = f"lb AS (SELECT lang, least(100, {_r('value', 'doc_id')} + quality * 15) AS value, quality = 1 AS good FROM labels JOIN documents USING (doc_id) WHERE lang IN ('de', 'en', 'es', 'fr')), ct AS (SELECT lang, value, count(*) FILTER (good) AS g, count(*) AS n FROM lb GROUP BY ALL)"
+_LANG = f"lb AS (SELECT lang, least(100, {_r('value', 'doc_id')} + quality * 15) AS value, quality = 1 AS good FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL), ct AS (SELECT lang, value, count(*) FILTER (good) AS g, count(*) AS n FROM lb GROUP BY ALL)"
 _PICK = "row_number() OVER (PARTITION BY held ORDER BY tp DESC, value DESC) AS k FROM sw WHERE tp >= taken * 0.9::DOUBLE"
 _OWN = "o AS (SELECT p_partkey, p_name || ' (' || p_type || '), ' || p_brand AS c, p_name AS a, p_type AS b, p_brand FROM part), l AS (SELECT p_partkey, [c, a, b, ', ' || p_brand, a || ' (' || b || ')', p_brand, 'none'] AS l FROM o), e AS (SELECT p_partkey, unnest(range(1, 8)) AS k, unnest(l) AS piece FROM l), f AS (SELECT p_partkey, piece, min(k) AS pos FROM e GROUP BY ALL)"
 
@@ -183,7 +183,7 @@ r AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY micro DES
 SELECT book, page, p, rank, rel, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS answer FROM g JOIN r USING (book, page) WHERE p >= 30""",
     "transfer_check": f"""WITH {_LANG}, sw AS (SELECT lang AS held, value, sum(g) OVER (ORDER BY value DESC) AS tp, sum(n) OVER (ORDER BY value DESC) AS taken FROM ct WHERE lang = 'en'), b AS (SELECT value AS bar, {_PICK})
 SELECT lang, bar, CAST(coalesce(sum(g) FILTER (value >= bar), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (value >= bar), 0) AS BIGINT) AS taken, CAST(sum(g) AS BIGINT) AS good FROM ct, b WHERE k = 1 AND lang <> 'en' GROUP BY lang, bar""",
-    "refitted_bars": f"""WITH {_LANG}, f AS (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS fold, unnest(['de', 'en', 'es', 'fr']) AS lang), o AS (SELECT f.fold AS held, value, sum(g) AS g, sum(n) AS n FROM ct JOIN f ON f.lang <> ct.lang GROUP BY ALL),
+    "refitted_bars": f"""WITH {_LANG}, f AS (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS fold, unnest(['de', 'en', 'es', 'fr']) AS lang), o AS (SELECT f.fold AS held, value, sum(g) AS g, sum(n) AS n FROM ct JOIN f ON f.lang <> ct.lang WHERE ct.lang IN (SELECT lang FROM f) GROUP BY ALL),
 sw AS (SELECT held, value, sum(g) OVER w AS tp, sum(n) OVER w AS taken FROM o WINDOW w AS (PARTITION BY held ORDER BY value DESC)), b AS (SELECT held, value AS bar, {_PICK})
 SELECT fold, bar, CAST(coalesce(sum(g) FILTER (value >= bar), 0) AS BIGINT) AS tp, CAST(coalesce(sum(n) FILTER (value >= bar), 0) AS BIGINT) AS taken, CAST(sum(g) AS BIGINT) AS good FROM ct JOIN f USING (lang) JOIN b ON held = fold WHERE k = 1 GROUP BY fold, bar""",
     "history_steps": """WITH e AS (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS id, ts, event_id, event_type = 'purchase' AS pinned FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY "user", id ORDER BY ts DESC, event_id DESC) AS k FROM e),

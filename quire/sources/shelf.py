@@ -6,6 +6,9 @@ a block, so a book with most of the rows is still numbered by many tasks.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,16 +67,20 @@ def nonempty(files: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.pdf", most: int = 5000) -> tuple[DataFrame, DataFrame]:
     """Files below ``folder`` by path, the first ``most``, and a one-row table that says whether more were there."""
-    # through the file system itself: Spark's own file index leaves out files of no bytes
+    # through the file system itself: Spark's own file index leaves out files of no bytes; one path more than are wanted is held, whatever the folder's size
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(folder)
-    found, wanted, rows = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), jvm.org.apache.hadoop.fs.GlobPattern(pattern), []
-    while found.hasNext():
-        file = found.next()
-        if wanted.matches(file.getPath().getName()):
-            rows.append((file.getPath().toString(), file.getModificationTime() / 1000.0, file.getLen()))
-    every = spark.createDataFrame(rows, "path string, modified double, length long").select("path", F.timestamp_seconds("modified").alias("modificationTime"), "length")
-    return every.orderBy("path").limit(most), every.agg((F.count("*") > most).alias("truncated"))
+    found, wanted = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), jvm.org.apache.hadoop.fs.GlobPattern(pattern)
+
+    def files() -> Iterator[tuple[str, float, int]]:
+        while found.hasNext():
+            file = found.next()
+            if wanted.matches(file.getPath().getName()):
+                yield file.getPath().toString(), file.getModificationTime() / 1000.0, file.getLen()
+
+    rows = heapq.nsmallest(most + 1, files())
+    every = spark.createDataFrame(rows[:most], "path string, modified double, length long").select("path", F.timestamp_seconds("modified").alias("modificationTime"), "length")
+    return every.orderBy("path"), spark.createDataFrame([(len(rows) > most,)], "truncated boolean")
 
 
 def path_list(text_rows: DataFrame) -> DataFrame:
