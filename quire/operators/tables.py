@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,14 +149,20 @@ def chosen_columns(choices: DataFrame, by: str) -> DataFrame:
     return picked.select(by, F.when(F.size("cols") > 0, F.concat(F.array(F.lit(0)), F.filter("cols", lambda c: c != 0))).alias("keep"))
 
 
-def match_rows(ours: DataFrame, theirs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Names by their normal form first; what is left on both sides by the likeliest answer from one half on (``i``, ``j``, ``p``)."""
-    sure = same_names(ours, theirs)
-    taken = sure.where("j is not null").select("j").distinct()
-    open_rows = sure.where("j is null").select("i", "name")
-    left = answers.join(taken, "j", "left_anti").where("p >= 50")
-    best = left.groupBy("i").agg(F.max(F.struct("p", (-F.col("j")).alias("back"))).alias("b"))
-    return sure.where("j is not null").select("i", "j", F.lit(100).alias("p")).unionAll(open_rows.join(best, "i").select("i", (-F.col("b.back")).alias("j"), "b.p"))
+def match_rows(ours: DataFrame, theirs: DataFrame, answers: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of one table found in another, for many pairs of tables (``tid``) at once: by the normal form of their names first; each that is left chooses among all names of its
+    other table that no row has taken, and takes the likeliest from one half on, the first on ties.
+
+    ``ours``: ``tid``, ``i``, ``name``; ``theirs``: ``tid``, ``j``, ``name``; ``answers`` gives ``p`` (hundredths) to asks (``tid``, ``i``, ``j``, ``name``, ``option``). Rows and free names of a
+    table meet, as a choice lists all its options; those of different tables never do."""
+    key = normalize(F.col("name")).alias("key")
+    last = theirs.groupBy("tid", key).agg(F.max("j").alias("j"))
+    sure = ours.select("tid", "i", "name", key).join(last, ["tid", "key"], "left")
+    taken = sure.where("j is not null").select("tid", "j").distinct()
+    free = theirs.join(taken, ["tid", "j"], "left_anti").select("tid", "j", F.col("name").alias("option"))
+    asked = answers(sure.where("j is null").select("tid", "i", "name").join(free, "tid")).where("p >= 50")
+    best = asked.groupBy("tid", "i").agg(F.max(F.struct("p", (-F.col("j")).alias("back"))).alias("b"))
+    return sure.where("j is not null").select("tid", "i", "j", F.lit(100).alias("p")).unionAll(best.select("tid", "i", (-F.col("b.back")).alias("j"), "b.p"))
 
 
 def entry_pieces(line: Column) -> Column:

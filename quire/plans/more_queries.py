@@ -106,13 +106,11 @@ def offer_afresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers to renamed suppliers: by name, the rest by recorded answers among names that begin alike (their first 17 characters)."""
+    """Each nation's suppliers to a table in which a third of them is renamed: by name, the rest by recorded answers to every free name."""
     s = _t(spark, sf_dir, "supplier")
-    ours = s.select(F.col("s_suppkey").alias("i"), F.lower("s_name").alias("name"))
-    theirs = s.select(F.col("s_suppkey").alias("j"), F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")).alias("name"))
-    begins = F.substring(normalize(F.col("name")), 1, 17).alias("m")
-    pairs = ours.select("i", begins).join(theirs.select("j", begins), "m").select("i", "j", recorded("match", _s("i"), _s("j")).alias("p"))
-    return tables.match_rows(ours, theirs, pairs)
+    ours = s.select(F.col("s_nationkey").alias("tid"), F.col("s_suppkey").alias("i"), F.lower("s_name").alias("name"))
+    theirs = s.select(F.col("s_nationkey").alias("tid"), F.col("s_suppkey").alias("j"), F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit("x"))).otherwise(F.col("s_name")).alias("name"))
+    return tables.match_rows(ours, theirs, lambda asks: asks.withColumn("p", recorded("match", _s("i"), _s("j"))))
 
 
 def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,9 +359,10 @@ SELECT item_id, min(pos) AS pos, max(pos) AS "end", string_agg(word, ' ' ORDER B
     "request_validation": f"WITH {_REQ_SQL}, b AS (SELECT id, ord, CASE WHEN NOT contains(tools, tool) THEN name || ' is not for ' || tool WHEN value < least OR value > most THEN name || ' is out of range' WHEN kind = 'whole' AND value % 7 = 0 THEN name || ' must be whole' END AS foul FROM rq) SELECT id, coalesce(arg_min(foul, ord) FILTER (foul IS NOT NULL), 'ok') AS result FROM b GROUP BY id",
     "changed_options": f"WITH {_REQ_SQL} SELECT id, string_agg('--' || name || '=' || CAST(value AS VARCHAR), ' ' ORDER BY ord) AS flags FROM rq WHERE contains(tools, tool) AND value <> standard GROUP BY id",
     "offer_afresh": f"WITH c AS (SELECT c_custkey, {_r('cache', 'c_custkey')} % 2 = 1 AS cached, {_r('read', 'c_custkey')} % 16 AS sections, {_r('kept', 'c_custkey')} % 7 AS kept FROM customer) SELECT *, cached AND (sections >= 12 OR kept >= 5) AS offer FROM c",
-    "match_rows": f"""WITH o AS (SELECT s_suppkey AS i, {norm('s_name')} AS k FROM supplier), t AS (SELECT s_suppkey AS j, {norm("CASE WHEN s_suppkey % 3 = 0 THEN s_name || 'x' ELSE s_name END")} AS k FROM supplier),
-m AS (SELECT i, max(j) AS j FROM o JOIN t USING (k) GROUP BY i), p AS (SELECT o.i, t.j, {_r('match', 'o.i', 't.j')} AS p FROM o JOIN t ON substring(o.k, 1, 17) = substring(t.k, 1, 17) WHERE o.i NOT IN (SELECT i FROM m) AND t.j NOT IN (SELECT j FROM m)),
-b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p DESC, j) AS k FROM p WHERE p >= 50) SELECT i, j, 100 AS p FROM m UNION ALL SELECT i, j, p FROM b WHERE k = 1""",
+    "match_rows": f"""WITH o AS (SELECT s_nationkey AS tid, s_suppkey AS i, {norm('s_name')} AS k FROM supplier), t AS (SELECT s_nationkey AS tid, s_suppkey AS j, {norm("CASE WHEN s_suppkey % 3 = 0 THEN s_name || 'x' ELSE s_name END")} AS k FROM supplier),
+s AS (SELECT o.tid, i, max(j) AS j FROM o LEFT JOIN t ON t.tid = o.tid AND t.k = o.k GROUP BY o.tid, i), fr AS (SELECT tid, j FROM t WHERE (tid, j) NOT IN (SELECT tid, j FROM s WHERE j IS NOT NULL)),
+a AS (SELECT s.tid, i, fr.j, {_r('match', 'i', 'fr.j')} AS p FROM s JOIN fr ON fr.tid = s.tid WHERE s.j IS NULL)
+SELECT tid, i, j, CAST(100 AS INTEGER) AS p FROM s WHERE j IS NOT NULL UNION ALL SELECT tid, i, j, p FROM a WHERE p >= 50 QUALIFY row_number() OVER (PARTITION BY tid, i ORDER BY p DESC, j) = 1""",
     "question_pairs": "SELECT label, vec_id, count(*) OVER (PARTITION BY label) - 1 AS partners FROM embeddings",
     "trace_to_case": "WITH v AS (SELECT user_id AS \"user\", event_id AS id, ts FROM events WHERE event_type = 'view') SELECT \"user\", id, (SELECT arg_max(c.event_id, (c.ts, c.event_id)) FROM events c WHERE c.event_type = 'signup' AND c.user_id = v.\"user\" AND c.ts <= v.ts) AS \"case\" FROM v",
     "passage_confidence": f"WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), r AS (SELECT doc_id, {_r('line', 'doc_id', 'pos')} AS p FROM l) SELECT doc_id, {q6('avg(p)')} AS p, count(*) AS lines FROM r WHERE p >= 65 GROUP BY doc_id",
