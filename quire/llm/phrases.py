@@ -208,7 +208,9 @@ def _spell(longest: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
 
 
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, group_bytes: int = 8 << 20, bucket_ngrams: int = 1 << 21) -> DataFrame:
-    """``lang``, ``words`` (how many), ``phrase`` and ``f`` of every n-gram met ``least`` times or more in its language; with 0 words, a language's words in all."""
+    """``lang``, ``words`` (how many), ``phrase`` and ``f`` of every n-gram met ``least`` times or more in its language; with 0 words, a language's words in all.
+
+    ``docs`` should be a table: rows are dealt by their place, so they must be read in the same order by both passes (and again after a lost executor)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     total = text_bytes(rows, "text")

@@ -529,6 +529,22 @@ def test_secret_network(spark):
     assert got[0] == ["model"] and got[1] == []
 
 
+def test_long_findings_are_fitted_on_some_runs(spark):
+    rng = random.Random(5)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (30, 90, 5_000_000)]
+    text = " ".join(["words between", hexes[0], "thisisalongcandidateofletters", hexes[1], "and", hexes[2], "12345678901234567890"])
+    spans = secret_scan.candidates(text)
+    every, first = secret_scan.windows(text[:200], spans[:3])
+    some, at = secret_scan.windows(text[:200], spans[:3], most=64)
+    assert np.array_equal(every, some) and np.array_equal(first, at)  # up to 64 runs nothing is left out
+    codes, at = secret_scan.windows(text, spans, most=64)
+    assert list(np.diff([*at, len(codes)])) == [1, 1, 51, 64, 1]
+    long = secret_scan.windows(text, spans[3:4], 0, 1)[0]
+    assert np.array_equal(codes[at[3]], long[0])
+    found = spark.createDataFrame([(text,)], "text string").mapInArrow(secret_scan._findings, "codes binary, label int").collect()
+    assert len(found) == 5 and max(len(r.codes) for r in found) == 64 * secret_scan.WIDTH
+
+
 def test_secret_behind_words():
     """A secret behind 40 characters of words is judged too, and the threshold is the recall quantile however low."""
     net, x = secret_scan.Network(), "words/and/more/words/in/a/path/of/a/page/"
