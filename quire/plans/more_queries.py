@@ -224,7 +224,7 @@ class Digest:
         return asks.select("ask_id", "option", "pos", (F.greatest(recorded(self.salt, F.col("ask_id"), F.col("option")) - self.off, F.lit(0)) / 100).alias("p"))
 
 
-def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each brand's parts as options, by key."""
     a = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("ask_id"), _s("p_partkey").alias("option"), F.col("p_partkey").alias("pos"), F.lit("which one").alias("instruction"), F.lit("").alias("state"))
     return a.withColumn("pos", F.row_number().over(Window.partitionBy("ask_id").orderBy("pos")) - 1)
@@ -232,12 +232,12 @@ def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tournament(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The choice of each brand, by heats of 15 and finals that are asked anew."""
-    return decide.tournament(_options(spark, sf_dir), Digest("heat")).select("ask_id", "option", "p", "rounds")
+    return decide.tournament(_choices(spark, sf_dir), Digest("heat")).select("ask_id", "option", "p", "rounds")
 
 
 def choice_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each brand's parts ranked by choices of at most 40, again without the picks until 12 are ranked; a fifth of the answers is not nothing."""
-    out = decide.ranked_by_choice(_options(spark, sf_dir), Digest("rounds", 95), most=40)
+    out = decide.ranked_by_choice(_choices(spark, sf_dir), Digest("rounds", 95), most=40)
     return out.select("ask_id", "option", "rank", "round", quantised(F.col("score")).alias("score"), "p")
 
 
