@@ -22,7 +22,7 @@ CACHED = r"^ranked from cache"
 SECTION = r"^section (.+?)\s{2}p\.(\d+)-(\d+)…$"
 EXCERPT = r"^excerpt\s+(yes|no)\s+(\d\.\d\d)\s+(.+?)(?: \(excerpt\))?…?$"
 SCAN = r"^no outline: scanning"
-GATE = r"^(yes|no)\s+(\d\.\d\d)\s+(?:[\d.]+s jev\s+)?(.+)$"
+GATE = r"^(yes|no)\s+(\d\.\d\d)\s+(?:[\d.]+s \w+\s+)?(.+)$"
 VERDICT = r"^(take|keep|drop)\s+(.+) \(p=(\d\.\d\d)\)\s{2}(.+)$"
 CONTENTS = r"^toc\s+(.+?) \(p=(\d\.\d\d)\)\s{2}(.+?)\s{2}in "
 

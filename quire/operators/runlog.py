@@ -116,6 +116,26 @@ def placed(pages: DataFrame, gap: int, block: int = 4096) -> DataFrame:
     return own.join(sums, ["book", "__block"]).withColumn("top", F.col("__ahead") + F.col("__own")).drop("__block", "__own", "__ahead")
 
 
+def page_at(tops: DataFrame, probes: DataFrame, block: int = 4096) -> DataFrame:
+    """The page of each probe (``book``, ``y``, and what identifies it) in a laid out book: the last that starts at or above ``y``, the first above all, 1 in a book of no pages.
+
+    A page reaches to the next one's top; it and a probe meet by stretches of ``block``, so no book is searched by one task. ``tops``: ``book``, ``page``, ``top``."""
+    ends = F.coalesce(F.lead("top").over(Window.partitionBy("book").orderBy("page")) - 1, F.col("top"))
+    spans = tops.withColumn("__end", ends)
+    last = tops.groupBy("book").agg(F.max("top").alias("__last"), F.min("top").alias("__first"))
+    keyed = spans.withColumn("__key", F.explode(F.sequence(F.floor(F.col("top") / block), F.floor(F.col("__end") / block)))).select(F.col("book").alias("__book"), "page", "top", "__end", "__key")
+    held = probes.join(last, "book", "left").withColumn("__y", F.least(F.greatest("y", "__first"), "__last")).withColumn("__at", F.floor(F.col("__y") / block))
+    on = (F.col("book") == F.col("__book")) & (F.col("__at") == F.col("__key")) & F.col("__y").between(F.col("top"), F.col("__end"))
+    met = held.join(keyed, on, "left").withColumn("page", F.coalesce("page", F.lit(1)))
+    return met.select(*probes.columns, "page")
+
+
+def percent_box(box: Column, width: Column, height: Column) -> Column:
+    """A box (``x0``, ``y0``, ``x1``, ``y1``) as percentages of its page, to lay over the page at any size."""
+    share = lambda v, of: 100 * v / of
+    return F.struct(share(box["x0"], width).alias("left"), share(box["y0"], height).alias("top"), share(box["x1"] - box["x0"], width).alias("width"), share(box["y1"] - box["y0"], height).alias("height"))
+
+
 LINE = r"^(\s*)(.*?)(?:\s+\[(\d+) in, (\d+) out\])?$"
 
 

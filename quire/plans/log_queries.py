@@ -19,11 +19,11 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     verb = F.element_at(F.array(F.lit("take"), F.lit("keep"), F.lit("drop")), recorded("verb", F.col("conv_id").cast("string"), F.col("turn").cast("string")) % 3 + 1)
     forms = [
-        (0, say("ranked ", n("n", 30), " paths and 2 excerpts in 0.2s (jev 0.2s), ", n("k", 9), " above file floor 1.5")), (0, say("2.", page, "0  /shelf/", word, ".pdf…")), (0, say("2.", page, "0  /shelf/", word, ".pdf  (by p.3)…")),
+        (0, say("ranked ", n("n", 30), " paths and 2 excerpts in 0.2s (model 0.2s), ", n("k", 9), " above file floor 1.5")), (0, say("2.", page, "0  /shelf/", word, ".pdf…")), (0, say("2.", page, "0  /shelf/", word, ".pdf  (by p.3)…")),
         (0, say("1.", page, "0  /shelf/", word, ".pdf  --  no such file, skipped")), (1, say("ranked ", n("s", 3), " sections and ", n("e", 3), " excerpts in 0.1s")), (1, say("section ", word, "  p.", page, "-", page, "…")),
-        (1, say("section ", word, "  p.", page, "-9…")), (2, say("yes  ", score, "  ", word, " p.", page)), (2, say("no   ", score, "  0.2s jev  ", word, " p.", page)), (2, say(verb, "  ", n("a", 50), " (p=", score, ")  ", word, " p.", page)),
-        (2, say(verb, "  Open the box… (p=", score, ")  ", word, " p.", page, " (excerpt)")), (1, say("excerpt  yes  ", score, "  ", word, " p.", page, " (excerpt)…")), (1, say("excerpt  no   ", score, "  p.", page, " p.", page, " (excerpt)")),
-        (1, say("no outline: scanning 2 of 2 windows in page order…")), (1, say("toc   ", n("a", 50), " (p=", score, ")  ", word, "  in 0.4s (jev 0.4s)")), (0, say(word, ": how many…")),
+        (1, say("section ", word, "  p.", page, "-9…")), (2, say("yes  ", score, "  ", word, " p.", page)), (2, say("no   ", score, "  0.2s model  ", word, " p.", page)), (2, say(verb, "  ", n("a", 50), " (p=", score, ")  ", word, " p.", page)),
+        (2, say(verb, "  Lift the lid… (p=", score, ")  ", word, " p.", page, " (excerpt)")), (1, say("excerpt  yes  ", score, "  ", word, " p.", page, " (excerpt)…")), (1, say("excerpt  no   ", score, "  p.", page, " p.", page, " (excerpt)")),
+        (1, say("no outline: scanning 2 of 2 windows in page order…")), (1, say("toc   ", n("a", 50), " (p=", score, ")  ", word, "  in 0.4s (model 0.4s)")), (0, say(word, ": how many…")),
     ]
     form = F.get(F.array(*[F.struct(F.lit(d).alias("depth"), t.alias("text")) for d, t in forms]), pick)
     rows = c.select(F.floor(F.col("conv_id") / 10).alias("run"), "conv_id", "turn", form.alias("f"))

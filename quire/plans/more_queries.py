@@ -170,6 +170,14 @@ def viewer_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.placed(pages, 12).select("doc_id", "top")
 
 
+def viewer_page_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which page of its book a recorded scroll of each document shows, some above the first and some below the last."""
+    pages = paged(spark, sf_dir).select("book", "page", "doc_id", (F.length("text") % 400 + 100).cast("long").alias("height"))
+    tops = runlog.placed(pages, 12).select("book", "page", "top")
+    probes = pages.select("doc_id", "book", (recorded("y", _s("doc_id")) * 211 - 300).cast("long").alias("y"))
+    return runlog.page_at(tops, probes).select("doc_id", "y", "page")
+
+
 def coarse_to_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two best chapters of each book by recorded score, then everything under them by score: two stages of top k."""
     r = _ranges(spark, sf_dir).withColumn("score", recorded("rank", F.col("book"), F.col("path")))
@@ -308,7 +316,7 @@ def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.best_runs(lines.withColumn("share", share), "doc_id", 80)
 
 
-_ALL = (sentence_units, two_bar_names, trimmed_names, best_runs, number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, choice_rounds, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
+_ALL = (sentence_units, two_bar_names, trimmed_names, best_runs, number_words, display_forms, marks_dedup, json_reports, ranked_render, page_links, run_summary, request_validation, changed_options, offer_afresh, match_rows, question_pairs, trace_to_case, passage_confidence, spend_split, gauges, notes_with_rows, passage_regroup, history_remembered, viewer_layout, viewer_page_at, coarse_to_fine, unread_pages, merged_stores, list_values, entry_pieces, parsed_log, tournament, choice_rounds, score_levels, asked_again, side_by_side, repeatability, bar_sweep)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -375,6 +383,8 @@ SELECT l_orderkey, CAST(run AS BIGINT) AS run, min(para) AS para, arg_min(apart,
     "history_remembered": """WITH e AS (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS id, ts, event_id, event_type = 'purchase' AS pinned FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY "user", id ORDER BY ts DESC, event_id DESC) AS k FROM e),
 c AS (SELECT *, sum(CASE WHEN pinned THEN 0 ELSE 1 END) OVER (PARTITION BY "user" ORDER BY ts DESC, event_id DESC) AS n FROM n WHERE k = 1)
 SELECT "user", id, pinned, CAST(row_number() OVER (PARTITION BY "user" ORDER BY pinned DESC, ts DESC, event_id DESC) AS INTEGER) AS place FROM c WHERE pinned OR n <= 8""",
+    "viewer_page_at": f"""WITH {PAGES}, t AS (SELECT book, page, doc_id, coalesce(sum(length(text) % 400 + 112) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM pg),
+y AS (SELECT doc_id, book, CAST({_r('y', 'doc_id')} * 211 - 300 AS BIGINT) AS y FROM pg) SELECT y.doc_id, y, CAST(coalesce(max(page) FILTER (top <= y), 1) AS INTEGER) AS page FROM y JOIN t USING (book) GROUP BY y.doc_id, y""",
     "viewer_layout": f"WITH {PAGES} SELECT doc_id, CAST(coalesce(sum(length(text) % 400 + 112) OVER (PARTITION BY book ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM pg",
     "coarse_to_fine": f"""WITH {_RANGES}, s AS (SELECT *, {rec("'rank'", 'book', 'path')} AS score FROM rg), b AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, path) AS k FROM s WHERE depth = 1),
 f AS (SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM b WHERE b.k <= 2 AND b.book = s.book AND (b.path = s.path OR starts_with(s.path, b.path || ' > ')))), r AS (SELECT book, path, score, CAST(row_number() OVER (PARTITION BY book ORDER BY score DESC, path) AS INTEGER) AS rank FROM f) SELECT * FROM r WHERE rank <= 12""",

@@ -110,48 +110,48 @@ def rows(spark, text):
 
 
 SHELF = """--  /s/empty.pdf  --  empty file, left out of the ranking
-ranked 12 paths and 3 excerpts in 0.5s (jev 0.4s), 1 above file floor 1.5 (11 below)
+ranked 12 paths and 3 excerpts in 0.5s (model 0.4s), 1 above file floor 1.5 (11 below)
 2.90  /s/torn.pdf  --  cannot be opened, skipped
-2.70  /s/Guide.pdf  (by p.7)…
+2.70  /s/Field.pdf  (by p.7)…
   ranked 1 sections and 20 excerpts in 0.5s
   section Part I > Start  p.13-14…
-    gated 2 pages (batch 1/1), 0.2s jev, 2 yes  Part I > Start
+    gated 2 pages (batch 1/1), 0.2s model, 2 yes  Part I > Start
     no   0.78  Part I > Start p.13 (window 1/2)
     yes  0.76  Part I > Start p.14 (window 2/2)
     keep  None (p=0.66)  Part I > Start p.14 (window 2/2)
-    take  Open the box… (p=0.76)  Part I > Start p.13 (window 1/2)
+    take  Lift the lid… (p=0.76)  Part I > Start p.13 (window 1/2)
     drop  no (p=0.99)  Part I > Start p.14 (window 2/2)
-  section 1.8s (jev 0.7s)  Part I > Start
+  section 1.8s (model 0.7s)  Part I > Start
   excerpt  no   0.10  Lists p.20 (excerpt)
   excerpt  yes  0.99  Lists p.24 (excerpt)…
     take  410 (p=1.00)  Lists p.20 (excerpt)
-file 2.3s (jev 1.0s)  2 windows read"""
-CELLS = """Heart: how many…
+file 2.3s (model 1.0s)  2 windows read"""
+CELLS = """Oak: how many…
   ranked 9 paths and 0 excerpts in 0.2s
-  2.94  /s/heart.pdf…
+  2.94  /s/oak.pdf…
     no outline: scanning 2 of 2 windows in page order…
       no   0.45  p.1 (window 1/2)
       yes  0.95  p.2 (window 2/2)
-    no outline 0.2s (jev 0.2s)
+    no outline 0.2s (model 0.2s)
     section S  p.1-1…
       yes  0.81  S p.1
   file 2.5s
-Heart: how many: N/A (1 file opened)
-Manual: how many…
+Oak: how many: N/A (1 file opened)
+Elm: how many…
   ranked 9 paths and 0 excerpts in 0.4s, 3 above file floor 1.5
-  2.61  /s/manual.pdf…
+  2.61  /s/elm.pdf…
     ranked from cache in 0.1s
-    toc   9 (p=0.98)  Classes  in 0.4s
+    toc   9 (p=0.98)  Guilds  in 0.4s
 total 5.1s"""
-ALONE = "take  7 (p=1.00)  Skills p.1 (excerpt)\nkeep  8 (p=0.50)  Skills p.2\nyes  0.5  odd\nexcerpt  yes  0.98  p.1 p.1 (excerpt)…"
+ALONE = "take  7 (p=1.00)  Tools p.1 (excerpt)\nkeep  8 (p=0.50)  Tools p.2\nyes  0.5  odd\nexcerpt  yes  0.98  p.1 p.1 (excerpt)…"
 
 
 def test_logs(spark):
     want = held(rows(spark, [SHELF, CELLS, ALONE, "nothing here"]))
-    assert [f.get("path") for f in want[0][0]] == ["/s/empty.pdf", "/s/torn.pdf", "/s/Guide.pdf"]
+    assert [f.get("path") for f in want[0][0]] == ["/s/empty.pdf", "/s/torn.pdf", "/s/Field.pdf"]
     first = want[0][0][2]["reads"][0]
     assert (first["p"], first["gate"], first["verdict"], first["page"]) == (0.78, "yes", "take", 13)
-    assert [f["under"] for f in want[1][0]] == ["Heart: how many", "Manual: how many"] and [r["kind"] for r in want[1][0][0]["reads"]] == ["window", "window", "section"]
+    assert [f["under"] for f in want[1][0]] == ["Oak: how many", "Elm: how many"] and [r["kind"] for r in want[1][0][0]["reads"]] == ["window", "window", "section"]
 
 
 def test_logs_of_conversations(spark):

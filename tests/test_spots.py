@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import logwalk, spots
+from quire.operators import logwalk, runlog, spots
 from test_logwalk import ALONE, CELLS, SHELF, rows
 
 SHAPE = f"run int, kind string, hits array<{spots.HIT}>, table struct<rows:array<string>,columns:array<string>,cells:array<array<struct<kind:string,hit:{spots.HIT}>>>>"
@@ -37,6 +37,18 @@ def test_leads(spark):
     stopped = spark.createDataFrame([(0, None), (1, None), (2, "/one.pdf")], "run int, pdf string")
     got = spots.leads(stopped, logwalk.reads(log), logwalk.files(log)).orderBy("run").collect()
     # the second run took what its contents said, which names no page
-    assert [(r.run, r.pdf, r.section, r.page, r.snippet) for r in got] == [(0, "/s/Guide.pdf", "Lists p.20", 20, "410"), (2, "/one.pdf", "Skills p.1 (excerpt)", 1, "7")]
+    assert [(r.run, r.pdf, r.section, r.page, r.snippet) for r in got] == [(0, "/s/Field.pdf", "Lists p.20", 20, "410"), (2, "/one.pdf", "Tools p.1 (excerpt)", 1, "7")]
     assert {r.unmarked for r in got} == {spots.STOPPED}
     assert spots.leads(stopped.where(F.lit(False)), logwalk.reads(log), logwalk.files(log)).count() == 0
+
+
+def test_page_at(spark):
+    tops = spark.createDataFrame([("b", 1, 0), ("b", 2, 512), ("b", 3, 9000), ("c", 1, 40)], "book string, page int, top long")
+    probes = spark.createDataFrame([(i, "b", y) for i, y in enumerate([-5, 0, 511, 512, 8999, 9000, 10**9])] + [(7, "c", 3), (8, "none", 5)], "k int, book string, y long")
+    for block in (7, 4096):
+        assert [r.page for r in runlog.page_at(tops, probes, block).orderBy("k").collect()] == [1, 1, 1, 2, 2, 3, 3, 1, 1]
+
+
+def test_percent_box(spark):
+    row = spark.createDataFrame([((30.0, 50.0, 90.0, 60.0), 300.0, 400.0)], "b struct<x0:double,y0:double,x1:double,y1:double>, w double, h double")
+    assert tuple(row.select(runlog.percent_box(F.col("b"), F.col("w"), F.col("h")).alias("p")).head().p) == (10.0, 12.5, 20.0, 2.5)
