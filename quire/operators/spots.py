@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Why a hit has nothing marked on its page: the first that applies.
+# Why a hit has nothing marked on its page; the first that applies.
 OLD = "this run was saved before highlights were kept with each run"
 CONTENTS = "read off the table of contents; the page shown is where the section starts"
 STATEMENT = "a statement rests on no single line, so nothing is marked"
