@@ -116,7 +116,8 @@ def _send(longest: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
 
     def send(table: pa.Table) -> pa.Table:
         _, blocks = _blocks(table, longest)
-        found = np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(h for block in blocks for h in block.hashes)]))
+        found = np.concatenate([np.zeros(0, dtype=np.uint64), *(h for block in blocks for h in block.hashes)])
+        found.sort()
         first = _runs(found)
         counts = np.diff(np.concatenate([first, [len(found)]]))
         found = found[first]
@@ -186,10 +187,11 @@ def _spell(longest: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
                 place = (_bucket(hashes[may], buckets) << np.uint64(32)) | (hashes[may] & _LOW)
                 at = np.minimum(np.searchsorted(keys, place), max(len(keys) - 1, 0))
                 may = may[keys[at] == place] if len(keys) else may[:0]
-                found.append((hashes[may], first[may], np.full(len(may), n), np.full(len(may), i)))
+                found.append((hashes[may], *(x.astype(np.int32) for x in (first[may], np.full(len(may), n), np.full(len(may), i)))))  # places within a block of a MB or one piece
             block.hashes = block.first = None
             blocks.append(block)
-        hashes, first, n, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)
+        hashes, first, n, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int32)] * 3)
+        found.clear()
         order = np.argsort(hashes, kind="stable")
         begins = _runs(hashes[order])
         times = np.diff(np.concatenate([begins, [len(order)]]))
@@ -207,7 +209,7 @@ def _spell(longest: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
     return spell
 
 
-def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, group_bytes: int = 8 << 20, bucket_ngrams: int = 1 << 21) -> DataFrame:
+def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10, group_bytes: int = 4 << 20, bucket_ngrams: int = 1 << 21) -> DataFrame:
     """``lang``, ``words`` (how many), ``phrase`` and ``f`` of every n-gram met ``least`` times or more in its language; with 0 words, a language's words in all.
 
     ``docs`` should be a table: rows are dealt by their place, so they must be read in the same order by both passes (and again after a lost executor)."""

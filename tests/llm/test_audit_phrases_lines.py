@@ -1,13 +1,16 @@
 """The filter audit, the collocations and the line dedup against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import inspect
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import audit, lines, phrases, queries
@@ -131,6 +134,27 @@ def test_collocations(docs, none, rows, longest, share, partition_rows):
     assert phrases.collocations(none).count() == 0
 
 
+def test_a_group_takes_little_memory():
+    """Two tasks of an executor spell a group each beside the JVM: arrays of one take 180 MB at most."""
+    rng = np.random.default_rng(9)
+    size = inspect.signature(phrases.counts).parameters["group_bytes"].default
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400).clip(max=50_000)) for _ in range(size // 1600)]
+    docs = pa.table({"g": pa.array([0] * len(texts), pa.int64()), "lang": ["en"] * len(texts), "text": texts})
+    peaks = []
+    tracemalloc.start()
+    try:
+        sent = phrases._send(3, 4)(docs)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        known = pa.table({"bucket": sent["bucket"], "hashes": sent["more"]})
+        tracemalloc.reset_peak()
+        spelled = phrases._spell(3, 4)(docs, known)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert sum(len(t) + 1 for t in texts) > 0.8 * size and spelled.num_rows > 50_000
+    assert max(peaks) < 180e6, peaks
+
+
 def test_scores_pass_64_bits(spark):
     rows = [("und", 0, "", 10**13)] + [("und", 1, w, 4 * 10**12) for w in ("a", "b")] + [("und", 2, "a b", 3 * 10**12)]
     saved = phrases.counts
