@@ -301,13 +301,14 @@ def _bands(hashes: np.ndarray) -> np.ndarray:
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, sets = [], [], []
+            nodes, prints, keys, sets = [], [], [], []
             for text in as_bytes(batch["text"]):
                 own = np.unique(shingle_hashes(text, shingle))
+                prints.append(majority(own))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 keys.append(_bands(own).view(np.int64).tolist() if len(own) else [])
                 sets.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "hash", "node", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["hash"], *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, prints)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "hash", "node", "print", "keys", "shingles"])
 
     return run
 
@@ -338,14 +339,23 @@ def _similar_in_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def similar_links(sets: DataFrame, block: int = 256) -> DataFrame:
+def close_keys(sets: DataFrame, bits: int = 4, blocks: int = 3) -> DataFrame:
+    """``node`` and ``key`` of ``sets`` (``node``, ``print``; rows of one node are alike): one key for what links of fingerprints within ``bits`` connect, found by the vantage-point trees."""
+    prints = written(sets.select(F.col("print").alias("node"), "print", F.lit(None).cast("binary").alias("sketch")).distinct())
+    roots = components(close_links(prints, bits, blocks)).withColumnRenamed("node", "print")
+    return written(sets.select("node", "print").distinct().join(roots, "print", "left").select("node", F.coalesce("root", "print").alias("key")))
+
+
+def similar_links(sets: DataFrame, block: int = 256, close: DataFrame | None = None) -> DataFrame:
     """A forest (``a``, ``b``) with the components of all pairs of ``sets`` (``node``, ``keys``, ``shingles``; rows of one node are
-    alike) that share a band key and have a Jaccard similarity of ``JACCARD`` at least. Only nodes that share a key send their shingles.
+    alike) that share a band key, or a key of ``close`` (``node``, ``key``), and have a Jaccard similarity of ``JACCARD`` at least. Only nodes that share a key send their shingles.
 
     A group is the nodes of one key; groups of the same nodes are compared once. One of over ``block`` nodes is dealt in
     blocks, every two of which meet in one task, so that no pair is left out and none is large.
     """
     keyed = sets.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.posexplode("keys").alias("band", "key"))
+    if close is not None:
+        keyed = keyed.unionAll(close.select("node", F.lit(-1).alias("band"), "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     keyed = written(keyed.join(sizes, ["band", "key"]).select("node", F.xxhash64("band", "key").alias("group"), "n"))
     small = keyed.where(F.col("n") <= block).groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
@@ -364,8 +374,8 @@ def similar_links(sets: DataFrame, block: int = 256) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``id``, ``hash`` (of the text), ``node`` and ``root`` (one node of its group) of every document."""
     given = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
-    every = written(given.mapInArrow(_shingle_sets(shingle), f"id {given.schema['id'].dataType.simpleString()}, hash long, node long, keys array<long>, shingles binary"))
-    roots = components(similar_links(every.select("node", "keys", "shingles")))
+    every = written(given.mapInArrow(_shingle_sets(shingle), f"id {given.schema['id'].dataType.simpleString()}, hash long, node long, print long, keys array<long>, shingles binary"))
+    roots = components(similar_links(every.select("node", "keys", "shingles"), close=close_keys(every)))
     return every.select("id", "hash", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -373,7 +383,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One document, with its columns, of each group of near copies: the one of the smallest id (null is the largest), then of the smallest hash of its text (Jaccard similarity of their
     different five-word shingles of 0.8 or more, decided on 32 bits of the shingles' hashes; groups are what such pairs connect).
 
-    Candidates agree in one of 16 bands of 4 least hashes, each of other mixings of the shingles: at Jaccard s by a chance of
+    Candidates are what SimHash finds (fingerprints of the same shingles linked within 4 bits by the vantage-point trees, and what such links connect), and those that agree in one of 16 bands of 4 least hashes, each of other mixings of the shingles: at Jaccard s by a chance of
     1 - (1 - s^4)^16, which is 0.9998 at 0.8. Of rows of one id and text one stays; an id whose texts are in different groups stays in each.
     """
     found = similar_groups(docs, id_col, text_col)

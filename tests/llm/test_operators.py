@@ -198,6 +198,25 @@ def test_keep_first_decides_by_jaccard(spark):
     assert set(range(len(texts))) - left == gone
 
 
+def test_similar_links_of_close_fingerprints(spark):
+    """What the trees link is compared though no band key is shared; what is not alike stays apart."""
+    rng = random.Random(14)
+    a, b, c = (rng.getrandbits(64) for _ in range(3))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    prints = [a, a ^ 0x8000000000001001, a ^ 0x8000000000001001 ^ 0xF00000000, b, b, c]  # a chain, one fingerprint of two nodes, one by itself
+    shingles = [range(100), range(5, 105), range(10, 110), range(200, 300), range(200, 301), range(100)]
+    rows = [(n, signed(p), [n], np.array(s, dtype=np.uint32).tobytes()) for n, (p, s) in enumerate(zip(prints, shingles, strict=True))]
+    rows += [(6, signed(b ^ 1), [6], np.array(range(900, 1000), dtype=np.uint32).tobytes())]  # close, but nothing shared
+    sets = spark.createDataFrame(rows, "node long, print long, keys array<long>, shingles binary")
+    close = simhash.close_keys(sets)
+    keys = {r.node: r.key for r in close.collect()}
+    assert sorted(keys) == list(range(7)) and keys[0] == keys[1] == keys[2] and keys[3] == keys[4] == keys[6] and len(set(keys.values())) == 3
+    groups = {}
+    for r in simhash.components(simhash.similar_links(sets, close=close)).collect():
+        groups.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2], [3, 4]]
+
+
 def test_similar_links_in_blocks(spark):
     """A crowded key is compared in blocks, and none of its pairs is left out."""
     rng = random.Random(13)
