@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -605,6 +606,22 @@ def test_secret_threshold_is_the_recall_quantile(spark, monkeypatch):
     assert abs(net.threshold - 1 / (1 + np.exp(2))) < 1e-9
 
 
+def test_words_remembered(monkeypatch):
+    """Packing makes a word's ids once as long as it may remember as many, and again when it may not; the result is the same."""
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    texts = [" ".join(vocabulary[k : k + 50]) for _ in range(3) for k in range(0, 150, 50)]
+    made, make = [], packing.WordIds.made
+    monkeypatch.setattr(packing.WordIds, "made", lambda self, word: made.append(word) or make(self, word))
+    monkeypatch.setattr(packing, "_tokenizers", {})
+    out = []
+    for most, times in ((150, 150), (20, 450)):
+        batches = (pa.RecordBatch.from_pydict({"id": [i], "text": [t]}) for i, t in enumerate(texts))
+        out.append([b.to_pydict() for b in packing._run(packing.public_tokenizers.path("word_bpe_49k.json"), 2048, 512, 512, most)(batches)])
+        assert len(made) == times, most
+        made.clear()
+    assert out[0] == out[1]
+
+
 def test_warc(spark):
     odd = "a\r\n\r\nWARC/1.1\r\n\r\n\r"
     table = [(1, "http://x", odd), (2, None, None), (3, "u", ""), (4, "é\n", "é" * 3000 + "\r\n" * 7), (5, "q", "\r\n"), (None, "z", odd), (6, "q", "é" * 3000 + "\r\n" * 7), (7, "r", odd), (7, "r", odd), (8, "s", None)]
