@@ -20,8 +20,7 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 from operator import itemgetter
 
 import numpy as np
@@ -49,6 +48,22 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _STAND_INS = {**{b: chr(b) for b in _PLAIN}, **{b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}}
 
 
+class _Known(dict):
+    """Ids by word. One that is missing is taken over from ``older`` or made, so that each word of a text is looked up once."""
+
+    def __init__(self, make: Callable[[bytes], bytes], older: dict[bytes, bytes]):
+        self.make, self.older, self.long = make, older, []
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+            if len(word) > 64:
+                self.long.append(word)
+        self[word] = ids
+        return ids
+
+
 class WordIds:
     """Little-endian 32-bit token ids of texts (UTF-8), word by word.
 
@@ -59,7 +74,7 @@ class WordIds:
     def __init__(self, path: str, most: int = REMEMBERED):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.merge = self.tokenizer.model.tokenize
-        self.words, self.older_words, self.stems, self.older_stems = {}, {}, {}, {}
+        self.words, self.stems, self.older_stems = _Known(self.made, {}), {}, {}
         probe = "Éducation thing's, unlike. Stra\u00dfe"
         self.plain = all(self.merged(w.lower()) == self.encoded(w) for w in re.findall(_SIMPLE.pattern.partition(")")[0][1:], probe))
 
@@ -101,22 +116,15 @@ class WordIds:
     def of(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Words are looked up here and made once; long ones are forgotten with the call."""
         if len(self.words) > self.most:
-            self.older_words, self.words = self.words, {}
+            self.words.older = {}
+            self.words = _Known(self.made, self.words)
         if len(self.stems) > self.most:
             self.older_stems, self.stems = self.stems, {}
-        split = [t.split() for t in texts]
-        words, older, made = self.words, self.older_words, self.made
-        long = []
-        new = set(chain.from_iterable(split)).difference(words)
-        again = new.intersection(older)
-        words.update(zip(again, map(older.__getitem__, again), strict=True))
-        for word in new.difference(again):
-            words[word] = made(word)
-            if len(word) > 64:
-                long.append(word)
-        out = [b"".join(map(words.__getitem__, s)) for s in split]
-        for word in long:
+        words = self.words
+        out = [b"".join(map(words.__getitem__, t.split())) for t in texts]
+        for word in words.long:
             del words[word]
+        words.long.clear()
         return out
 
 

@@ -622,6 +622,25 @@ def test_words_remembered(monkeypatch):
     assert out[0] == out[1]
 
 
+def test_older_words_are_looked_up_not_walked():
+    """A text's words are looked up among the older ones; what is remembered costs no pass for each batch of texts."""
+
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    own = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), 20)
+    texts = [" ".join(f"word{i}" for i in range(a, a + 30)).encode() for a in (0, 30, 25, 0)]
+    for text in texts[:2]:
+        assert own.of([text]) == [own.encoded(text.decode())]
+    assert len(own.words.older) >= 30 and not own.words.older.older  # of two generations only
+    for text in texts[2:]:
+        own.words.older = Older(own.words.older)
+        assert own.of([text]) == [own.encoded(text.decode())]
+    long = b"x" * 65
+    assert own.of([long]) == [own.encoded(long.decode())] and long not in own.words
+
+
 def test_warc(spark):
     odd = "a\r\n\r\nWARC/1.1\r\n\r\n\r"
     table = [(1, "http://x", odd), (2, None, None), (3, "u", ""), (4, "é\n", "é" * 3000 + "\r\n" * 7), (5, "q", "\r\n"), (None, "z", odd), (6, "q", "é" * 3000 + "\r\n" * 7), (7, "r", odd), (7, "r", odd), (8, "s", None)]
