@@ -95,20 +95,35 @@ def _means(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
 
+def _index_type(bits: int) -> np.dtype:
+    return np.min_scalar_type((2 << bits) - 1)
+
+
+def _unpacked(at: bytes, size: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's indexes, and their counts as shares of their family."""
+    index = np.frombuffer(at, _index_type(bits))
+    counts = np.frombuffer(size, f"u{len(size) // max(1, len(index)) or 1}")
+    cut = np.searchsorted(index, 1 << bits)
+    return index, np.concatenate([x / max(1, x.sum()) for x in (counts[:cut], counts[cut:])]).astype(np.float32)
+
+
 def _featurise(bits: int):
+    """What the driver gets of a text: indexes, and their counts, in as few bytes as they need."""
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, at, size = as_bytes(batch["text"]), [], []
             for a, b in slices(texts):
                 both = _grams(texts[a:b], bits)
                 for i in range(b - a):
-                    ids, values = [], []
+                    ids, found = [], []
                     for family, (index, offsets) in enumerate(both):
                         own, counts = np.unique(index[offsets[i] : offsets[i + 1]], return_counts=True)
                         ids.append(own + (family << bits))
-                        values.append(counts / max(1, counts.sum()))
-                    at.append(np.concatenate(ids).astype(np.int32).tobytes())
-                    size.append(np.concatenate(values).astype(np.float32).tobytes())
+                        found.append(counts)
+                    counts = np.concatenate(found)
+                    at.append(np.concatenate(ids).astype(_index_type(bits)).tobytes())
+                    size.append(counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes())
             yield pa.RecordBatch.from_arrays([batch["label"], batch["fold"], pa.array(at, pa.binary()), pa.array(size, pa.binary())], ["label", "fold", "at", "size"])
 
     return features
@@ -125,33 +140,53 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")  # at most 2 * sample small rows
     one = rows.groupBy("id", "label", "draw").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # so at most 2 * sample rows, the same ones in every run
     one = one.select("text", "label", (F.pmod("draw", F.lit(5)) == 0).alias("fold"), "draw", "id").coalesce(8).sortWithinPartitions("draw", "id")
-    got = one.select("text", "label", "fold").mapInArrow(_featurise(bits), "label int, fold boolean, at binary, size binary").toPandas()
-    got = got.sort_values(["label", "at", "size"], kind="stable")
-    y, held = got["label"].to_numpy(dtype=float), got["fold"].to_numpy(dtype=bool)
+    got = one.select("text", "label", "fold").mapInArrow(_featurise(bits), "label int, fold boolean, at binary, size binary").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("label", "at", "size", "fold")])
+    y, held = got["label"].to_numpy().astype(float), got["fold"].to_numpy()
     if len(set(y[~held])) < 2:
         return None
-    at, size = [np.frombuffer(x, np.int32) for x in got["at"]], [np.frombuffer(x, np.float32) for x in got["size"]]
-    return train(at, size, y, held, odds, bits, rounds)
+    at, size = zip(*(_unpacked(x.as_py(), n.as_py(), bits) for x, n in zip(got["at"], got["size"], strict=True)), strict=True)
+    return train(list(at), list(size), y, held, odds, bits, rounds)
+
+
+#: Values that training unfolds at a time.
+BLOCK = 1 << 18
 
 
 def train(at: list[np.ndarray], size: list[np.ndarray], y: np.ndarray, held: np.ndarray, odds: dict[int, int], bits: int, rounds: int) -> dict:
-    """Logistic regression by Adam on all rows at once, on inverse-frequency scaled features; Platt scaling on ``held``."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in at])])
-    at, size = np.concatenate(at), np.concatenate(size).astype(np.float64)
-    row = np.repeat(np.arange(len(y)), np.diff(offsets))
-    scale = 1.0 / np.sqrt(np.bincount(at, size, minlength=2 << bits) / len(y) + 1e-6)
-    size = size * scale[at]
+    """Logistic regression by Adam, each step over all rows (unfolded ``BLOCK`` values at a time), on inverse-frequency scaled features; Platt scaling on ``held``."""
+    offsets, cuts = np.concatenate([[0], np.cumsum([len(x) for x in at])]), list(slices(at, BLOCK))
+    at, size = np.concatenate(at), np.concatenate(size)
+    total = np.zeros(2 << bits)
+    for low, high in cuts:
+        own = slice(offsets[low], offsets[high])
+        total += np.bincount(at[own], size[own], minlength=2 << bits)
+    scale = 1.0 / np.sqrt(total / len(y) + 1e-6)
+
+    def blocks() -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows, and the index, scaled size and row of each of their values."""
+        for low, high in cuts:
+            own = slice(offsets[low], offsets[high])
+            index = at[own].astype(np.int64)
+            yield slice(low, high), index, size[own] * scale[index], np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+
     w, b, m, v = np.zeros(2 << bits), 0.0, np.zeros((2 << bits) + 1), np.zeros((2 << bits) + 1)
     weight = np.where(held, 0.0, 1.0)
     weight /= weight.sum()
     margin = np.zeros(len(y))
-    for k in range(1, rounds + 1):
-        miss = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        g = np.append(np.bincount(at, size * miss[row], minlength=2 << bits) + 1e-4 * w / len(w), miss.sum())
+    for k in range(1, rounds + 2):
+        miss, g = np.zeros(len(y)), np.zeros(2 << bits)
+        for rows, index, value, row in blocks():
+            margin[rows] = np.bincount(row, w[index] * value, minlength=rows.stop - rows.start) + b
+            if k <= rounds:
+                miss[rows] = weight[rows] * (1 / (1 + np.exp(-np.clip(margin[rows], -30, 30))) - y[rows])
+                g += np.bincount(index, value * miss[rows][row], minlength=2 << bits)
+        if k > rounds:
+            break
+        g = np.append(g + 1e-4 * w / len(w), miss.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-10)
         w, b = w - step[:-1], b - step[-1]
-        margin = np.bincount(row, w[at] * size, minlength=len(y)) + b
     fit_on = held if len(set(y[held])) == 2 else ~held
     slope, shift = platt(margin[fit_on], y[fit_on])
     shift += np.log(odds[1] / odds[0]) - np.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))

@@ -239,7 +239,7 @@ def close_links(nodes: DataFrame, bits: int, blocks: int, sketch_bits: int = 0,
     ``sample`` fingerprints (the smallest hashes) place the splits; they decide how even the leaves are, not what is found.
     """
     spark, count = nodes.sparkSession, nodes.count()
-    few = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("print").toPandas()["print"].to_numpy(dtype=np.int64).view(np.uint64)
+    few = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("print").toArrow()["print"].to_numpy().view(np.uint64)  # merged by a task, not here
     trees = Trees(few, count, bits, blocks, leaf)
     large = nodes.select("print").mapInArrow(_homes(trees), "tree int, leaf long").groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > part)
     # as a table its size is known: Spark sends it to the rows where it is small, and they are shuffled once
@@ -254,19 +254,20 @@ def close_links(nodes: DataFrame, bits: int, blocks: int, sketch_bits: int = 0,
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the smallest node reachable) of every node of ``links``, which it writes at each step."""
+    """``node`` and ``root`` (the smallest node reachable) of every node of ``links``, which it writes at each step. It ends when all edges are stars: no node leads to
+    two others or to one that leads on; as edges lead to smaller nodes, a star's middle is its smallest."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     while True:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("middle")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+        most = ends.groupBy("node").agg((F.sum("up") + F.max("middle")).alias("n")).agg(F.max("n")).head()[0]
+        if (most or 0) < 2:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        kept = after.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.count() == after.count()
-        edges = after
-        if kept:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        edges = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 4, blocks: int = 3, distinct: bool = False, sketch_shingle: int = 0, sketch_bits: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -199,6 +200,20 @@ def test_keep_first_decides_by_jaccard(spark):
     assert set(range(len(texts))) - left == gone
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """Links that are stars are written once; others, once more for each step that changes them."""
+    writes, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df: writes.append(1) or write(df))
+    chain = [(i, i + 1) for i in range(9)]
+    for links, times in (([(5, 1), (1, 6), (9, 2)], 1), ([], 1), ([(1, 2), (2, 3)], 2), (chain, None)):
+        writes.clear()
+        found = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        up = {n: n for x in links for n in x}
+        for a, b in links * len(links):
+            up[a] = up[b] = min(up[a], up[b])
+        assert found == up and (times is None or len(writes) == times), links
+
+
 def test_similar_links_of_close_fingerprints(spark):
     """What the trees link is compared though no band key is shared; what is not alike stays apart."""
     rng = random.Random(14)
@@ -356,6 +371,29 @@ def test_quality_learns(spark):
     assert np.mean([got[i] == bool(y) for i, _, y in data[200:]]) > 0.95
 
 
+def test_quality_trains_in_little_memory(monkeypatch):
+    """Values come packed, and are unfolded some at a time; the model is that of all at once."""
+    rng = np.random.default_rng(4)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 500, 3000)).encode().decode()
+    batch = pa.RecordBatch.from_pydict({"label": [1, 0], "fold": [False, True], "text": [text, None]})
+    (out,) = quality._featurise(15)(iter([batch]))
+    at, size = quality._unpacked(out["at"][0].as_py(), out["size"][0].as_py(), 15)
+    assert len(out["at"][0].as_py()) + len(out["size"][0].as_py()) <= 4 * len(at)
+    assert abs(size[at < 1 << 15].sum() - 1) < 1e-4 and abs(size[at >= 1 << 15].sum() - 1) < 1e-4
+    assert len(quality._unpacked(out["at"][1].as_py(), out["size"][1].as_py(), 15)[0]) == 0
+
+    ats = [np.sort(rng.choice(1 << 16, 1000, replace=False)).astype(np.uint16) for _ in range(2000)]
+    sizes, y, held = [np.full(1000, 1e-3, np.float32)] * 2000, np.arange(2000) % 2.0, np.arange(2000) % 5 == 0
+    tracemalloc.start()
+    first = quality.train(ats, sizes, y, held, {0: 1, 1: 1}, 15, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6, peak
+    monkeypatch.setattr(quality, "BLOCK", 10_000_000)
+    whole = quality.train(ats, sizes, y, held, {0: 1, 1: 1}, 15, 2)
+    assert np.allclose(first["w"], whole["w"], rtol=1e-4) and abs(first["b"] - whole["b"]) < 1e-6
+
+
 def test_language(spark, docs, none):
     rng = random.Random(4)
     bags = {"x": "abcde", "y": "fghij", "z": "klmno"}
