@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quire.llm import langid, mixing, packing, quality, secret_scan, simhash, substring, urls, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, id string, g int, print int, node int, size int, row int, draw int"
@@ -706,3 +707,33 @@ def test_warc_chunks(spark, tmp_path):
     for r in rows:
         seen += bytes(r.data)
         assert (r.payload_bytes, r.payload_digest) == (len(seen), base64.b32encode(hashlib.sha1(seen).digest()).decode())
+
+
+def test_pipeline_sends_small_batches(spark, monkeypatch):
+    """What a stage sends to Python at once is bounded by bytes: long texts do not come by their number."""
+    rng, key = random.Random(3), "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(5000)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, s, "en", "a", len(s)) for i, s in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+
+    def within(run):
+        def checked(batches):
+            for batch in batches:
+                assert batch.nbytes < 5 << 20, f"a batch of {batch.nbytes} bytes"
+                yield batch
+
+        return lambda batches: run(checked(batches))
+
+    for module, name in ((quality, "_judge"), (simhash, "_shingle_sets"), (secret_scan, "_scan"), (packing, "_run")):
+        monkeypatch.setattr(module, name, lambda *a, real=getattr(module, name): within(real(*a)))
+    monkeypatch.setattr(secret_scan, "_pieces", within(secret_scan._pieces))
+    monkeypatch.setattr(quality, "fit", lambda *a: None)
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.redact_secrets, corpus_pipeline.pack):
+        spark.conf.unset(key)
+        assert {r.doc_id for r in stage(spark, docs, "").select("doc_id").collect()} == set(range(300))
+    spark.conf.unset(key)
+    monkeypatch.setattr(type(spark.read), "parquet", lambda *a: labels)
+    assert corpus_pipeline.quality_rules(spark, docs, "").count() == 300
+    spark.conf.set(key, "1m")  # the session's own limit stays
+    assert corpus_pipeline.small_batches(spark).conf.get(key) == "1m"
+    spark.conf.unset(key)
