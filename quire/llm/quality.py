@@ -29,6 +29,8 @@ MAX_REPEAT_PERCENT = 20
 KEEP_FROM = 0.5
 BITS = 15
 CHAR_N = 4
+#: Bytes of texts that are hashed at a time; hashing takes about forty bytes a byte.
+SLICE = 1 << 18
 
 
 def repeat_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
@@ -113,7 +115,7 @@ def _featurise(bits: int):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, at, size = as_bytes(batch["text"]), [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 both = _grams(texts[a:b], bits)
                 for i in range(b - a):
                     ids, found = [], []
@@ -209,7 +211,7 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def probabilities(texts: list[bytes], model: dict) -> np.ndarray:
     out = [np.zeros(0)]
-    for a, b in slices(texts):
+    for a, b in slices(texts, SLICE):
         score = np.full(b - a, model["b"])
         for family, (index, offsets) in enumerate(_grams(texts[a:b], model["bits"])):
             score += _means(model["w"][index + (family << model["bits"])], offsets)

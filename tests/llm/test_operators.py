@@ -395,6 +395,20 @@ def test_quality_trains_in_little_memory(monkeypatch):
     assert np.allclose(first["w"], whole["w"], rtol=1e-4) and abs(first["b"] - whole["b"]) < 1e-6
 
 
+def test_quality_judges_in_little_memory():
+    """Hashing takes many bytes a byte of a text, so few texts are hashed at a time, whatever the batch."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(400)).encode() for _ in range(1000)]
+    model = {"w": np.linspace(-1, 1, 2 << quality.BITS).astype(np.float32), "b": 0.1, "bits": quality.BITS}
+    alone = np.concatenate([quality.probabilities([t], model) for t in texts[:50]])
+    tracemalloc.start()
+    together = quality.probabilities(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(together[:50], alone, rtol=0, atol=1e-9)
+    assert peak < 40e6, f"{peak / 1e6:.0f} MB"
+
+
 def test_language(spark, docs, none):
     rng = random.Random(4)
     bags = {"x": "abcde", "y": "fghij", "z": "klmno"}
