@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import rich_text
+from quire.functions.text import rich_text, upper
 from quire.operators import store
 from quire.plans._q import PAGES, documents, paged
 from quire.plans.answer_queries import rec, recorded
@@ -58,8 +58,8 @@ def cache_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as questions asked of their role's book, most of them more than once; the rankings that are kept, as they are embedded."""
     c = shelf.table(spark, sf_dir, "conversations")
     key = (F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    words = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 1), " ")
-    asked = F.when(recorded("form", *key) % 2 == 0, F.upper(words)).otherwise(F.concat(words, F.lit(" ")))
+    words = F.array_join(F.slice(F.split(F.trim("text"), "[\t\n\f\r ]+"), 1, 1), " ")
+    asked = F.when(recorded("form", *key) % 2 == 0, upper(words)).otherwise(F.concat(words, F.lit(" ")))
     flag = lambda salt, bar: recorded(salt, *key) < bar
     rows = c.select(F.col("role").alias("book"), asked.alias("question"), (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), F.array(F.lit("a"), F.col("turn").cast("string")).alias("top"), flag("cached", 20).alias("cached"), flag("confined", 20).alias("confined"), (recorded("ranked", *key) - 10).alias("ranked"), recorded("hits", *key).alias("h")).withColumn("hits", F.floor(F.col("h") / 40))
     kept = store.stored_rankings(rows.where("at % 2 = 0 and not cached"), rows.where("at % 2 = 1"))
