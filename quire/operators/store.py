@@ -11,12 +11,14 @@ import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import chunks, same_words
-from quire.operators.vector import cosine
+from quire.operators import meeting
+from quire.session import small_batches, written
 
 # Characters of a chunk, texts of a call, and how many pages a shortlist is made of.
 CHUNK_CHARS, TEXTS_A_CALL, SHORTLIST_PAGES = 6000, 8, 20
@@ -37,7 +39,7 @@ class Letters:
     model = "letters"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [[float(t.count(chr(97 + i))) for i in range(26)] for t in texts]
+        return [np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)[97:123].astype(float).tolist() for t in texts]
 
 
 def text_hash(text: Column) -> Column:
@@ -62,7 +64,8 @@ class VectorStore:
 
     def missing(self, texts: DataFrame) -> DataFrame:
         """The different ``text``s that have no vector yet, with their ``hash``."""
-        own = texts.select(text_hash(F.col("text")).alias("hash"), "text").where("text is not null").dropDuplicates(["hash"])
+        hashed = F.col("__hash") if "__hash" in texts.columns else text_hash(F.col("text"))
+        own = texts.select(hashed.alias("hash"), "text").where("text is not null").dropDuplicates(["hash"])
         return own.join(self.vectors().select("hash"), "hash", "left_anti")
 
     def fill(self, texts: DataFrame) -> int:
@@ -71,19 +74,20 @@ class VectorStore:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, TEXTS_A_CALL):
-                    part = batch.slice(at, TEXTS_A_CALL)
-                    vectors = embedder.embed(part["text"].to_pylist())
-                    yield pa.RecordBatch.from_pydict({"model": pa.array([embedder.model] * len(part), pa.string()), "hash": part["hash"], "vector": pa.array(vectors, pa.list_(pa.float64()))})
+                calls = (batch["text"].slice(at, TEXTS_A_CALL).to_pylist() for at in range(0, batch.num_rows, TEXTS_A_CALL))
+                vectors = [v for texts in calls for v in embedder.embed(texts)]
+                yield pa.RecordBatch.from_pydict({"model": pa.array([embedder.model] * len(batch), pa.string()), "hash": batch["hash"], "vector": pa.array(vectors, pa.list_(pa.float64()))})
 
+        small_batches(self.spark)
         before = self.vectors().count()
         self.missing(texts).mapInArrow(run, SCHEMA).write.parquet(f"{self.folder}/vectors/{uuid.uuid4().hex}")
         return self.vectors().count() - before
 
     def of(self, texts: DataFrame) -> DataFrame:
         """``texts`` with their ``vector``s, filled first."""
-        self.fill(texts)
-        return texts.withColumn("hash", text_hash(F.col("text"))).join(self.vectors(), "hash", "left").drop("hash")
+        hashed = written(texts.withColumn("__hash", text_hash(F.col("text"))))  # read twice; cutting texts costs more than writing them
+        self.fill(hashed)
+        return hashed.withColumnRenamed("__hash", "hash").join(self.vectors(), "hash", "left").drop("hash")
 
 
 def page_chunks(pages: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
@@ -91,14 +95,13 @@ def page_chunks(pages: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
     return pages.select("book", "page", F.explode(chunks(F.col("text"), chars)).alias("text"))
 
 
-def similar_pages(questions: DataFrame, pages: DataFrame, store: VectorStore, chars: int = CHUNK_CHARS) -> DataFrame:
-    """For each question (``qid``, ``book``, ``text``) the pages of its book by the cosine of their best chunk, in millionths (a page without text -1000000)."""
-    held = store.of(page_chunks(pages, chars)).select("book", "page", "vector")
-    asked = store.of(questions).select("qid", "book", F.col("vector").alias("__q"))
-    met = held.join(asked, "book").groupBy("qid", "book", "page").agg(F.max(cosine(F.col("vector"), F.col("__q"))).alias("c"))
-    every = pages.select("book", "page").join(questions.select("qid", "book"), "book")
-    micro = F.coalesce(F.floor(F.col("c") * 1e6 + 0.5).cast("long"), F.lit(-1_000_000))
-    return every.join(met, ["qid", "book", "page"], "left").select("qid", "book", "page", micro.alias("micro"))
+def similar_pages(questions: DataFrame, pages: DataFrame, store: VectorStore, chars: int = CHUNK_CHARS, most: int | None = None) -> DataFrame:
+    """For each question (``qid``, ``book``, ``text``) the pages of its book by the cosine of their best chunk, in millionths (a page without text -1000000).
+    With ``most`` only pages that can be among a question's ``most`` best, for a shortlist to rank."""
+    every = pages.select("book", "page", F.lit(None).cast("array<double>").alias("v"))
+    held = written(store.of(page_chunks(pages, chars)).select("book", "page", F.col("vector").alias("v")).unionByName(every))
+    asked = written(store.of(questions).select("qid", "book", F.col("vector").alias("v")))
+    return meeting.similar(held, asked, most)
 
 
 def shortlist(similar: DataFrame, excerpts: DataFrame, sections: DataFrame, most: int = SHORTLIST_PAGES) -> DataFrame:

@@ -10,7 +10,7 @@ from quire.operators import store
 from quire.plans._q import PAGES, documents, paged
 from quire.plans.answer_queries import rec, recorded
 from quire.plans.outline_queries import _SECTIONS
-from quire.session import shared_folder
+from quire.session import shared_folder, written
 from quire.sources import shelf
 
 CHUNK = 900
@@ -40,7 +40,7 @@ def vectors_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shortlist_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that hold a question's five best pages by stored vectors, or its excerpts' pages (here: with the longest first line)."""
-    pages = paged(spark, sf_dir)
+    pages = written(paged(spark, sf_dir))
     asked = _asked(pages)
     similar = store.similar_pages(asked, pages, _store(spark), CHUNK)
     line = F.length(F.substring_index("text", "\n", 1))
@@ -50,7 +50,7 @@ def shortlist_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = paged(spark, sf_dir)
+    pages = written(paged(spark, sf_dir))
     return store.similar_pages(_asked(pages), pages, _store(spark), CHUNK)
 
 
