@@ -42,7 +42,7 @@ def shortlist_by_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections that hold a question's five best pages by stored vectors, or its excerpts' pages (here: with the longest first line)."""
     pages = written(paged(spark, sf_dir))
     asked = _asked(pages)
-    similar = store.similar_pages(asked, pages, _store(spark), CHUNK)
+    similar = store.similar_pages(asked, pages, _store(spark), CHUNK, 5)
     line = F.length(F.substring_index("text", "\n", 1))
     longest = pages.groupBy("book").agg(F.max(F.struct(line.alias("n"), (-F.col("page")).alias("back"))).alias("x")).select("book", (-F.col("x.back")).alias("page"))
     excerpts = asked.select("qid", "book").join(longest, "book")
