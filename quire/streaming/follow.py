@@ -2,7 +2,7 @@
 
 Pieces of a run (``seq`` from 1) may come in any order and in any batch, and cut lines anywhere: a piece waits until those before it are there, the rest of a line
 waits for its end. A run ends once; what comes after its end is left out. A run from which nothing came for ``quiet`` seconds of event time is ``left`` by a
-timer, as one whose page was closed; a line that nothing can read ends it as ``lost``. A run's reports of its spend are totals: what each batch adds to the largest so
+timer (one a bucket of runs, set to the first that is due), as one whose page was closed; a line that nothing can read ends it as ``lost``. A run's reports of its spend are totals: what each batch adds to the largest so
 far is the charge. State and timers are in the checkpoint and a batch's updates replace those of an attempt before it, so a restart charges nothing twice.
 An ended run keeps a word of state for another ``quiet`` seconds, then none.
 """
@@ -14,14 +14,18 @@ from collections.abc import Iterator
 from functools import partial
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.session import shared_folder
 
 OUT = "run string, lines long, errors long, trying string, more long, status string"
-_RUN = "next long, rest string, lines long, errors long, trying string, charged long, status string"
+_OUT = [c.split()[0] for c in OUT.split(", ")]
+_RUN, _NEW = ("next", "rest", "lines", "errors", "trying", "charged", "status"), (1, "", 0, 0, None, 0, "running")
+# A fixed value of a checkpoint: into how many keys runs are put.
+BUCKETS = 256
 
 
 def applied(state: dict[str, Any], event: dict[str, Any]) -> None:
@@ -56,67 +60,81 @@ def fed(state: dict[str, Any], piece: str) -> None:
         state["rest"] = ""
 
 
+def _first(running: dict[str, tuple[dict[str, Any], int, dict[int, str]]], over: dict[str, int]) -> int | None:
+    """When the first of a bucket's runs is due."""
+    return min([due for _, due, _ in running.values()] + list(over.values()), default=None)
+
+
 class Follower(StatefulProcessor):
-    """State of one run: a value, and its waiting pieces by number."""
+    """State of the runs of a bucket, in one value: those that run (their state, when they were quiet long enough, their waiting pieces by number) and those that are over (until when
+    that is remembered). A run a key would be a dozen calls out of Python for each run and batch; a bucket's are a handful for all of its runs."""
 
     def __init__(self, quiet: int):
         self.quiet = 1000 * quiet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", _RUN)
-        self.waiting = handle.getMapState("waiting", "seq long", "piece string")
-
-    def _state(self) -> dict[str, Any]:
-        got = self.run.get() if self.run.exists() else None
-        return dict(zip(("next", "rest", "lines", "errors", "trying", "charged", "status"), got or (1, "", 0, 0, None, 0, "running"), strict=True))
-
-    def _timer(self, at: int | None) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if at is not None:
-            self.handle.registerTimer(at)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        state, pieces, latest = self._state(), {}, 0
-        was = state["status"]
-        for r in rows:
-            pieces[r.seq] = r.piece
-            latest = max(latest, r.ms)
-        if was != "running":
-            return
-        charged = state["charged"]
-        while state["status"] == "running":
-            n = state["next"]
-            if n in pieces:
-                piece = pieces.pop(n)
-            elif self.waiting.containsKey((n,)):
-                piece = self.waiting.getValue((n,))[0]
-                self.waiting.removeKey((n,))
-            else:
-                break
-            fed(state, piece)
-            state["next"] += 1
-        if state["status"] == "running":
-            for n, piece in pieces.items():
-                if n >= state["next"]:  # a piece that came twice is one
-                    self.waiting.updateValue((n,), (piece,))
+        self.runs = handle.getValueState("runs", "runs string")
+
+    def _held(self) -> tuple[dict[str, tuple[dict[str, Any], int, dict[int, str]]], dict[str, int]]:
+        got = self.runs.get()
+        running, over = json.loads(got[0]) if got else ([], [])
+        return {run: (dict(zip(_RUN, state, strict=True)), due, {int(n): piece for n, piece in waiting.items()}) for run, state, due, waiting in running}, dict(over)
+
+    def _hold(self, running: dict[str, tuple[dict[str, Any], int, dict[int, str]]], over: dict[str, int], timer: int | None) -> None:
+        """``timer``: the one that is set."""
+        if running or over:
+            rows = [(run, list(state.values()), due, waiting) for run, (state, due, waiting) in running.items()]
+            self.runs.update((json.dumps((rows, list(over.items())), separators=(",", ":")),))
         else:
-            self.waiting.clear()
-        self.run.update(tuple(state.values()))
-        self._timer(latest + self.quiet)
-        yield Row(run=key[0], lines=state["lines"], errors=state["errors"], trying=state["trying"], more=state["charged"] - charged, status=state["status"])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        state = self._state()
-        self.waiting.clear()
-        if state["status"] != "running":
-            self.run.clear()
-            return
-        state |= {"status": "left", "trying": None, "rest": ""}
-        self.run.update(tuple(state.values()))
-        self._timer(expiredTimerInfo.getExpiryTimeInMs() + self.quiet)
-        yield Row(run=key[0], lines=state["lines"], errors=state["errors"], trying=None, more=0, status="left")
+            self.runs.clear()
+        due = _first(running, over)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        came: dict[str, tuple[dict[int, str], list[int]]] = {}
+        for part in rows:
+            for run, n, piece, ms in zip(part["run"].tolist(), part["seq"].tolist(), part["piece"].tolist(), part["ms"].tolist(), strict=True):
+                pieces, times = came.setdefault(run, ({}, []))
+                pieces[n] = piece
+                times.append(ms)
+        running, over = self._held()
+        timer, out = _first(running, over), []
+        for run, (pieces, times) in came.items():
+            if run in over:
+                continue
+            state, _, waiting = running.pop(run, None) or (dict(zip(_RUN, _NEW, strict=True)), 0, {})
+            charged, due = state["charged"], max(0, *times) + self.quiet
+            waiting |= {n: piece for n, piece in pieces.items() if n >= state["next"]}  # a piece that came twice is one
+            while state["status"] == "running" and state["next"] in waiting:
+                fed(state, waiting.pop(state["next"]))
+                state["next"] += 1
+            if state["status"] == "running":
+                running[run] = state, due, waiting
+            else:
+                over[run] = due
+            out.append((run, state["lines"], state["errors"], state["trying"], state["charged"] - charged, state["status"]))
+        self._hold(running, over, timer)
+        if out:
+            yield pd.DataFrame(out, columns=_OUT)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        running, over = self._held()
+        over = {run: until for run, until in over.items() if until >= now}
+        out = []
+        for run, (state, due, _) in list(running.items()):
+            if due < now:
+                del running[run]
+                over[run] = due + self.quiet
+                out.append((run, state["lines"], state["errors"], None, 0, "left"))
+        self._hold(running, over, None)  # the one that went off is none any more
+        if out:
+            yield pd.DataFrame(out, columns=_OUT)
 
     def close(self) -> None:
         pass
@@ -124,8 +142,8 @@ class Follower(StatefulProcessor):
 
 def follow(pieces: DataFrame, quiet: int, late: str = "1 hour") -> DataFrame:
     """An update for each run that a batch touches, from a stream of ``pieces`` (``run``, ``seq``, ``ts``, ``piece``). Needs the RocksDB state store."""
-    timed = pieces.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
-    return timed.groupBy("run").transformWithState(statefulProcessor=Follower(quiet), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
+    timed = pieces.withColumns({"ms": F.unix_millis("ts"), "bucket": F.pmod(F.xxhash64("run"), F.lit(BUCKETS))}).withWatermark("ts", late)
+    return timed.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Follower(quiet), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
 def text_pieces(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
